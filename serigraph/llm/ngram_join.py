@@ -14,7 +14,7 @@ from serigraph.llm._common import checkpoint, connected_components, mixed, recor
 from serigraph.llm._words import powers, words_of
 
 #: Shingles that one task counts at a time, about; shingles of the documents that one tree holds, about.
-PART_SHINGLES, TREE_SHINGLES = 1_500_000, 1_000_000
+PART_SHINGLES, TREE_SHINGLES = 3_000_000, 1_000_000
 #: Shingles that a task gathers before it deals them out.
 FLUSH = 3_000_000
 #: Sets of a candidate component that every one of its blocks gets, to link the blocks.

@@ -3,42 +3,99 @@
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from serigraph.llm._common import checkpoint, record_batch
 
-#: Encoded white-space-free strings that a worker keeps.
-CACHE = 200_000
+#: Encoded strings that a worker keeps, at most twice as many of each kind.
+KEPT = 250_000
+#: Characters that need no normal form, with a fixed class: visible ones up to U+024F.
+_UNUSUAL = re.compile("[^\x21-\x7e\xa1-\u024f]")
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+class Recent(dict):
+    """A bounded mapping: when it is full, what was there becomes the older half, and what is used of that returns."""
+
+    older: dict = {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self.older[key]
+        self[key] = value
+        return value
+
+    def add(self, key: bytes, value: bytes) -> None:
+        if len(self) >= KEPT:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
 
 
 class ChunkEncoder:
-    """Token ids of whole texts, string by string between white space, which the tokenizer drops and never joins over."""
+    """Token ids of whole texts, from those of the strings between white space, which the tokenizer drops and never joins over.
+
+    A string of usual characters is lower-cased and split as the tokenizer's own pattern splits it, so that a word is
+    encoded once however it is spelled and whatever marks follow it; any other string goes to the tokenizer as it is.
+    """
 
     def __init__(self, tokenizer_file: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.known: dict[bytes, bytes] = {}
+        self.chunks, self.parts = Recent(), Recent()
+
+    def encoded(self, strings: list[str]) -> list[bytes]:
+        found = []
+        for i in range(0, len(strings), 20_000):
+            found += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(strings[i : i + 20_000], add_special_tokens=False)]
+        return found
+
+    def learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        found, whole, split = {}, [], {}
+        for chunk in missing:
+            string = chunk.decode()
+            if "<|" in string or _UNUSUAL.search(string):
+                whole.append(chunk)
+            else:
+                split[chunk] = _PARTS.findall(string.lower())
+        found |= zip(whole, self.encoded([c.decode() for c in whole]), strict=True)
+        needed = dict.fromkeys(p for parts in split.values() for p in parts)
+        known = {p: x for p in needed if (x := self.parts.get(p) or self.parts.older.get(p)) is not None}
+        fresh = [p for p in needed if p not in known]
+        for part, ids in zip(fresh, self.encoded(fresh), strict=True):
+            known[part] = ids
+            self.parts.add(part, ids)
+        for chunk, parts in split.items():
+            found[chunk] = b"".join([known[p] for p in parts])
+        for chunk, ids in found.items():
+            self.chunks.add(chunk, ids)
+        return found
 
     def __call__(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        parts = text.split()
-        known = self.known
-        if missing := list({p for p in parts if p not in known}):
-            if len(known) > CACHE:
-                known.clear()
-                missing = list(set(parts))
-            for i in range(0, len(missing), 20_000):
-                some = missing[i : i + 20_000]
-                for p, e in zip(some, self.tokenizer.encode_batch([p.decode() for p in some], add_special_tokens=False), strict=True):
-                    known[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, parts))
+        chunks = text.split()
+        try:
+            return b"".join(map(self.chunks.__getitem__, chunks))
+        except KeyError:
+            known, older = self.chunks, self.chunks.older
+            held = {c: known[c] if c in known else older[c] for c in set(chunks) if c in known or c in older}
+            held |= self.learn([c for c in dict.fromkeys(chunks) if c not in held])
+            return b"".join([held[c] for c in chunks])
+
+
+@cache
+def encoder(tokenizer_file: str) -> ChunkEncoder:
+    """One for each worker process, which its tasks share."""
+    return ChunkEncoder(tokenizer_file)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long"
@@ -48,7 +105,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_file: str, size: int, end_id: in
     """A row for each piece of at most size tokens: its digest, and its place among this task's pieces of its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkEncoder(tokenizer_file)
+        encode = encoder(tokenizer_file)
         end = np.array([end_id], "<u4").tobytes()
         task = TaskContext.get().partitionId()
         seen: dict[int, int] = {}

@@ -58,7 +58,7 @@ def spans(begin: np.ndarray, stop: np.ndarray, h: np.ndarray, sentences_: int, w
     return out_end, mixed(out_hash + (out_end - np.arange(n)).astype(np.uint64))
 
 
-RUNS = "doc_id long, at int, h long"
+RUNS = "doc_id long, h long"
 
 
 def _runs(docs: DataFrame, sentences_: int, words_: int, cut_every: int) -> DataFrame:
@@ -67,14 +67,14 @@ def _runs(docs: DataFrame, sentences_: int, words_: int, cut_every: int) -> Data
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for first, texts in text_chunks(batch.column("text")):
                 begin, stop, h, of, _, _ = sentences(texts, cut_every)
-                found: list[list] = [[], [], []]
+                found: list[list] = [[], []]
                 for i in range(len(texts)):
                     a, b = of[i], of[i + 1]
                     end, key = spans(begin[a:b], stop[a:b], h[a:b], sentences_, words_)
-                    at = np.flatnonzero(end)
-                    for column, value in zip(found, (np.full(len(at), ids[first + i]), at, key[at].view(np.int64)), strict=True):
-                        column.append(value)
-                yield record_batch({c: (np.concatenate(v), t) for (c, t), v in zip((("doc_id", pa.int64()), ("at", pa.int32()), ("h", pa.int64())), found, strict=True)})
+                    own = np.unique(key[end > 0]).view(np.int64)
+                    found[0].append(np.full(len(own), ids[first + i]))
+                    found[1].append(own)
+                yield record_batch({"doc_id": (np.concatenate(found[0]), pa.int64()), "h": (np.concatenate(found[1]), pa.int64())})
 
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, RUNS)
 
@@ -85,15 +85,14 @@ def remove_repeats(docs: DataFrame, sentences_: int = 3, words_: int = 25, cut_e
     Every run of at least sentences_ consecutive sentences and words_ words is hashed and joined over all documents. Its
     first place, by doc_id and position, stays; sentences covered by a run at any other place are removed, with the white
     space after them. removed: the byte spans taken out, start:end, comma-joined. Rows that repeat a doc_id are versions of
-    one document: what they share at the same position stays in each. Null ids take no part; null text stays null, with no
+    one document: what they share stays in each. Null ids take no part; null text stays null, with no
     sentences. An empty table gives an empty one. Other columns are dropped.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     runs = _runs(rows, sentences_, words_, cut_every)
-    place = F.struct("doc_id", "at")
-    firsts = runs.groupBy("h").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("h", F.col("f.doc_id").alias("f_doc"), F.col("f.at").alias("f_at"))
-    repeats = runs.join(firsts, "h").where("doc_id <> f_doc or at <> f_at")
-    flagged = repeats.groupBy("doc_id").agg(F.collect_set(F.struct("at", "h")).alias("cut"))  # at most the document's own sentences
+    firsts = runs.groupBy("h").agg(F.min("doc_id").alias("first_doc"))
+    repeats = runs.join(firsts, "h").where("doc_id <> first_doc")
+    flagged = repeats.groupBy("doc_id").agg(F.collect_set("h").alias("cut"))  # at most the document's own sentences
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,13 +104,16 @@ def remove_repeats(docs: DataFrame, sentences_: int = 3, words_: int = 25, cut_e
                 for i, text in enumerate(texts):
                     a, b = of[i], of[i + 1]
                     cut = cuts[first + i]
-                    dead = np.zeros(b - a, bool)
+                    end, key = spans(begin[a:b], stop[a:b], h[a:b], sentences_, words_)
+                    on = np.flatnonzero(end)
+                    again = np.ones(len(on), bool)
+                    again[np.unique(key[on], return_index=True)[1]] = False  # the first place in this text
                     if cut:
-                        end, key = spans(begin[a:b], stop[a:b], h[a:b], sentences_, words_)
-                        key = key.view(np.int64)
-                        for x in cut:
-                            if x["at"] < len(key) and end[x["at"]] and key[x["at"]] == x["h"]:
-                                dead[x["at"] : end[x["at"]]] = True
+                        again |= np.isin(key[on].view(np.int64), np.array(cut, np.int64))
+                    cover = np.zeros(b - a + 1, np.int64)
+                    np.add.at(cover, on[again], 1)
+                    np.add.at(cover, end[on[again]], -1)
+                    dead = cover.cumsum()[:-1] > 0
                     kept, holes, at = [], [], 0
                     edge = np.flatnonzero(np.diff(dead.astype(np.int8), prepend=0, append=0))
                     for s, e in zip(edge[::2], edge[1::2], strict=True):
