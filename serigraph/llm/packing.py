@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -14,32 +15,17 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from serigraph.llm._common import checkpoint, record_batch
+from serigraph.llm._common import checkpoint, record_batch, text_chunks
 
-#: Encoded strings that a worker keeps, at most twice as many of each kind.
-KEPT = 250_000
+#: Encoded strings of each kind that a worker keeps from one run of texts to the next.
+KEPT = 400_000
+#: Bytes of text whose new strings are encoded together.
+RUN_BYTES = 4 << 20
 #: Characters that need no normal form, with a fixed class: visible ones up to U+024F.
 _UNUSUAL = re.compile("[^\x21-\x7e\xa1-\u024f]")
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
-class Recent(dict):
-    """A bounded mapping: when it is full, what was there becomes the older half, and what is used of that returns."""
-
-    older: dict = {}
-
-    def __missing__(self, key: bytes) -> bytes:
-        value = self.older[key]
-        self[key] = value
-        return value
-
-    def add(self, key: bytes, value: bytes) -> None:
-        if len(self) >= KEPT:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-
-
 class ChunkEncoder:
     """Token ids of whole texts, from those of the strings between white space, which the tokenizer drops and never joins over.
 
@@ -48,48 +34,62 @@ class ChunkEncoder:
     """
 
     def __init__(self, tokenizer_file: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.chunks, self.parts = Recent(), Recent()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a part
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.chunks: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def encoded(self, strings: list[str]) -> list[bytes]:
         found = []
         for i in range(0, len(strings), 20_000):
-            found += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(strings[i : i + 20_000], add_special_tokens=False)]
+            found += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings[i : i + 20_000], add_special_tokens=False)]
         return found
 
-    def learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
-        found, whole, split = {}, [], {}
+    def encoded_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part: many are encoded as one text and told apart by the ids that end one."""
+        found = []
+        for i in range(0, len(parts), 2_000):
+            some = parts[i : i + 2_000]
+            (whole,) = self.encoded([" ".join(some)])
+            stops = np.flatnonzero(self.ends[np.frombuffer(whole, "<u4")]) * 4 + 4
+            if len(stops) == len(some):
+                found += [whole[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+            else:
+                found += self.encoded(some)
+        return found
+
+    def learn(self, missing: list[bytes]) -> None:
+        whole, split = [], {}
         for chunk in missing:
             string = chunk.decode()
             if "<|" in string or _UNUSUAL.search(string):
                 whole.append(chunk)
             else:
                 split[chunk] = _PARTS.findall(string.lower())
-        found |= zip(whole, self.encoded([c.decode() for c in whole]), strict=True)
-        needed = dict.fromkeys(p for parts in split.values() for p in parts)
-        known = {p: x for p in needed if (x := self.parts.get(p) or self.parts.older.get(p)) is not None}
-        fresh = [p for p in needed if p not in known]
-        for part, ids in zip(fresh, self.encoded(fresh), strict=True):
-            known[part] = ids
-            self.parts.add(part, ids)
+        self.chunks.update(zip(whole, self.encoded([c.decode() for c in whole]), strict=True))
+        needed = {p for parts in split.values() for p in parts}
+        if len(self.parts) > KEPT:
+            self.parts = {p: self.parts[p] for p in needed & self.parts.keys()}
+        fresh = list(needed - self.parts.keys())
+        self.parts.update(zip(fresh, self.encoded_parts(fresh), strict=True))
+        known = self.parts.__getitem__
         for chunk, parts in split.items():
-            found[chunk] = b"".join([known[p] for p in parts])
-        for chunk, ids in found.items():
-            self.chunks.add(chunk, ids)
-        return found
+            self.chunks[chunk] = known(parts[0]) if len(parts) == 1 else b"".join(map(known, parts))
 
-    def __call__(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        chunks = text.split()
-        try:
-            return b"".join(map(self.chunks.__getitem__, chunks))
-        except KeyError:
-            known, older = self.chunks, self.chunks.older
-            held = {c: known[c] if c in known else older[c] for c in set(chunks) if c in known or c in older}
-            held |= self.learn([c for c in dict.fromkeys(chunks) if c not in held])
-            return b"".join([held[c] for c in chunks])
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        split = [t.split() for t in texts]
+        needed = set().union(*split)
+        if len(self.chunks) > KEPT:
+            self.chunks = {c: self.chunks[c] for c in needed & self.chunks.keys()}
+        self.learn(list(needed - self.chunks.keys()))
+        known = self.chunks.__getitem__
+        return [b"".join(map(known, chunks)) for chunks in split]
 
 
 @cache
@@ -111,8 +111,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer_file: str, size: int, end_id: in
         seen: dict[int, int] = {}
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encode(text.as_buffer().to_pybytes() if text.is_valid else b"") + end
+            encoded = (ids for _, texts in text_chunks(batch.column("text"), RUN_BYTES) for ids in encode(texts))
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     n = len(part) // 4
