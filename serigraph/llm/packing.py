@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from serigraph.llm._common import checkpoint, record_batch, text_chunks
 
 #: Encoded strings of each kind that a worker keeps from one run of texts to the next.
-KEPT = 400_000
+KEPT = 800_000
 #: Bytes of text whose new strings are encoded together.
 RUN_BYTES = 4 << 20
 #: Characters that need no normal form, with a fixed class: visible ones up to U+024F.
@@ -66,6 +66,9 @@ class ChunkEncoder:
     def learn(self, missing: list[bytes]) -> None:
         whole, split = [], {}
         for chunk in missing:
+            if chunk.isalpha():  # ASCII letters alone are one part
+                split[chunk] = (chunk.lower().decode(),)
+                continue
             string = chunk.decode()
             if "<|" in string or _UNUSUAL.search(string):
                 whole.append(chunk)
