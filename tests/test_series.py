@@ -22,7 +22,7 @@ GOLDEN = {
     (4, 2, 2, 1, 3, 0.0): {0: {0: 4}, 1: {2: 2, 4: 4, 6: 2}, 3: {2: 4}, 4: {2: 2, 4: 3, 6: 1}, 5: {4: 1}, 6: {2: 2, 4: 3, 6: 1}},
     (4, 2, 1, 1, 3, 0.5): {0: {0: 7}, 1: {2: 2, 4: 7, 6: 2}, 3: {4: 7}, 4: {2: 2, 4: 6, 6: 1}, 5: {4: 4}, 6: {2: 1, 4: 7, 6: 1}},
     (4, 4, 1, 2, 4, 0.0): {0: {0: 4}, 1: {93: 1, 170: 4, 213: 1}, 3: {27: 4}, 4: {57: 1, 71: 1, 75: 1, 114: 1, 140: 1}, 5: {51: 2}, 6: {87: 1, 114: 1, 170: 3}},
-    (4, 2, 1, 1, 2, 0.0): {0: {0: 7}, 1: {1: 2, 2: 2, 3: 7}, 3: {1: 7}, 4: {1: 5, 2: 2, 3: 2}, 5: {1: 2, 2: 1, 3: 1}, 6: {1: 2, 2: 1, 3: 6}},
+    (4, 2, 1, 1, 2, 0.0): {0: {0: 7}, 1: {1: 2, 2: 2, 3: 7}, 3: {1: 7}, 4: {1: 5, 2: 2, 3: 2}, 5: {1: 2, 2: 1, 3: 1}, 6: {1: 1, 2: 2, 3: 6}},
     (3, 3, 3, 1, 3, 0.0): {0: {0: 4}, 1: {2: 1, 6: 1, 13: 5, 18: 1}, 3: {5: 4}, 4: {5: 1, 6: 2, 8: 1, 19: 2}, 5: {6: 1}, 6: {2: 2, 13: 3, 24: 1}},
 }
 
