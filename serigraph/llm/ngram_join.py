@@ -136,7 +136,8 @@ def _shared_tokens(parts: int):
             group = keys % parts
             order = np.argsort(group, kind="stable")
             keys, sizes, at, group = keys[order], sizes[order], at[order], group[order]
-            for a, b in zip(e := np.flatnonzero(np.diff(group, prepend=-1)), [*e[1:], len(keys)], strict=True):
+            starts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+            for a, b in zip(starts, [*starts[1:], len(keys)][: len(starts)], strict=True):
                 begin = a + np.flatnonzero(np.diff(keys[a:b], prepend=keys[a] - 1))
                 row = (keys[begin], sizes[begin], np.diff(np.append(begin, b)).astype("<u4"), again[at[a:b]], df[at[a:b]].astype("<u4"))
                 out.append(pa.Table.from_arrays([pa.array([int(group[a])], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in row)], names=SHARED_NAMES))
