@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from serigraph.llm._common import checkpoint, record_batch, text_chunks
 
-#: Encoded strings of each kind that a worker keeps from one run of texts to the next.
-KEPT = 800_000
+#: Encoded strings of each kind that a worker keeps from one run of texts to the next; some 200 MB, held as long as it lives.
+KEPT = 300_000
 #: Bytes of text whose new strings are encoded together.
 RUN_BYTES = 4 << 20
 #: Characters that need no normal form, with a fixed class: visible ones up to U+024F.
