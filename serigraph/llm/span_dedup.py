@@ -14,19 +14,45 @@ from serigraph.llm._words import powers, words_of
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
 _STEP = np.uint64(0xD1342543DE82EF95)
+_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
 
-def sentences(texts: list[bytes], cut_every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_of(sentences_: int, words_: int, cut_every: int) -> int:
+    """The most words between cuts: cut_every, or less so that every passage of over 2 * words_ words holds a whole run.
+
+    Of w words between cuts at most, those within w - 1 of an end of the passage may have other cuts in another copy. The first
+    run from a cut that all copies have ends after 3 * w + words_ - 2 words, or (2 + sentences_) * w - 1, with w to spare.
+    """
+    return max(1, min(cut_every, (words_ + 4) // 4, (2 * words_ + 3) // (sentences_ + 3)))
+
+
+def least_of_windows(h: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
+    """Whether the hash of each word is the least in some window of consecutive words of its text."""
+    out = np.zeros(len(h), bool)
+    n = len(h) - window + 1
+    if n < 1:
+        return out
+    least = h[:n].copy()
+    for k in range(1, window):
+        np.minimum(least, h[k : n + k], out=least)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    whole = text[:n] == text[window - 1 :]
+    for k in range(window):
+        out[k : n + k] |= whole & (least == h[k : n + k])
+    return out
+
+
+def sentences(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sentences of the texts: first and past-last word, hash, first of each text; then the words' byte bounds.
 
     A sentence ends at a word that ends in . ! or ?, before a line break, and, so that text without stops has sentences as
-    well, at any word whose hash is a multiple of cut_every. The last needs the word alone, so that a passage has the same
-    cuts wherever it stands.
+    well, at any word whose hash is the least of a window of so many consecutive words: no sentence has more words than
+    that (twice as many at the ends of a text), and a passage has the same cuts wherever it stands, but for a window at its ends.
     """
     words = words_of(texts)
     n = len(words.start)
     data = np.frombuffer(b" ".join(texts), np.uint8)
-    ends = (words.hash % np.uint64(cut_every)) == 0
+    ends = least_of_windows(words.hash, words.first, window)
     if n:
         ends |= _STOPS[data[words.end - 1]]
         breaks = np.concatenate([[0], np.cumsum(data == 10)])
@@ -50,23 +76,22 @@ def spans(begin: np.ndarray, stop: np.ndarray, h: np.ndarray, sentences_: int, w
     end = np.searchsorted(stop, begin + words_, side="left") + 1
     end = np.maximum(end, np.arange(n) + sentences_)
     ok = end <= n
-    out_end, out_hash = np.where(ok, end, 0), np.zeros(n, np.uint64)
-    width = int((end - np.arange(n))[ok].max(initial=0))
-    for k in range(width):
-        on = ok & (np.arange(n) + k < end)
-        out_hash[on] += h[np.flatnonzero(on) + k] * powers(k + 1, _STEP)[k]
+    out_end = np.where(ok, end, 0)
+    # the sum of h[i + k] * _STEP ** k over the run, as a difference of sums from the start of the text
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(n, _STEP))])
+    out_hash = np.where(ok, (sums[out_end] - sums[:-1]) * powers(n, _BACK), np.uint64(0))
     return out_end, mixed(out_hash + (out_end - np.arange(n)).astype(np.uint64))
 
 
 RUNS = "doc_id long, h long"
 
 
-def _runs(docs: DataFrame, sentences_: int, words_: int, cut_every: int) -> DataFrame:
+def _runs(docs: DataFrame, sentences_: int, words_: int, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for first, texts in text_chunks(batch.column("text")):
-                begin, stop, h, of, _, _ = sentences(texts, cut_every)
+                begin, stop, h, of, _, _ = sentences(texts, window)
                 found: list[list] = [[], []]
                 for i in range(len(texts)):
                     a, b = of[i], of[i + 1]
@@ -84,12 +109,15 @@ def remove_repeats(docs: DataFrame, sentences_: int = 3, words_: int = 25, cut_e
 
     Every run of at least sentences_ consecutive sentences and words_ words is hashed and joined over all documents. Its
     first place, by doc_id and position, stays; sentences covered by a run at any other place are removed, with the white
-    space after them. removed: the byte spans taken out, start:end, comma-joined. Rows that repeat a doc_id are versions of
+    space after them. A repeated passage of over 2 * words_ words always holds a run: sentences are cut at cut_every words
+    or, for that, sooner (window_of). Its words before the first cut or run that both copies have, and after the last, stay.
+    removed: the byte spans taken out, start:end, comma-joined. Rows that repeat a doc_id are versions of
     one document: what they share stays in each. Null ids take no part; null text stays null, with no
     sentences. An empty table gives an empty one. Other columns are dropped.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    runs = _runs(rows, sentences_, words_, cut_every)
+    window = window_of(sentences_, words_, cut_every)
+    runs = _runs(rows, sentences_, words_, window)
     firsts = runs.groupBy("h").agg(F.min("doc_id").alias("first_doc"))
     repeats = runs.join(firsts, "h").where("doc_id <> first_doc")
     flagged = repeats.groupBy("doc_id").agg(F.collect_set("h").alias("cut"))  # at most the document's own sentences
@@ -98,7 +126,7 @@ def remove_repeats(docs: DataFrame, sentences_: int = 3, words_: int = 25, cut_e
         for batch in batches:
             ids, cuts = batch.column("doc_id"), batch.column("cut").to_pylist()
             for first, texts in text_chunks(batch.column("text"), CHUNK_BYTES):
-                begin, stop, h, of, w_start, w_end = sentences(texts, cut_every)
+                begin, stop, h, of, w_start, w_end = sentences(texts, window)
                 base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
                 out, count, gone, gone_words, told = [], [], [], [], []
                 for i, text in enumerate(texts):

@@ -166,6 +166,18 @@ def test_repeated_passages_go_but_for_the_first(spark):
         assert (left + texts[i].encode()[at:]).decode() == rows[i]["text"]
 
 
+def test_every_passage_over_50_words_is_found(spark):
+    rng = random.Random(11)
+    words = lambda n, stop=0: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) + ("." if stop and i % stop == stop - 1 else "") for i in range(n))
+    texts = []
+    for k in range(600):
+        passage = words(51, (0, 18, 11)[k % 3])
+        texts += [f"{words(40)} {passage} {words(40)}" for _ in range(2)]
+    rows = {r["doc_id"]: r for r in span_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(rows[i]["n_removed"] == 0 for i in range(0, 1200, 2))
+    assert [i for i in range(1, 1200, 2) if rows[i]["n_words_removed"] < 25] == []
+
+
 PAGE = "<html><head><title>t</title><style>p{{}}</style></head><body><nav><a>Home</a></nav><div><p>Shared offer of the site</p></div><article><h1>{0}</h1><p>Text &amp; more of {0}\n in one <b>block</b>.</p></article><div class='comments'><p>I disagree</p></div><footer>(c)</footer></body></html>"
 
 
