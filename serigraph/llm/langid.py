@@ -9,14 +9,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from serigraph.llm._common import record_batch
+from serigraph.llm._common import CHUNK_BYTES, checkpoint, record_batch, text_chunks
 
 ORDER = 4
 BITS = np.uint64(16)
 SPACE = 32
+#: Distinct grams times languages of one part of a model; a larger model is as many parts as it takes.
+PART_CELLS = 4_000_000
+_PRIME = 1_000_003
 
 
 @cache
@@ -58,11 +62,26 @@ def grams(codes: np.ndarray) -> np.ndarray:
     return key
 
 
+def distinct_grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ordered = np.sort(grams(codes))
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[first], np.diff(np.append(first, len(ordered)))
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part that each ORDER-gram is scored by, from its two middle characters: all that it backs off to is there as well."""
+    return (keys >> BITS & np.uint64(0xFFFFFFFF)) % np.uint64(_PRIME) % np.uint64(parts)
+
+
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out, inverse = np.unique(keys, return_inverse=True)
     return out, np.bincount(inverse, values, len(out))
 
 
+def _discount(ones: int, twos: int) -> float:
+    return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+
 def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(table):
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
@@ -81,11 +100,13 @@ class KneserNey:
     backoff: list[np.ndarray] = field(default_factory=list)
     full: np.ndarray | None = None
     floor: np.ndarray | None = None
-    calibrated: dict[str, float] = field(default_factory=dict)
 
     @classmethod
-    def trained(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> KneserNey:
-        """counts: for each language its sorted ORDER-gram keys and their counts."""
+    def trained(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]], discounts: dict[str, dict[int, float]] | None = None, pairs: dict[str, tuple[np.ndarray, np.ndarray]] | None = None) -> KneserNey:
+        """counts: for each language its sorted ORDER-gram keys and their counts.
+
+        If these are those of one part, discounts (by order) and pairs (sorted keys of order 2 and their counts) are of the whole.
+        """
         model = cls(sorted(counts))
         orders: list[list[tuple]] = [[] for _ in range(ORDER)]
         sizes = []
@@ -93,9 +114,10 @@ class KneserNey:
             keys, n = counts[lang]
             n = n.astype(float)
             for order in range(ORDER, 0, -1):
+                if order == 2 and pairs is not None:
+                    keys, n = pairs[lang]
                 context = keys >> BITS
-                ones, twos = (n == 1).sum(), (n == 2).sum()
-                discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+                discount = _discount((n == 1).sum(), (n == 2).sum()) if discounts is None or order < 3 else discounts[lang][order]
                 groups, total = _summed(context, n)
                 types = np.bincount(np.searchsorted(groups, context), minlength=len(groups))
                 at = np.searchsorted(groups, context)
@@ -130,16 +152,22 @@ class KneserNey:
         out[seen] += self.share[order - 1][at[seen]]
         return out
 
-    def cross_entropy(self, codes: np.ndarray) -> np.ndarray:
-        """Bits per character of the whole text under each language."""
-        ordered = np.sort(grams(codes))
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        keys, n = ordered[first], np.diff(np.append(first, len(ordered)))
+    def bits(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Bits under each language of distinct grams that occur n times."""
         at, seen = _lookup(self.share_keys[-1], keys)
         bits = -(n[seen] @ self.full[at[seen]]).astype(float)
         if not seen.all():
             bits = bits - n[~seen] @ np.log2(self.probability(keys[~seen], ORDER))
-        return bits / len(ordered)
+        return bits
+
+
+@dataclass
+class Model:
+    """KneserNey parts, each broadcast by itself, and the limits of rejection."""
+
+    langs: list[str]
+    parts: list[Broadcast] = field(default_factory=list)
+    calibrated: dict[str, float] = field(default_factory=dict)
 
 
 def count_grams(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -160,33 +188,58 @@ def count_grams(labelled: DataFrame, text: str = "text", lang: str = "lang") ->
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(labelled: DataFrame, max_grams: int = 200_000, max_langs: int = 200, calibration_rows: int = 2_000, quantile: float = 0.999) -> KneserNey:
+def _arrays(counts: DataFrame, langs: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each language the sorted keys and their counts of counts (l, gram, n), l its place in langs."""
+    rows = counts.select(F.col("l").cast("int"), "gram", "n").toArrow()
+    l, keys, n = (rows.column(c).to_numpy() for c in ("l", "gram", "n"))  # noqa: E741
+    keys = keys.view(np.uint64)
+    order = np.lexsort((keys, l))
+    l, keys, n = l[order], keys[order], n[order]  # noqa: E741
+    bounds = np.searchsorted(l, np.arange(len(langs) + 1))
+    return {lang: (keys[a:b], n[a:b]) for lang, a, b in zip(langs, bounds, bounds[1:], strict=False)}
+
+
+def _parts(counts: DataFrame, langs: list[str]) -> Iterator[KneserNey]:
+    """The whole model of counts (l, gram, n), in parts of bounded size; no gram is left out."""
+    parts = -(-counts.select("gram").distinct().count() * len(langs) // PART_CELLS)
+    if parts == 1:
+        yield KneserNey.trained(_arrays(counts, langs))
+        return
+    # what no part can tell alone: the discounts of the higher orders and the table of pairs
+    shorter = lambda table, order: table.groupBy("l", F.col("gram").bitwiseAND(F.lit((1 << 16 * order) - 1)).alias("gram")).agg(F.count("*").alias("n"))
+    triples = checkpoint(shorter(counts, 3))
+    pairs = _arrays(shorter(triples, 2), langs)
+    discounts: dict[str, dict[int, float]] = {lang: {} for lang in langs}
+    for order, table in ((4, counts), (3, triples)):
+        for row in table.groupBy("l").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect():
+            discounts[langs[row["l"]]][order] = _discount(row["ones"], row["twos"])
+    part = F.shiftrightunsigned("gram", 16).bitwiseAND(F.lit(0xFFFFFFFF)) % _PRIME % parts
+    for k in range(parts):
+        yield KneserNey.trained(_arrays(counts.where(part == k), langs), discounts, pairs)
+
+
+def train(labelled: DataFrame, quantile: float = 0.999) -> Model:
     """A model from all rows of labelled (doc_id, text, lang) with text and lang.
 
-    Counts cover every row. The model keeps the max_grams most frequent grams of each of at most max_langs languages
-    (the bound on what reaches the driver and the broadcast; more languages are an error). The limit of rejection of a
-    language is the given quantile of the cross-entropy on at most calibration_rows rows, those with the smallest hashes.
+    Counts cover every row, and the model every gram and language. Where grams and languages are many, it is dealt into
+    parts that are broadcast one by one, with the same scores. The limit of rejection of a language is the given quantile
+    of the cross-entropy, to 4 places, over all rows that are taken for it.
     """
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = count_grams(labelled).withColumn("r", F.row_number().over(best)).where(F.col("r") <= max_grams).drop("r")
-    counts: dict[str, list] = {}
-    for lang, part in kept.toPandas().groupby("lang"):
-        keys = part["gram"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        counts[lang] = (keys[order], part["n"].to_numpy()[order])
-    if not counts:
-        return KneserNey([])
-    if len(counts) > max_langs:
-        raise ValueError(f"{len(counts)} languages; at most {max_langs} are allowed for")
-    model = KneserNey.trained(counts)
-    sample = labelled.where("lang is not null and text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(calibration_rows)
-    rows = identify(labelled.join(F.broadcast(sample), "doc_id", "left_semi"), model).where("lang_pred <> 'und'")
-    for row in rows.groupBy("lang_pred").agg(F.expr(f"percentile(bits, {quantile})").alias("limit")).collect():
+    spark = labelled.sparkSession
+    counts = checkpoint(count_grams(labelled))
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    if not langs:
+        return Model([])
+    places = F.broadcast(spark.createDataFrame(list(enumerate(langs)), "l int, lang string"))
+    model = Model(langs, [spark.sparkContext.broadcast(part) for part in _parts(counts.join(places, "lang").select("l", "gram", "n"), langs)])
+    rows = identify(labelled.where("lang is not null and text is not null").select("text"), model).where("lang_pred <> 'und'")
+    sizes = rows.groupBy("lang_pred", F.round("bits", 4).alias("bits")).agg(F.count("*").alias("n"))
+    for row in sizes.groupBy("lang_pred").agg(F.expr(f"percentile(bits, {quantile}, n)").alias("limit")).collect():
         model.calibrated[row["lang_pred"]] = row["limit"]
     return model
 
 
-def identify(docs: DataFrame, model: KneserNey, reject: bool = False, sharpness: float = 40.0, keep_text: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: Model, reject: bool = False, sharpness: float = 40.0, keep_text: bool = False) -> DataFrame:
     """Add lang_pred, score, bits and rejected to docs, from the column text alone (dropped unless keep_text).
 
     lang_pred: the language of the lowest bits per character over the whole text; 'und' if text is null or has no
@@ -194,26 +247,37 @@ def identify(docs: DataFrame, model: KneserNey, reject: bool = False, sharpness:
     over min(length, sharpness) characters (0 for 'und'). rejected: bits are above the language's calibrated limit; with
     reject=True such rows are 'und' as well. Ties go to the name that sorts first. Columns of these names are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    langs, parts, limits = model.langs, model.parts, model.calibrated
+    step = CHUNK_BYTES if len(parts) < 2 else 8 * CHUNK_BYTES
     docs = docs.drop("lang_pred", "score", "bits", "rejected")
     carried = [c for c in docs.columns if keep_text or c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
             pred, score, bits, rejected = [], [], [], []
-            for value in batch.column("text"):
-                codes = normalised(value.as_buffer().to_pybytes()) if value.is_valid else ()
-                if not len(codes) or not model.langs:
-                    row = ("und", 0.0, None, False)
-                else:
-                    h = model.cross_entropy(codes)
-                    best = int(h.argmin())
-                    share = 1.0 / np.exp2(-(h - h[best]) * min(len(codes), sharpness)).sum()
-                    far = bool(h[best] > model.calibrated.get(model.langs[best], np.inf))
-                    row = ("und" if reject and far else model.langs[best], float(share), float(h[best]), far)
-                for column, x in zip((pred, score, bits, rejected), row, strict=True):
-                    column.append(x)
+            for _, texts in text_chunks(batch.column("text"), step):
+                codes = [normalised(t) if langs else () for t in texts]
+                found = {i: distinct_grams(c) for i, c in enumerate(codes) if len(c)}
+                total = np.zeros((len(texts), len(langs)))
+                for k, part in enumerate(parts):
+                    table = part.value
+                    for i, (keys, n) in found.items():
+                        own = slice(None) if len(parts) == 1 else part_of(keys, len(parts)) == k
+                        total[i] += table.bits(keys[own], n[own])
+                    if len(parts) > 1:
+                        del table
+                        part.__dict__.pop("_value", None)  # a worker holds one part at a time
+                for i, c in enumerate(codes):
+                    if i not in found:
+                        row = ("und", 0.0, None, False)
+                    else:
+                        h = total[i] / found[i][1].sum()
+                        best = int(h.argmin())
+                        share = 1.0 / np.exp2(-(h - h[best]) * min(len(c), sharpness)).sum()
+                        far = bool(h[best] > limits.get(langs[best], np.inf))
+                        row = ("und" if reject and far else langs[best], float(share), float(h[best]), far)
+                    for column, x in zip((pred, score, bits, rejected), row, strict=True):
+                        column.append(x)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in carried), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(rejected, pa.bool_())],
                 names=[*carried, "lang_pred", "score", "bits", "rejected"],

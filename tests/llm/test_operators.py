@@ -143,6 +143,29 @@ def test_language_probabilities_sum_to_one():
     assert known <= 1 + 1e-9 + 2 * model.floor[0] and known > 0.9
 
 
+def test_language_models_hold_every_gram_and_language(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, "".join(chr(0x4E00 + rng.randrange(300 + 100 * (i % 2))) for _ in range(13_000)), "ab"[i % 2]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {c: np.concatenate([langid.grams(langid.normalised(t.encode())) for _, t, lang in rows if lang == c]) for c in "ab"}
+    whole = langid.KneserNey.trained({c: np.unique(g, return_counts=True) for c, g in held.items()})
+    assert len(whole.share_keys[-1]) > 400_000
+    more = docs.unionByName(spark.createDataFrame([(90, "".join(chr(0x4E00 + rng.randrange(500)) for _ in range(2_000)) + " other text", "a")], docs.schema))
+    wanted = {}
+    for i, t, _ in more.collect():
+        keys, n = np.unique(langid.grams(langid.normalised(t.encode())), return_counts=True)
+        wanted[i] = float((n @ -np.log2(whole.probability(keys, langid.ORDER))).min() / n.sum())
+    for cells, parts in ((langid.PART_CELLS, 1), (300_000, 4)):
+        monkeypatch.setattr(langid, "PART_CELLS", cells)
+        model = langid.train(docs)
+        assert len(getattr(model, "parts", [0])) >= parts
+        got = {r["doc_id"]: r["bits"] for r in langid.identify(more, model).collect()}
+        assert got == pytest.approx(wanted, rel=1e-5)
+    monkeypatch.undo()
+    many = spark.createDataFrame([(i, f"language {chr(0x4E00 + i) * 4}", f"l{i:03}") for i in range(230)], docs.schema)
+    assert {r["doc_id"] for r in langid.identify(many, langid.train(many)).where("lang_pred = concat('l', lpad(doc_id, 3, '0'))").collect()} == set(range(230))
+
+
 def test_quality_on_held_out_labels(spark, duck):
     truth = dict(duck.execute(f"select doc_id, max(quality) from '{MORE}/labels.parquet' group by doc_id").fetchall())
     rows = [r for r in QUERIES["op9_quality"](spark, MORE).collect() if r["held_out"] and r["doc_id"] in truth]
