@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from serigraph.sources.panel import KEYS
 
 OCCURRENCE = ["feature_idx", *KEYS, "win_idx"]
+#: Occurrences of a feature that one row holds as an array.
+BLOCK = 512
 
 
 def standardised(panel: DataFrame) -> DataFrame:
@@ -37,14 +39,20 @@ def shape_summary(points: DataFrame, value: str = "value") -> DataFrame:
 def medoids(points: DataFrame, value: str = "value") -> DataFrame:
     """For each feature the occurrence with the least sum of Euclidean distances to the others.
 
-    All pairs of one feature's occurrences are compared, as the definition asks; the rows are those of the features passed
-    in, so pass the few to be shown. The first by series, signal and window wins ties.
+    All pairs of one feature's occurrences are compared, as the definition asks. An occurrence meets the others by blocks,
+    each an array of bounded size, so that a frequent feature is many keys and no pair is a row. Sums are taken in one order.
+    The first by series, signal and window wins ties.
     """
     rows = points.groupBy(*OCCURRENCE).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col(value).alias("v")))), lambda p: p["v"]).alias("x"))
-    other = rows.select("feature_idx", F.col("x").alias("y"))
-    squares = F.zip_with("x", "y", lambda a, b: (a - b) * (a - b))
-    distance = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, v: total + v))
-    sums = rows.join(other, "feature_idx").groupBy(*OCCURRENCE).agg(F.sum(distance).alias("distance"))
+    sizes = rows.groupBy("feature_idx").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "feature_idx").withColumn("block", F.pmod(F.xxhash64(*OCCURRENCE), "blocks").cast("int"))
+    others = dealt.groupBy("feature_idx", "block").agg(F.sort_array(F.collect_list("x")).alias("others"))
+    asked = dealt.select(*OCCURRENCE, "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    squares = lambda y: F.zip_with("x", y, lambda a, b: (a - b) * (a - b))
+    distance = lambda y: F.sqrt(F.aggregate(squares(y), F.lit(0.0), lambda total, v: total + v))
+    part = F.aggregate("others", F.lit(0.0), lambda total, y: total + distance(y))
+    parts = asked.join(others, ["feature_idx", "block"]).select(*OCCURRENCE, F.struct("block", part.alias("part")).alias("p"))
+    sums = parts.groupBy(*OCCURRENCE).agg(F.aggregate(F.sort_array(F.collect_list("p")), F.lit(0.0), lambda total, p: total + p["part"]).alias("distance"))
     best = F.row_number().over(Window.partitionBy("feature_idx").orderBy("distance", *OCCURRENCE[1:]))
     return sums.withColumn("r", best).where("r = 1").select(*OCCURRENCE, "distance")
 

@@ -153,3 +153,17 @@ def test_standardised_and_word_curve(panel, spark):
     assert {r["ts_id"]: (round(r["m"], 9), round(r["s"], 9)) for r in z} == {0: (0.0, 0.0), 3: (0.0, 1.0)}
     fields = explain.receptive_fields(spark.createDataFrame([(0, 0, 0, 2)], "feature_idx long, conf_idx int, signal_id int, word long"), [Config(4, 1, 2)])
     assert patterns.word_curve(fields).first()["curve"] == [-1.0, -1.0, 1.0, 1.0]
+
+
+def test_medoids_by_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(patterns, "BLOCK", 7, raising=False)
+    rng = np.random.default_rng(1)
+    x = {(f, i): rng.integers(0, 9, 4).astype(float) for f, n in ((13, 60), (14, 1), (15, 2)) for i in range(n)}
+    rows = [(f, i, 0, 0, k, k, float(v)) for (f, i), values in x.items() for k, v in enumerate(values)]
+    points = spark.createDataFrame(rows, "feature_idx long, ts_id long, signal_id int, win_idx long, k int, pos long, value double")
+    sums = {key: sum(float(np.linalg.norm(v - w)) for (f, _), w in x.items() if f == key[0]) for key, v in x.items()}
+    best = {f: min((round(d, 9), i) for (g, i), d in sums.items() if g == f) for f in (13, 14, 15)}
+    found = patterns.medoids(points)
+    assert {r["feature_idx"]: (round(r["distance"], 9), r["ts_id"]) for r in found.collect()} == best
+    # no row for each pair: the occurrences of a feature meet arrays
+    assert "others" in found._jdf.queryExecution().optimizedPlan().toString()
