@@ -5,7 +5,8 @@ from __future__ import annotations
 import html
 import json
 import re
-from bisect import bisect_left
+import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from os.path import commonprefix
 
@@ -13,12 +14,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from serigraph.llm._common import record_batch
+from serigraph.llm._common import checkpoint, record_batch
 
-#: Pages of one host that are compared in one task; hosts with more are dealt into several groups.
+#: Neighbouring addresses that are compared in one task, and pages of one address.
 GROUP_PAGES = 512
-#: Hosts over GROUP_PAGES are joined by broadcast only up to so many.
-BROADCAST_HOSTS = 100_000
 #: Pages that share this part of their article are versions of one article, which differencing must not delete.
 COPY_SHARE = 0.5
 
@@ -140,19 +139,20 @@ def shared_lines(a: list[str], b: list[str]) -> dict[int, int]:
     return out
 
 
-def main_text(page: list[tuple[int, str]], other: list[tuple[int, str]] | None) -> str:
-    """Blocks of page that are no chrome, without those shared with other; of pages with an article, only its blocks.
+def main_text(page: list[tuple[int, str]], *others: list[tuple[int, str]]) -> str:
+    """Blocks of page that are no chrome, without those shared with the first other that is no version of it; of pages with an article, only its blocks.
 
     A block that both pages hold inside their article element is text of both articles and stays.
     """
     least = 2 if any(where == 2 for where, _ in page) else 1
     kept = [i for i, (where, _) in enumerate(page) if where >= least]
-    if other:
+    for other in others:
         aligned = shared_lines([t for _, t in page], [t for _, t in other])
         gone = {i for i, j in aligned.items() if min(page[i][0], other[j][0]) < 2}
         size = sum(len(page[i][1]) for i in kept)
         if size and sum(len(page[i][1]) for i in kept if i in gone) < COPY_SHARE * size:
             kept = [i for i in kept if i not in gone]
+            break
     return " ".join(page[i][1] for i in kept)
 
 
@@ -172,47 +172,103 @@ def _partners(paths: list[str]) -> list[int | None]:
     return out
 
 
+ADDRESS = ["host", "path", "query"]
+
+
+def _neighbourhoods(rows: DataFrame) -> tuple[list[tuple], dict[tuple, int], dict[tuple, tuple]]:
+    """The first address of each group of GROUP_PAGES in order, the parts of addresses with more pages than that, and for addresses
+    that other groups need: their first page (url, page_id) and those groups (number, part). A few rows for each group."""
+    keys = rows.groupBy(*ADDRESS).agg(F.count("*").alias("n"), F.min(F.struct("url", "page_id")).alias("rep"))
+    keys = checkpoint(keys.repartitionByRange(*ADDRESS).sortWithinPartitions(*ADDRESS).withColumn("m", F.monotonically_increasing_id()))
+    at, bases = 0, []
+    for task, n in sorted(map(tuple, keys.groupBy(F.shiftright("m", 33)).count().collect())):
+        bases.append((task, at))
+        at += n
+    bases = F.broadcast(rows.sparkSession.createDataFrame(bases, "task long, base long"))
+    rank = F.col("base") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
+    parts = F.ceil(F.col("n") / GROUP_PAGES).cast("int")
+    keys = keys.withColumn("task", F.shiftright("m", 33)).join(bases, "task").select(*ADDRESS, "rep", rank.alias("rank"), F.floor(rank / GROUP_PAGES).alias("number"), parts.alias("parts"))
+    paths = keys.groupBy("host", "path").agg((F.min("rank") - 1).alias("low"), (F.max("rank") + 1).alias("high"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    needs = keys.join(paths, ["host", "path"]).select("host", "number", every, F.array(F.col("rank") - 1, F.col("rank") + 1, "low", "high").alias("ranks"))
+    needs = needs.select("host", "number", "part", F.explode("ranks").alias("rank")).distinct()
+    owners = keys.select(*ADDRESS, "rep", "rank", F.col("number").alias("own"), "parts")
+    lent = needs.join(owners, ["host", "rank"]).where("own <> number or part <> 0 or parts > 1").groupBy(*ADDRESS).agg(F.first("rep").alias("rep"), F.collect_set(F.struct("number", "part")).alias("to"))
+    bounds = keys.where(F.col("rank") % GROUP_PAGES == 0).orderBy("rank").select(*ADDRESS).collect()
+    return (
+        [tuple(r) for r in bounds], {(r["host"], r["path"], r["query"]): r["parts"] for r in keys.where("parts > 1").collect()},
+        {(r["host"], r["path"], r["query"]): (tuple(r["rep"]), [tuple(x) for x in r["to"]]) for r in lent.collect()},
+    )
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html).
 
-    Blocks of text are read from the whole html, paired with the page of the nearest path on the same host, and lines that
-    the two share are deleted, unless both mark them as article or they make up half of the text: then the pages are
-    versions of one. Menus, forms
+    Blocks of text are read from the whole html, paired with the page of the nearest path and query on the same host, and lines
+    that the two share are deleted, unless both mark them as article or they make up half of the text: then the pages are
+    versions of one, and if only the query differs, the nearest other path is taken instead. Menus, forms
     and the like go by element and class. Null html, and html without text, give an empty text; a null url is a host of
     its own; rows that repeat are separate pages; a page without a partner is judged by its elements alone; other columns
-    are dropped. A host with more than GROUP_PAGES pages is dealt by a hash of the path into groups of about that size.
+    are dropped. All addresses are put in order and cut into groups of GROUP_PAGES; pages next to a cut go to both sides, so
+    that a host of any size gives each page its nearest one on the whole host.
     """
     address = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://|[?#].*$", "")
     host = F.lower(F.substring_index(address, "/", 1))
     path = F.regexp_replace(F.substring(address, F.length(host) + 1, 1 << 20), r"(\.html?|/)$", "")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"), "html")
-    large = rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_PAGES)
-    large = large.select("host", F.ceil(F.col("n") / GROUP_PAGES).cast("int").alias("groups"))
-    if large.count() <= BROADCAST_HOSTS:
-        large = F.broadcast(large)
-    dealt = rows.join(large, "host", "left").withColumn("part", F.pmod(F.crc32(F.col("path")), F.coalesce("groups", F.lit(1))).cast("int")).drop("groups")
+    query = F.regexp_extract(F.regexp_replace(F.coalesce("url", F.lit("")), r"#.*$", ""), r"\?.*$", 0)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"), query.alias("query"), "html")
+    shared = pages.sparkSession.sparkContext.broadcast(_neighbourhoods(rows))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
+        bounds, parts, lent = shared.value
         for batch in batches:
             packed = [packer.compress(json.dumps(page_lines(h.as_py() or ""), ensure_ascii=False).encode("utf-8", "replace")) for h in batch.column("html")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "path", "part")), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "path", "part", "lines"])
+            at, number, part, own = [], [], [], []
+            for i, (page, url, *key) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", *ADDRESS)), strict=True)):
+                key = tuple(key)
+                rep, to = lent.get(key, (None, ()))
+                homes = [(bisect_right(bounds, key) - 1, zlib.crc32(f"{page} {url} {i}".encode()) % parts.get(key, 1)), *(to if rep == (url, page) else ())]
+                for k, home in enumerate(homes):
+                    at.append(i)
+                    number.append(home[0])
+                    part.append(home[1])
+                    own.append(k == 0)
+            take = pa.array(at, pa.int64())
+            columns = [batch.column(c).take(take) for c in ("page_id", "url", *ADDRESS)]
+            columns += [pa.array(number, pa.int64()), pa.array(part, pa.int32()), pa.array(own, pa.bool_()), pa.array(packed, pa.binary()).take(take)]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", *ADDRESS, "number", "part", "own", "lines"])
 
     def difference(group: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
-        group = group.sort_by([("path", "ascending"), ("url", "ascending"), ("page_id", "ascending")])
-        packed = group.column("lines").to_pylist()
-        texts, read_at = [], {}
-        for i, partner in enumerate(_partners(group.column("path").to_pylist())):
-            for j in (i, partner):
-                if j is not None and j not in read_at:
+        group = group.sort_by([(c, "ascending") for c in (*ADDRESS, "url", "page_id", "lines")])
+        packed, own = group.column("lines").to_pylist(), group.column("own").to_pylist()
+        rows = list(zip(*(group.column(c).to_pylist() for c in ADDRESS), strict=True))
+        first = {key: i for i, key in reversed(list(enumerate(rows)))}
+        hosts: dict[str, list[tuple]] = {}
+        for key in sorted(first):
+            hosts.setdefault(key[0], []).append(key)
+        partners: dict[tuple, list[int]] = {}
+        for keys in hosts.values():
+            near, far = _partners([k[1] + k[2] for k in keys]), _partners([k[1] for k in keys])
+            for key, a, b in zip(keys, near, far, strict=True):
+                chosen = [a, b] if a is not None and keys[a][1] == key[1] else [b]
+                partners[key] = [first[keys[j]] for j in chosen if j is not None]
+        texts, mine, read_at = [], [], {}
+        for i in range(len(rows)):
+            if not own[i]:
+                continue
+            for j in (i, *partners[rows[i]]):
+                if j not in read_at:
                     read_at[j] = json.loads(unpack(packed[j]))
-            texts.append(main_text(read_at[i], None if partner is None else read_at[partner]))
+            mine.append(i)
+            texts.append(main_text(read_at[i], *(read_at[j] for j in partners[rows[i]])))
             # neighbours only are needed again
             if len(read_at) > 64:
                 read_at = {j: x for j, x in read_at.items() if j >= i - 1}
+        group = group.take(pa.array(mine, pa.int64()))
         batch = record_batch({"page_id": (group.column("page_id").to_pylist(), pa.int64()), "url": (group.column("url").to_pylist(), pa.string()), "text": (texts, pa.string()), "n_chars": (list(map(len, texts)), pa.int64())})
         return pa.Table.from_batches([batch])
 
-    lines = dealt.select("page_id", "url", "host", "path", "part", "html").mapInArrow(read, "page_id long, url string, host string, path string, part int, lines binary")
-    return lines.groupBy("host", "part").applyInArrow(difference, "page_id long, url string, text string, n_chars long")
+    lines = rows.mapInArrow(read, "page_id long, url string, host string, path string, query string, number long, part int, own boolean, lines binary")
+    return lines.groupBy("number", "part").applyInArrow(difference, "page_id long, url string, text string, n_chars long")

@@ -211,6 +211,18 @@ def test_page_text(spark):
     assert rows[9]["text"] == "" and rows[10]["n_chars"] == 0 and len(rows) == 6
 
 
+def test_pages_meet_the_nearest_of_the_whole_host(spark, monkeypatch):
+    body = "<html><body><p>{0}</p><p>Own story number {1} with words enough to outweigh the notice {1} {1} {1} {1}</p></body></html>"
+    urls = [f"https://h.example/s{i // 2:04}/{i % 2}" for i in range(1300)] + [f"https://q.example/index.php?id={i:04}" for i in range(30)] + ["https://z.example/x"] * 20
+    notice = lambda i: f"Notice of section {i // 2}" if i < 1300 else "Notice"
+    pages = spark.createDataFrame([(i, u, body.format(notice(i), i)) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    for size in (512, 7):
+        monkeypatch.setattr(html_text, "GROUP_PAGES", size)
+        rows = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+        assert len(rows) == len(urls) and [i for i in range(1330) if "Notice" in rows[i]] == []
+        assert all("Notice" in rows[i] for i in range(1330, 1350))  # copies of one page have no partner
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
