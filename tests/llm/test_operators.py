@@ -248,6 +248,20 @@ def test_vectors_with_hot_groups(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 905))
 
 
+def test_vectors_that_differ_along_a_leading_direction(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 64)) * np.array([6.0] + [1.0] * 63)
+    x[:, 0] *= 0.3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = np.eye(64)[0] - x[:, :1] * x  # towards the direction of most variance
+    y = 0.96 * x + np.sqrt(1 - 0.96**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    rows = [(i, [float(v) for v in e]) for i, e in enumerate(np.concatenate([x, y]))]
+    unit = np.concatenate([x, y])
+    near = (unit @ unit.T >= 0.95).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert near.sum() >= 1200 and sum(got.values()) >= 0.99 * near.sum() and all(got[i] <= near[i] for i in range(1200))
+
+
 def test_top_k_ties_and_odd_vectors(spark):
     rows = [(i, [1.0, float(i % 3)]) for i in range(40)] + [(50, None), (51, []), (52, [None, 1.0]), (53, [float("inf"), 0.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
