@@ -248,18 +248,56 @@ def test_vectors_with_hot_groups(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 905))
 
 
-def test_vectors_that_differ_along_a_leading_direction(spark):
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(600, 64)) * np.array([6.0] + [1.0] * 63)
-    x[:, 0] *= 0.3
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    away = np.eye(64)[0] - x[:, :1] * x  # towards the direction of most variance
-    y = 0.96 * x + np.sqrt(1 - 0.96**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
-    rows = [(i, [float(v) for v in e]) for i, e in enumerate(np.concatenate([x, y]))]
-    unit = np.concatenate([x, y])
-    near = (unit @ unit.T >= 0.95).sum(1) - 1
-    got = {r["vec_id"]: r["n_links"] for r in near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
-    assert near.sum() >= 1200 and sum(got.values()) >= 0.99 * near.sum() and all(got[i] <= near[i] for i in range(1200))
+def links_by_force(x, cosine=0.95):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return (unit @ unit.T >= cosine) & ~np.eye(len(x), dtype=bool)
+
+
+@pytest.mark.parametrize("rank", [4, 8, 16, 64])
+def test_vectors_of_few_directions(spark, monkeypatch, rank):
+    """Pairs at the threshold itself, where vectors vary in few directions, over many small cells and several deals."""
+    monkeypatch.setattr(near_vectors, "CELL_ROWS", 128)
+    rng = np.random.default_rng(rank)
+    x = rng.normal(size=(2000, rank)) @ rng.normal(size=(rank, 64))
+    x[:, :8] *= 3
+    base, away = x[:1000] / np.linalg.norm(x[:1000], axis=1, keepdims=True), x[1000:]
+    away = away - (away * base).sum(1, keepdims=True) * base
+    x = np.concatenate([base, 0.951 * base + np.sqrt(1 - 0.951**2) * away / np.linalg.norm(away, axis=1, keepdims=True)])
+    wanted = links_by_force(x).sum(1)
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors.near_duplicates(spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert wanted.sum() >= 2000 and sum(got.values()) >= 0.99 * wanted.sum() and all(got[i] <= wanted[i] for i in range(len(x)))
+
+
+def test_vectors_in_full_cells(spark, monkeypatch):
+    """A third of the rows near one vector, in a grid of tasks: every link is counted once."""
+    monkeypatch.setattr(near_vectors, "SIDE", 100)
+    monkeypatch.setattr(near_vectors, "CELL_ROWS", 64)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 32))
+    x[:300] = x[0] + rng.normal(size=(300, 32)) * 0.1
+    wanted = links_by_force(x).sum(1)
+    df = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    for cells in (near_vectors.BROADCAST_CELLS, 0):
+        monkeypatch.setattr(near_vectors, "BROADCAST_CELLS", cells)
+        rows = near_vectors.near_duplicates(df).collect()
+        assert sum(r["n_links"] for r in rows) >= 0.99 * wanted.sum() > 80_000 and all(r["n_links"] <= wanted[r["vec_id"]] for r in rows)
+        assert {r["component_id"] for r in rows if r["vec_id"] < 300} == {0}
+
+
+def test_vectors_of_many_lengths_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "FITTED_LENGTHS", 2)
+    rng = np.random.default_rng(4)
+    rows, wanted = [], {}
+    for k, dim in enumerate((6, 7, 8, 9, 10)):
+        x = rng.normal(size=(60 - k, dim))
+        x[30:] = x[: len(x) - 30] + rng.normal(size=(len(x) - 30, dim)) * 0.05
+        rows += [(100 * k + i, [float(v) for v in e], None) for i, e in enumerate(x)]
+        wanted |= {100 * k + i: int(n) for i, n in enumerate(links_by_force(x).sum(1))}
+    odd = [(None, [1.0, 0.0], 1), (7000, [2.0, 1.0], 2), (7000, [-1.0, 5.0], 3), (7001, [-2.0, 10.0], 4), (7002, [-0.0, 3.0], 5), (7003, [0.0, 1e-300], 6), (7004, [1e300, 1.0], 7)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, n_links int").withColumns({c: F.lit("clash") for c in ("h", "rep", "n", "component_id", "fit")})
+    got = sorted((r["vec_id"] if r["vec_id"] is not None else -1, r["n_links"], r["component_id"]) for r in near_vectors.near_duplicates(df).collect())
+    assert sum(n for i, n, _ in got if 0 <= i < 7000) >= 0.98 * sum(wanted.values()) and all(n <= wanted[i] for i, n, _ in got if 0 <= i < 7000)
+    assert [x for x in got if x[0] >= 7000 or x[0] < 0] == [(-1, 0, None), (7000, 0, 7000), (7000, 3, 7000), (7001, 3, 7000), (7002, 3, 7000), (7003, 3, 7000), (7004, 0, 7004)]
 
 
 def test_top_k_ties_and_odd_vectors(spark):
