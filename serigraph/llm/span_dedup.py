@@ -3,31 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from serigraph.llm._common import CHUNK_BYTES, mixed, record_batch, text_chunks
+from serigraph.llm._common import CHUNK_BYTES, checkpoint, mixed, record_batch, text_chunks
 from serigraph.llm._words import powers, words_of
 
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
+_CLOSERS = np.zeros(256, bool)
+_CLOSERS[[ord(c) for c in "\"')]"]] = True
 _STEP = np.uint64(0xD1342543DE82EF95)
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
 
-def window_of(sentences_: int, words_: int, cut_every: int) -> int:
-    """The most words between cuts: cut_every, or less so that every passage of over 2 * words_ words holds a whole run.
-
-    Of w words between cuts at most, those within w - 1 of an end of the passage may have other cuts in another copy. The first
-    run from a cut that all copies have ends after 3 * w + words_ - 2 words, or (2 + sentences_) * w - 1, with w to spare.
-    """
-    return max(1, min(cut_every, (words_ + 4) // 4, (2 * words_ + 3) // (sentences_ + 3)))
-
-
-def least_of_windows(h: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
-    """Whether the hash of each word is the least in some window of consecutive words of its text."""
+def least_of_windows(h: np.ndarray, of: np.ndarray, window: int) -> np.ndarray:
+    """Whether the hash of each word is the least in some window of consecutive words of the same number in of."""
     out = np.zeros(len(h), bool)
     n = len(h) - window + 1
     if n < 1:
@@ -35,31 +29,46 @@ def least_of_windows(h: np.ndarray, first: np.ndarray, window: int) -> np.ndarra
     least = h[:n].copy()
     for k in range(1, window):
         np.minimum(least, h[k : n + k], out=least)
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    whole = text[:n] == text[window - 1 :]
+    whole = of[:n] == of[window - 1 :]
     for k in range(window):
         out[k : n + k] |= whole & (least == h[k : n + k])
     return out
 
 
-def sentences(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sentences of the texts: first and past-last word, hash, first of each text; then the words' byte bounds.
+@dataclass
+class Sentences:
+    """Sentences of some texts, those of text i from first[i] on: first and past-last word, hash, whether a sentence (and no later piece of one) starts."""
+
+    begin: np.ndarray
+    stop: np.ndarray
+    hash: np.ndarray
+    starts: np.ndarray
+    first: np.ndarray
+    word_start: np.ndarray  # byte offsets in the joined texts
 
-    A sentence ends at a word that ends in . ! or ?, before a line break, and, so that text without stops has sentences as
-    well, at any word whose hash is the least of a window of so many consecutive words: no sentence has more words than
-    that (twice as many at the ends of a text), and a passage has the same cuts wherever it stands, but for a window at its ends.
+
+def sentences(texts: list[bytes], longest: int) -> Sentences:
+    """A sentence ends at a word that ends in . ! or ? (quotes and brackets may follow), before a line break, and with the text.
+
+    One of more than longest words, as in text without stops, is cut into pieces after each word whose hash is the least of
+    a window of so many words of it: no piece is longer, and a passage has the same pieces wherever it stands, but at its ends.
     """
     words = words_of(texts)
     n = len(words.start)
     data = np.frombuffer(b" ".join(texts), np.uint8)
-    ends = least_of_windows(words.hash, words.first, window)
+    ends = np.zeros(n, bool)
     if n:
-        ends |= _STOPS[data[words.end - 1]]
+        final = words.end - 1
+        ends = _STOPS[data[final]] | (_CLOSERS[data[final]] & (final > words.start) & _STOPS[data[final - 1]])
         breaks = np.concatenate([[0], np.cumsum(data == 10)])
         following = np.append(words.start[1:], len(data))
         ends |= breaks[following] > breaks[words.end]
         last = words.first[1:] - 1
         ends[last[last >= words.first[:-1]]] = True
+    of = np.cumsum(ends) - ends
+    starts = np.concatenate([[True], ends[:-1]]) if n else ends
+    long = np.bincount(of)[of] > longest if n else ends
+    ends[long] |= least_of_windows(words.hash[long], of[long], longest)
     stop = np.flatnonzero(ends) + 1
     begin = np.concatenate([[0], stop[:-1]]) if len(stop) else stop
     # a hash that depends on the words and their order in the sentence only
@@ -67,7 +76,7 @@ def sentences(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray,
     if len(stop):
         place = np.arange(n) - np.repeat(begin, stop - begin)
         h = mixed(np.add.reduceat(words.hash * powers(int(place.max()) + 1, _STEP)[place], begin))
-    return begin, stop, h, np.searchsorted(begin, words.first), words.start, words.end
+    return Sentences(begin, stop, h, starts[begin], np.searchsorted(begin, words.first), words.start)
 
 
 def spans(begin: np.ndarray, stop: np.ndarray, h: np.ndarray, sentences_: int, words_: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,16 +95,16 @@ def spans(begin: np.ndarray, stop: np.ndarray, h: np.ndarray, sentences_: int, w
 RUNS = "doc_id long, h long"
 
 
-def _runs(docs: DataFrame, sentences_: int, words_: int, window: int) -> DataFrame:
+def _runs(docs: DataFrame, sentences_: int, words_: int, longest: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for first, texts in text_chunks(batch.column("text")):
-                begin, stop, h, of, _, _ = sentences(texts, window)
+                s = sentences(texts, longest)
                 found: list[list] = [[], []]
                 for i in range(len(texts)):
-                    a, b = of[i], of[i + 1]
-                    end, key = spans(begin[a:b], stop[a:b], h[a:b], sentences_, words_)
+                    some = slice(s.first[i], s.first[i + 1])
+                    end, key = spans(s.begin[some], s.stop[some], s.hash[some], sentences_, words_)
                     own = np.unique(key[end > 0]).view(np.int64)
                     found[0].append(np.full(len(own), ids[first + i]))
                     found[1].append(own)
@@ -104,58 +113,66 @@ def _runs(docs: DataFrame, sentences_: int, words_: int, window: int) -> DataFra
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, RUNS)
 
 
-def remove_repeats(docs: DataFrame, sentences_: int = 3, words_: int = 25, cut_every: int = 8) -> DataFrame:
+def repeated(s: Sentences, a: int, b: int, cut: list[int] | None, sentences_: int, words_: int) -> list[tuple[int, int]]:
+    """Stretches of sentences a to b, those of one text, to be removed: cut has the keys of runs whose first place is another text."""
+    end, key = spans(s.begin[a:b], s.stop[a:b], s.hash[a:b], sentences_, words_)
+    on = np.flatnonzero(end)
+    again = np.ones(len(on), bool)
+    again[np.unique(key[on], return_index=True)[1]] = False  # the first place in this text
+    if cut:
+        again |= np.isin(key[on].view(np.int64), np.array(cut, np.int64))
+    cover = np.zeros(b - a + 1, np.int64)
+    np.add.at(cover, on[again], 1)
+    np.add.at(cover, end[on[again]], -1)
+    edge = np.flatnonzero(np.diff((cover.cumsum()[:-1] > 0).astype(np.int8), prepend=0, append=0)) + a
+    out = []
+    for low, high in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        bounds = low + np.flatnonzero(np.append(s.starts[low : min(high + 1, b)], [True] * (high == b)))
+        if len(bounds) > 1 and s.begin[bounds[0]] + words_ <= s.stop[bounds[-1] - 1]:
+            low, high = int(bounds[0]), int(bounds[-1])  # whole sentences
+        out.append((low, high))
+    return out
+
+
+def remove_repeats(docs: DataFrame, sentences_: int = 3, words_: int = 25, longest: int = 12) -> DataFrame:
     """(doc_id, text, n_sentences, n_removed, n_words_removed, removed) for every row of docs (doc_id, text).
 
     Every run of at least sentences_ consecutive sentences and words_ words is hashed and joined over all documents. Its
     first place, by doc_id and position, stays; sentences covered by a run at any other place are removed, with the white
-    space after them. A repeated passage of over 2 * words_ words always holds a run: sentences are cut at cut_every words
-    or, for that, sooner (window_of). Its words before the first cut or run that both copies have, and after the last, stay.
+    space after them. Sentences of more than longest words count by their pieces in runs; of a covered stretch its whole
+    sentences go, or, if they have fewer than words_ words, its pieces too. With the defaults every repeated passage of over 50 words holds a run.
     removed: the byte spans taken out, start:end, comma-joined. Rows that repeat a doc_id are versions of
     one document: what they share stays in each. Null ids take no part; null text stays null, with no
     sentences. An empty table gives an empty one. Other columns are dropped.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    window = window_of(sentences_, words_, cut_every)
-    runs = _runs(rows, sentences_, words_, window)
-    firsts = runs.groupBy("h").agg(F.min("doc_id").alias("first_doc"))
-    repeats = runs.join(firsts, "h").where("doc_id <> first_doc")
-    flagged = repeats.groupBy("doc_id").agg(F.collect_set("h").alias("cut"))  # at most the document's own sentences
+    runs = checkpoint(_runs(rows, sentences_, words_, longest))
+    repeats = runs.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc").drop("last_doc")
+    # a table of its own, so that a run that very many documents hold can be split among tasks
+    flagged = runs.join(checkpoint(repeats), "h").where("doc_id <> first_doc").groupBy("doc_id").agg(F.collect_set("h").alias("cut"))  # at most the document's own runs
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, cuts = batch.column("doc_id"), batch.column("cut").to_pylist()
             for first, texts in text_chunks(batch.column("text"), CHUNK_BYTES):
-                begin, stop, h, of, w_start, w_end = sentences(texts, window)
+                s = sentences(texts, longest)
                 base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
                 out, count, gone, gone_words, told = [], [], [], [], []
                 for i, text in enumerate(texts):
-                    a, b = of[i], of[i + 1]
-                    cut = cuts[first + i]
-                    end, key = spans(begin[a:b], stop[a:b], h[a:b], sentences_, words_)
-                    on = np.flatnonzero(end)
-                    again = np.ones(len(on), bool)
-                    again[np.unique(key[on], return_index=True)[1]] = False  # the first place in this text
-                    if cut:
-                        again |= np.isin(key[on].view(np.int64), np.array(cut, np.int64))
-                    cover = np.zeros(b - a + 1, np.int64)
-                    np.add.at(cover, on[again], 1)
-                    np.add.at(cover, end[on[again]], -1)
-                    dead = cover.cumsum()[:-1] > 0
-                    kept, holes, at = [], [], 0
-                    edge = np.flatnonzero(np.diff(dead.astype(np.int8), prepend=0, append=0))
-                    for s, e in zip(edge[::2], edge[1::2], strict=True):
-                        start = int(w_start[begin[a + s]] - base[i])
-                        stop_at = int(w_start[begin[a + e]] - base[i]) if a + e < b else len(text)
+                    a, b = int(s.first[i]), int(s.first[i + 1])
+                    kept, holes, at, n, n_words = [], [], 0, 0, 0
+                    for low, high in repeated(s, a, b, cuts[first + i], sentences_, words_):
+                        start = int(s.word_start[s.begin[low]] - base[i])
+                        stop = int(s.word_start[s.begin[high]] - base[i]) if high < b else len(text)
                         kept.append(text[at:start])
-                        holes.append(f"{start}:{stop_at}")
-                        at = stop_at
+                        holes.append(f"{start}:{stop}")
+                        at, n, n_words = stop, n + high - low, n_words + int(s.stop[high - 1] - s.begin[low])
                     kept.append(text[at:])
                     valid = batch.column("text")[first + i].is_valid
                     out.append(b"".join(kept).decode() if valid else None)
                     count.append(b - a)
-                    gone.append(int(dead.sum()))
-                    gone_words.append(int((stop[a:b] - begin[a:b])[dead].sum()))
+                    gone.append(n)
+                    gone_words.append(n_words)
                     told.append(",".join(holes))
                 yield record_batch({
                     "doc_id": (ids.slice(first, len(texts)), pa.int64()), "text": (out, pa.string()), "n_sentences": (count, pa.int64()),

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from serigraph.llm import html_text, langid, mixing, near_vectors, ngram_join, packing, pii, quality, span_dedup, topk
+from serigraph.llm._words import words_of
 from serigraph.llm.queries import ORACLES, QUERIES, TOKENIZER
 
 SF, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"  # the smallest has too few labels to learn from
@@ -201,6 +202,74 @@ def test_every_passage_over_50_words_is_found(spark):
     assert [i for i in range(1, 1200, 2) if rows[i]["n_words_removed"] < 25] == []
 
 
+def plain_sentences(text, longest=12):
+    """(words, whether it starts a sentence) in plain Python; a sentence over the limit in pieces."""
+    out = []
+    for line in text.split("\n"):
+        words, held = [w for w in re.split(r"[\x20\x09-\x0D]+", line) if w], []
+        for k, w in enumerate(words):
+            held.append(w)
+            if re.search(r"[.!?][\"')\]]?$", w) or k == len(words) - 1:
+                cuts = {len(held) - 1}
+                if len(held) > longest:
+                    h = words_of([" ".join(held).encode()]).hash.tolist()
+                    for i in range(len(h) - longest + 1):
+                        cuts |= {j for j in range(i, i + longest) if h[j] == min(h[i : i + longest])}
+                at = 0
+                for c in sorted(cuts):
+                    out.append((tuple(held[at : c + 1]), at == 0))
+                    at = c + 1
+                held = []
+    return out
+
+
+def plain_runs(pieces, n=3, words=25):
+    for i in range(len(pieces)):
+        size = 0
+        for j in range(i, len(pieces)):
+            size += len(pieces[j][0])
+            if j - i + 1 >= n and size >= words:
+                yield i, j + 1, tuple(p for p, _ in pieces[i : j + 1])
+                break
+
+
+def test_repeated_spans_equal_brute_force(spark, duck):
+    rows = duck.execute(f"select doc_id, text from '{MORE}/documents.parquet' order by doc_id").fetchall()
+    rng = random.Random(7)
+    passage = " ".join(f"w{rng.randrange(1000)}" for _ in range(60))
+    rows += [(10**6 + k, f"Own text {k} here. {passage} and {k} more words" if k < 4 else f"Yes, {k}! {passage}. One. Two. Three. {passage}.") for k in range(8)]
+    rows += [(10**6 + 10, f"x {passage}"), (10**6 + 11, f"Another start of {passage}")]  # no sentence but the last piece ends there
+    pieces = {d: plain_sentences(t or "") for d, t in rows}
+    first = {}
+    for d, _ in rows:
+        for i, _, key in plain_runs(pieces[d]):
+            first.setdefault(key, (d, i))
+    touched = 0
+    got = {r["doc_id"]: r for r in span_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, text in rows:
+        own = pieces[d]
+        dead = [False] * len(own)
+        for i, j, key in plain_runs(own):
+            if first[key] != (d, i):
+                dead[i:j] = [True] * (j - i)
+        i = 0
+        while i < len(own):
+            j = i
+            while j < len(own) and dead[j]:
+                j += 1
+            if j > i:
+                bounds = [k for k in range(i, j + 1) if k == len(own) or own[k][1]]
+                whole = range(bounds[0], bounds[-1]) if bounds else ()
+                if sum(len(own[k][0]) for k in whole) >= 25:
+                    dead[i:j] = [k in whole for k in range(i, j)]
+            i = j + 1
+        left = [w for (words, _), x in zip(own, dead) if not x for w in words]
+        assert re.split(r"[\x20\x09-\x0D]+", (got[d]["text"] or "").strip(" \t\n\x0b\x0c\r") or " ")[0 if left else 1 :][: len(left)] == left or not left
+        assert (got[d]["n_sentences"], got[d]["n_removed"]) == (len(own), sum(dead))
+        touched += any(dead)
+    assert touched > 60 and all(got[10**6 + k]["n_removed"] > 0 for k in range(1, 8))
+
+
 PAGE = "<html><head><title>t</title><style>p{{}}</style></head><body><nav><a>Home</a></nav><div><p>Shared offer of the site</p></div><article><h1>{0}</h1><p>Text &amp; more of {0}\n in one <b>block</b>.</p></article><div class='comments'><p>I disagree</p></div><footer>(c)</footer></body></html>"
 
 
