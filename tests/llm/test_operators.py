@@ -85,6 +85,41 @@ def test_no_links_are_lost_among_many_near_copies(spark):
     assert {r["doc_id"] for r in ngram_join.keep_one(docs).collect()} == {find(i) for i in range(len(texts))}
 
 
+def test_hot_texts_and_shingles_are_dealt_evenly(spark, monkeypatch):
+    """Half of the texts empty, a third copies, and shingles that every other text has."""
+    rng = random.Random(8)
+    common = " ".join(f"common{i}" for i in range(30))
+    texts = [""] * 3000 + ["a text that is the same in very many rows of the table"] * 2000
+    texts += [f"{common} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice((2, 40)))) for _ in range(1000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs).collect()}
+    worded = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in worded]
+    near = [i for i in range(5000, 6000) if len(sets[i]) == 28]
+    assert all(100 * len(sets[near[0]] & sets[i]) >= 80 * len(sets[near[0]] | sets[i]) for i in near)
+    assert wanted == {(i, len(sets[i]), near[0] if i in set(near) else min(i, 3000) if 3000 <= i < 5000 else i) for i in range(6000)}
+    for name, value in (("HOT_ONE_IN", 1), ("PART_SHINGLES", 2000), ("FLUSH", 5000)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("words"))
+    size, count, hot = ngram_join._looked_over(rows, 5)
+    assert count == 6000 and size == sum(map(len, texts)) and len(hot) == 26
+    parts = int(max(size / 6, count) // 2000) + 1
+    dealt = ngram_join._dealt(rows.repartition(4), 5, parts, spark.sparkContext.broadcast(hot))
+    sizes = [r[0] for r in dealt.groupBy("part").agg(F.sum(F.coalesce(F.octet_length("tokens") / 8, F.lit(0)) + F.when(F.col("keys").isNull(), 1).otherwise(0))).select("sum((coalesce((octet_length(tokens) / 8), 0) + CASE WHEN (keys IS NULL) THEN 1 ELSE 0 END))").collect()]
+    assert len(sizes) == parts and max(sizes) <= 2 * np.median(sizes)
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs).collect()} == wanted
+
+
+def test_keep_one_of_odd_rows(spark):
+    """Rows that share an id but not a text are documents of their own; of repeated rows one stays; every column stays."""
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a, "p"), (1, a, "q"), (1, b, "p"), (2, a + " more", "p"), (3, b, "p"), (4, None, "p"), (4, None, "p"), (None, a, "p"), (None, a, "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root string").withColumns({c: F.lit("clash") for c in ("words", "times", "kept_id", "kept_words", "row", "place")})
+    first, again = (sorted((tuple(r) for r in ngram_join.keep_one(docs.repartition(k)).collect()), key=str) for k in (1, 5))
+    assert first == again and ngram_join.keep_one(docs).columns == docs.columns
+    assert sorted((r[0], (r[1] or "")[:2]) for r in first if r[0]) == [(1, "a0"), (1, "b0"), (4, ""), (4, "")] and len(first) == 6
+
+
 def test_packing_is_exact_and_tight(spark, documents):
     from tokenizers import Tokenizer
 
