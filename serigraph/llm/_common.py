@@ -14,10 +14,15 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: that which the cluster names; only where none is set (local tests) a temporary one."""
+    """The checkpoint folder: that which the cluster names; only in a local session without one (tests) a temporary one."""
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
     return context.getCheckpointDir().get()
 
 

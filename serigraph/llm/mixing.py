@@ -48,38 +48,45 @@ def _ranked(sources: DataFrame) -> DataFrame:
     return parts.withColumn("inside", inside).join(offsets, "part").withColumn("rank", F.col("inside") + F.col("before")).drop("part", "count", "before", "inside")
 
 
-def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, limit: float = 2.0, seed: int = 17) -> DataFrame:
+ADDED = ("size", "source_size", "target", "copies")
+
+
+def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, limit: float = 2.0, seed: int = 17, keep_text: bool = True) -> DataFrame:
     """Add size, source_size, target and copies to docs (doc_id, text, source, ...).
 
     copies = floor(rate), and one more with a probability of the rest, drawn from a hash of seed and doc_id, where rate =
     target / source_size of the source. Reruns agree; rows that repeat a doc_id get the same draw. Null text has size 0;
-    a null source is a source; a source without words has rate 0; an empty table gives an empty one. Columns of docs
-    named like the added ones are replaced. At most ceil(limit) copies are made.
+    a null source is a source; a source without words has rate 0; an empty table gives an empty one. Other columns stay, but
+    those named like the added ones are replaced. At most ceil(limit) copies are made. Without keep_text the words are
+    counted once, and the column text goes.
     """
-    added = ("size", "source_size", "target", "copies", "weight", "rate")
-    sized = docs.drop(*added).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    row = F.struct(*[docs[c] for c in docs.columns if c.lower() not in ADDED and (keep_text or c.lower() != "text")])
+    return _planned(docs, row, weights, share, limit, seed, keep_text).select("row.*", *ADDED)
+
+
+def _planned(docs: DataFrame, row: F.Column, weights: tuple[float, ...], share: float, limit: float, seed: int, keep_text: bool) -> DataFrame:
+    """(row, size, source_size, target, copies): the struct row stands for whatever columns docs has."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    sized = docs.select(row.alias("row"), F.col("source").alias("of_source"), draw.alias("draw"), F.xxhash64("doc_id", "text").alias("salt"), size.alias("size"))
+    if not keep_text:
+        sized = checkpoint(sized)
+    sums = sized.groupBy(F.col("of_source").alias("source")).agg(F.sum("size").alias("source_size"))
     targets = checkpoint(source_targets(sums, weights, share, limit))
     rows, names = targets.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()
+    same = F.col("source").eqNullSafe(F.col("of_source"))  # the null source meets its own sum
     if rows <= BROADCAST_ROWS and names <= BROADCAST_BYTES:
-        # null-safe: the null source meets its own sum
-        targets = targets.withColumnRenamed("source", "of_source")
-        joined = sized.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
+        joined = sized.join(F.broadcast(targets), same)
     else:
         # many sources: shuffle join on (source, salt), so that a hot source is dealt over 32 tasks
-        salted = targets.withColumnRenamed("source", "of_source").withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-        salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(32)).cast("int")
-        on = F.col("source").eqNullSafe(F.col("of_source")) & (F.col("salt") == F.col("of_salt"))
-        joined = sized.withColumn("salt", salt).join(salted, on).drop("of_source", "of_salt", "salt")
+        salted = targets.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+        joined = sized.withColumn("salt", F.pmod("salt", F.lit(32)).cast("int")).join(salted, same & (F.col("salt") == F.col("of_salt")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    whole = F.floor("rate")
-    extra = F.when(drawn < F.col("rate") - whole, 1).otherwise(0)
-    return joined.withColumn("rate", rate).withColumn("copies", (whole + extra).cast("long")).drop("weight", "rate")
+    extra = F.when(F.col("draw") < rate - F.floor(rate), 1).otherwise(0)
+    return joined.select("row", "size", "source_size", "target", (F.floor(rate) + extra).cast("long").alias("copies"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: every row of docs as often as plan_mix says, with the columns of docs."""
-    planned = plan_mix(docs, **options).where("copies > 0")
-    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return planned.withColumn("copy_no", times).select(*docs.columns)
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, limit: float = 2.0, seed: int = 17) -> DataFrame:
+    """The mixed corpus itself: every row of docs as often as plan_mix says, with the columns of docs, whatever their names."""
+    planned = _planned(docs, F.struct("*"), weights, share, limit, seed, True).where("copies > 0")
+    return planned.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

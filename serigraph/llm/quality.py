@@ -147,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Fore
     """Fit on the rows of labels (doc_id, quality) that have a document, at most sample_rows of them.
 
     The rows with the smallest hashes of doc_id are taken; their features, sample_rows x 24 numbers, are what reaches the
-    driver. Labels other than 0 and 1 and null ids are left out; without any label the forest scores 0.5.
+    driver. Labels other than 0 and 1 and null ids are left out; of repeated labels the greatest counts; without any
+    label the forest scores 0.5. Very long texts are read whole.
     """
     sample = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
     sample = sample.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -177,3 +178,15 @@ def classify(docs: DataFrame, forest: Forest, keep_text: bool = False) -> DataFr
 
     schema = StructType(list(docs.select(*carried).schema.fields)).add("score", "double").add("predicted", "integer")
     return docs.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, forest: Forest) -> DataFrame:
+    """The rows of docs that classify predicts to be of label 1, with their columns, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [shared.value.score(statistics(texts)) for _, texts in text_chunks(batch.column("text"))]
+            yield batch.filter(pa.array(np.concatenate(scores) >= 0.5 if scores else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ def id_remainder(n: int) -> F.Column:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    planned = mixing.plan_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep_text=False)
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
