@@ -15,7 +15,7 @@ from serigraph.llm.queries import TOKENIZER, id_remainder
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on labels, doesn't reject."""
     forest = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(id_remainder(3) != 1))
-    return quality.classify(docs, forest, keep_text=True).where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, forest)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced; n_chars follows the text."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Documents with personal data replaced; the column n_chars, if there is one, follows the text."""
+    clean = pii.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +52,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents; each result is written to the shared folder and read again."""
+    """Apply all stages to documents; each result is written to the shared folder and read again, and the one before it removed.
+
+    Null and empty texts and repeated rows go through as the operators say; rows with a null doc_id stay, for they link with
+    nothing. All columns but those that a stage sets stay, whatever their names, up to the last stage. An empty table gives
+    an empty one. The result of the last stage stays in the shared folder, for whoever reads the returned rows.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
+        if number:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{number - 1}"), True)
     return docs
