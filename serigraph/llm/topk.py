@@ -6,198 +6,190 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from serigraph.llm._common import checkpoint, record_batch
 
-#: Rows of a packed chunk of candidates and of a block of queries; bins of a histogram; queries scored at once.
-CHUNK, BLOCK, BINS, STEP = 8192, 1024, 256, 128
-#: Tasks that one block of queries is spread over, at least.
-SPREAD = 24
+#: Numbers of a packed chunk of candidates; bins of a histogram; queries scored at once.
+CHUNK_NUMBERS, BINS, STEP = 1 << 18, 256, 128
+#: Bytes of the queries that are broadcast in one round.
+ROUND_BYTES = 64 << 20
+#: A query's histogram is refined until so many candidates for each of its k places are left.
+LEFT = 16
 
 
-def _packed(vectors: DataFrame, rows: int) -> DataFrame:
-    """(chunk, ids, dim, top, matrix): chunks of integer vectors floor(256 * x), kept as 32-bit floats where those are exact."""
+def _norms(x: np.ndarray) -> np.ndarray:
+    top = np.abs(x).max(1, initial=0, keepdims=True)
+    return top[:, 0] * np.linalg.norm(np.divide(x, top, out=np.zeros_like(x), where=top > 0), axis=1)
+
+
+def _packed(vectors: DataFrame) -> DataFrame:
+    """(ids, dim, norm, matrix): chunks of integer vectors floor(256 * x) of one length, as 32-bit floats where those are exact."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                lists = part.column("embedding")
-                size = lists.value_lengths().to_numpy(zero_copy_only=False)
-                dim = int(size.max())
-                x = np.zeros((part.num_rows, dim))
-                # shorter vectors end in zeros
-                x[np.arange(dim) < size[:, None]] = np.floor(256.0 * lists.flatten().to_numpy(zero_copy_only=False).astype(float))
-                top = float(np.abs(x).max(initial=0))
-                kind = np.float32 if top < 1 << 24 else np.float64
-                yield record_batch({
-                    "chunk": ([task << 32 | number], pa.int64()), "ids": ([part.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()),
-                    "dim": ([dim], pa.int32()), "top": ([top], pa.float64()), "matrix": ([x.astype(kind).tobytes()], pa.binary()),
-                })
-                number += 1
-
-    return vectors.mapInArrow(run, "chunk long, ids binary, dim int, top double, matrix binary")
-
-
-def _unpacked(ids: bytes, dim: int, matrix: bytes) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(ids, "<i8")
-    return ids, np.frombuffer(matrix, np.float32 if len(matrix) == 4 * dim * len(ids) else np.float64).reshape(len(ids), dim)
-
-
-def _scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Inner products in the narrowest floats that hold every partial sum exactly; beyond 2**53 those of doubles."""
-    dim = max(queries.shape[1], candidates.shape[1])
-    queries, candidates = (np.pad(x, ((0, 0), (0, dim - x.shape[1]))) if x.shape[1] < dim else x for x in (queries, candidates))
-    most = dim * float(np.abs(queries).max(initial=0)) * float(np.abs(candidates).max(initial=0))
-    if most < 1 << 24:
-        return (queries.astype(np.float32) @ candidates.astype(np.float32).T).astype(float)
-    return queries.astype(float) @ candidates.astype(float).T
-
-
-def _state(row: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """lo and above of the n queries of a block; those that met no candidate at all come last or have none to find."""
-    lo, above = np.full(n, np.inf), np.zeros(n, "<i8")
-    known = len(row["lo"]) // 8
-    lo[:known], above[:known] = np.frombuffer(row["lo"]), np.frombuffer(row["above"], "<i8")
-    return lo, above
-
-
-def _grid(chunks: DataFrame, blocks: DataFrame, n_blocks: int, n_tasks: int) -> DataFrame:
-    """Every chunk beside every block of the stated query set, dealt evenly by (block, salt)."""
-    salts = max(1, -(-max(SPREAD, n_tasks) // n_blocks))
-    keyed = chunks.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int"))
-    keyed = keyed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    spread = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    n = n_blocks * salts
-    return keyed.repartition(n, "block", "salt").join(spread.repartition(n, "block", "salt"), ["block", "salt"])
-
-
-HISTOGRAM = "block int, q int, lo double, above long, bin int, n long"
-
-
-def _histograms(width: float, k: int):
+            size = batch.column("embedding").value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(size).tolist():
+                rows = batch.filter(pa.array(size == dim))
+                step = max(1, CHUNK_NUMBERS // dim)
+                for at in range(0, rows.num_rows, step):
+                    part = rows.slice(at, step)
+                    x = np.floor(256.0 * part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float)).reshape(-1, dim)
+                    kind = np.float32 if np.abs(x).max() < 1 << 24 else np.float64
+                    yield record_batch({
+                        "ids": ([part.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "dim": ([dim], pa.int32()),
+                        "norm": ([_norms(x).max()], pa.float64()), "matrix": ([x.astype(kind).tobytes()], pa.binary()),
+                    })
+
+    return vectors.mapInArrow(run, "ids binary, dim int, norm double, matrix binary")
+
+
+class Round:
+    """The queries of one round, and what tells how they are scored: scales keep products finite, small numbers go as 32-bit floats."""
+
+    def __init__(self, ids: np.ndarray, x: list[np.ndarray], norm: float) -> None:
+        self.ids = ids
+        self.matrix = np.zeros((len(x), max(map(len, x))))
+        for i, v in enumerate(x):
+            self.matrix[i, : len(v)] = np.floor(256.0 * v)
+        own = float(_norms(self.matrix).max())
+        self.shift, self.q_shift = (max(0, int(np.frexp(v)[1]) - 480) for v in (norm, own))
+        self.matrix = np.ldexp(self.matrix, -self.q_shift)
+        # no partial sum is beyond this (Cauchy and Schwarz)
+        self.bound = np.ldexp(norm, -self.shift) * np.ldexp(own, -self.q_shift) * (1 + 1e-9) + 1
+        self.kind = np.float32 if self.bound < 1 << 24 else np.float64
+        self.matrix = self.matrix.astype(self.kind)
+
+    def scores(self, some: slice, row: dict) -> np.ndarray:
+        """Inner products of some queries with a chunk, exact below 2**53; shorter vectors end in zeros; -inf for a query's own rows."""
+        ids, dim, raw = np.frombuffer(row["ids"], "<i8"), row["dim"], row["matrix"]
+        x = np.frombuffer(raw, np.float32 if len(raw) == 4 * dim * len(ids) else np.float64).reshape(len(ids), dim)
+        x = (np.ldexp(x.astype(float), -self.shift) if self.shift else x).astype(self.kind, copy=False)
+        both = min(dim, self.matrix.shape[1])
+        s = (self.matrix[some, :both] @ x[:, :both].T).astype(float)
+        s[self.ids[some, None] == ids[None, :]] = -np.inf
+        return s
+
+
+HISTOGRAM = "q int, need int, bin int, n long"
+
+
+def _histograms(shared: Broadcast, lo: Broadcast, width: float, k: int):
+    """Of one task: how many candidates the k best bins of each query have; no others can hold its k-th value."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, (least, above) = shared.value, lo.value
+        n = len(queries.ids)
+        best = np.full((n, k), -1, np.int16)
         for batch in batches:
             for row in batch.to_pylist():
-                ids, x = _unpacked(row["ids"], row["dim"], row["matrix"])
-                q_ids, q = _unpacked(row["q_ids"], row["q_dim"], row["q_matrix"])
-                lo, above = _state(row, len(q_ids))
-                for at in range(0, len(q_ids), STEP):
-                    some = slice(at, at + STEP)
-                    s = _scores(q[some], x)
-                    place = np.floor((s - lo[some, None]) / width)
-                    place[q_ids[some, None] == ids[None, :]] = -1
-                    valid = (place >= 0) & (place < BINS)
-                    i, _ = np.nonzero(valid)
-                    n = np.bincount(i * BINS + place[valid].astype(np.int64), minlength=len(s) * BINS).reshape(-1, BINS)
-                    # the k-th score of all is not below the k-th of this chunk
-                    down = n[:, ::-1].cumsum(1)[:, ::-1] - n
-                    i, b = np.nonzero((n > 0) & (down < k))
-                    yield record_batch({
-                        "block": (np.full(len(i), row["block"]), pa.int32()), "q": (i + at, pa.int32()), "lo": (lo[i + at], pa.float64()),
-                        "above": (above[i + at], pa.int64()), "bin": (b, pa.int32()), "n": (n[i, b], pa.int64()),
-                    })
+                for at in range(0, n, STEP):
+                    some = slice(at, min(n, at + STEP))
+                    place = (queries.scores(some, row) - least[some, None]) / width
+                    # a value above the interval is counted already
+                    place = np.where((place >= 0) & (place < BINS), place, -1).astype(np.int16)
+                    if place.shape[1] > k:
+                        place = np.partition(place, place.shape[1] - k, axis=1)[:, place.shape[1] - k :]
+                    both = np.concatenate([best[some], place], axis=1)
+                    best[some] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+        for at in range(0, n, STEP):
+            part = best[at : at + STEP]
+            i, _ = np.nonzero(part >= 0)
+            counts = np.bincount(i * BINS + part[part >= 0], minlength=len(part) * BINS).reshape(-1, BINS)
+            i, b = np.nonzero(counts)
+            if len(i):
+                yield record_batch({"q": (i + at, pa.int32()), "need": (k - above[i + at], pa.int32()), "bin": (b, pa.int32()), "n": (counts[i, b], pa.int64())})
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of vectors for every query, by integer inner product.
+FOUND = "query_id long, vec_id long, value double"
 
-    vectors and queries have (vec_id long, embedding array of numbers); a component x counts as floor(256 * x). Ties go to
-    the smaller vec_id; a row of a query's own vec_id is no candidate for it; with fewer than k candidates all are
-    returned. Null ids, and vectors that are null, empty or hold null or non-finite components, take no part. Rows that
-    repeat are separate candidates but one query. Shorter vectors end in zeros. Empty tables give an empty one. Scores
-    are exact while every sum stays under 2**53; beyond it they are those of double arithmetic, held in the range of long.
 
-    Every pass scores all candidates for all queries. The first passes count a histogram of BINS bins over each query's
-    interval, sum them over all chunks, and narrow the interval to the bin of the k-th value, until a bin is one value.
-    The last pass keeps what is above it, and of what equals it the smallest ids.
-    """
-    spark = vectors.sparkSession
-    fit = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
-    clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(fit)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    chunks = checkpoint(_packed(clean(vectors), CHUNK))
-    asked = clean(queries).dropDuplicates(["vec_id"])
-    n_queries, (n_chunks, top, dim) = asked.count(), chunks.agg(F.count("*"), F.max("top"), F.max("dim")).first()
-    if not n_queries or not n_chunks:
-        return empty
-    n_blocks = -(-n_queries // BLOCK)
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")
-
-    def pack(table: pa.Table) -> pa.Table:
-        lists = table.column("embedding").combine_chunks()
-        x = [np.floor(256.0 * np.array(v, float)) for v in lists.to_pylist()]
-        wide = max(map(len, x))
-        x = np.stack([np.pad(v, (0, wide - len(v))) for v in x])
-        batch = record_batch({
-            "block": ([table.column("block")[0].as_py()], pa.int32()), "q_ids": ([table.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()),
-            "q_dim": ([wide], pa.int32()), "q_top": ([float(np.abs(x).max())], pa.float64()), "q_matrix": ([x.tobytes()], pa.binary()),
-        })
-        return pa.Table.from_batches([batch])
-
-    blocks = checkpoint(asked.withColumn("block", block).groupBy("block").applyInArrow(pack, "block int, q_ids binary, q_dim int, q_top double, q_matrix binary"))
-    q_top, q_dim = blocks.agg(F.max("q_top"), F.max("q_dim")).first()
-    bound = int(max(dim, q_dim) * top * q_top) + 1
-    width = 1
-    while width * BINS < 2 * bound + 1:
-        width *= BINS
-
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [len(x) // 8 for x in batch.column("q_ids").to_pylist()]
-            yield record_batch({"block": (batch.column("block"), pa.int32()), "lo": ([np.full(m, -float(bound)).tobytes() for m in n], pa.binary()), "above": ([np.zeros(m, "<i8").tobytes() for m in n], pa.binary())})
-
-    def narrow(width: float):
-        def run(table: pa.Table) -> pa.Table:
-            q, lo, above, bins, n = (table.column(c).to_numpy() for c in ("q", "lo", "above", "bin", "n"))
-            order = np.lexsort((-bins, q))
-            q, lo, above, bins, n = (x[order] for x in (q, lo, above, bins, n))
-            run_n = n.cumsum()
-            first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
-            so_far = above + run_n - np.repeat((run_n - n)[first], np.diff(np.append(first, len(q))))
-            out_lo, out_above = np.full(int(q.max()) + 1, -float(bound)), np.zeros(int(q.max()) + 1, "<i8")
-            for i, a in enumerate(first):
-                b = first[i + 1] if i + 1 < len(first) else len(q)
-                at = a + int(np.searchsorted(so_far[a:b], k))
-                if at == b:  # fewer than k in all: down to the lowest
-                    at = b - 1
-                out_lo[q[a]], out_above[q[a]] = lo[at] + bins[at] * width, so_far[at] - n[at]
-            batch = record_batch({"block": ([table.column("block")[0].as_py()], pa.int32()), "lo": ([out_lo.tobytes()], pa.binary()), "above": ([out_above.tobytes()], pa.binary())})
-            return pa.Table.from_batches([batch])
-
-        return run
-
-    state = blocks.select("block", "q_ids").mapInArrow(start, "block int, lo binary, above binary")
-    while True:
-        counted = _grid(chunks, blocks.join(state, "block"), n_blocks, n_chunks).mapInArrow(_histograms(float(width), k), HISTOGRAM)
-        summed = counted.groupBy("block", "q", "lo", "above", "bin").agg(F.sum("n").alias("n"))
-        state = checkpoint(summed.groupBy("block").applyInArrow(narrow(float(width)), "block int, lo binary, above binary"))
-        if width == 1:
-            break
-        width //= BINS
+def _select(shared: Broadcast, lo: Broadcast, k: int):
+    """The candidates not below the bin of the k-th value; of one chunk k at most, the best, ties to the smaller id."""
 
-    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, (least, _) = shared.value, lo.value
         for batch in batches:
             for row in batch.to_pylist():
-                ids, x = _unpacked(row["ids"], row["dim"], row["matrix"])
-                q_ids, q = _unpacked(row["q_ids"], row["q_dim"], row["q_matrix"])
-                lo, _ = _state(row, len(q_ids))
-                for at in range(0, len(lo), STEP):
-                    some = slice(at, min(at + STEP, len(lo)))
-                    s = _scores(q[some], x)
-                    i, j = np.nonzero((s >= lo[some, None]) & (q_ids[some, None] != ids[None, :]))
+                ids = np.frombuffer(row["ids"], "<i8")
+                for at in range(0, len(queries.ids), STEP):
+                    some = slice(at, min(len(queries.ids), at + STEP))
+                    s = queries.scores(some, row)
+                    i, j = np.nonzero((s >= least[some, None]) & (s > -np.inf))
                     order = np.lexsort((ids[j], -s[i, j], i))
                     i, j = i[order], j[order]
-                    first = np.searchsorted(i, np.arange(len(s)))
-                    kept = np.arange(len(i)) - first[i] < k
+                    kept = np.arange(len(i)) - np.searchsorted(i, np.arange(len(s)))[i] < k
                     i, j = i[kept], j[kept]
-                    yield record_batch({"query_id": (q_ids[some][i], pa.int64()), "vec_id": (ids[j], pa.int64()), "score": (np.clip(s[i, j], -(2.0**63), 2.0**63 - 1024).astype(np.int64), pa.int64())})
+                    if len(i):
+                        yield record_batch({"query_id": (queries.ids[some][i], pa.int64()), "vec_id": (ids[j], pa.int64()), "value": (s[i, j], pa.float64())})
+
+    return run
+
 
-    found = _grid(chunks, blocks.join(state, "block"), n_blocks, n_chunks).mapInArrow(select, "query_id long, vec_id long, score long")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of vectors for every query, by integer inner product.
+
+    vectors and queries have (vec_id long, embedding array of numbers); a component x counts as floor(256 * x). Ties go to
+    the smaller vec_id; a row of a query's own vec_id is no candidate for it; with fewer than k candidates all are
+    returned. Null ids, and vectors that are null, empty or hold null or non-finite components, or some of 2**1000 and
+    more, take no part. Rows that repeat are separate candidates but one query, by the least of their vectors. Shorter
+    vectors end in zeros. Empty tables give an empty one. Other columns are dropped. Scores are exact while every sum
+    stays under 2**53; beyond it they and the ranks are those of double arithmetic, and score is held in the range of long.
+
+    Candidates stay where they are: the queries are broadcast to them in rounds of ROUND_BYTES, and only histograms and
+    the candidates left are shuffled. Each pass scores everything. The first passes count a histogram of BINS bins over
+    each query's interval, sum them over all tasks, and narrow the interval to the bin of the k-th value, until a bin is one
+    value or few candidates are left. The last pass takes those that are not below it.
+    """
+    spark = vectors.sparkSession
+    fit = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < 2.0**1000))
+    clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(fit)
+    chunks = checkpoint(_packed(clean(vectors)))
+    asked = checkpoint(clean(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+    n, dim = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    norm = chunks.agg(F.max("norm")).first()[0]
+    found = []
+    rounds = -(-n * (dim or 0) * 8 // ROUND_BYTES) if norm is not None else 0
+    for number in range(rounds):
+        block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == number).toArrow()
+        if block.num_rows:
+            x = [np.array(v, float) for v in block.column("embedding").to_pylist()]
+            found.append(checkpoint(_one_round(chunks, Round(block.column("vec_id").to_numpy(), x, norm), k)))
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _one_round(chunks: DataFrame, queries: Round, k: int) -> DataFrame:
+    context = chunks.sparkSession.sparkContext
+    shared = context.broadcast(queries)
+    n = len(queries.ids)
+    least, above = np.full(n, -queries.bound), np.zeros(n, np.int64)
+    width = 2 * queries.bound / (BINS - 1)
+    while True:
+        counted = chunks.mapInArrow(_histograms(shared, context.broadcast((least, above)), width, k), HISTOGRAM)
+        summed = counted.groupBy("q", "need", "bin").agg(F.sum("n").alias("n"))
+        so_far = F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("bin")))
+        # the bin of the k-th value and how many are above it; with fewer than k in all the lowest
+        at = F.struct("bin", (F.col("so_far") - F.col("n")).alias("over"), "n")
+        places = summed.withColumn("so_far", so_far).groupBy("q").agg(F.coalesce(F.max(F.when(F.col("so_far") >= F.col("need"), at)), F.min(at)).alias("at"))
+        places = places.select("q", "at.bin", "at.over", "at.n").toArrow()
+        q, bins, over, inside = (places.column(c).to_numpy() for c in ("q", "bin", "over", "n"))
+        least[q] += bins * width
+        above[q] += over
+        if width <= 1 or not len(q) or (above[q] + inside).max() <= LEFT * k or width < queries.bound * 2.0**-50:
+            break
+        width /= BINS - 1
+    # a little lower, since the bounds of bins are rounded
+    least -= np.maximum(np.abs(least), queries.bound) * 2.0**-48
+    best = chunks.mapInArrow(_select(shared, context.broadcast((least, above)), k), FOUND)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("value"), "vec_id"))
+    value = F.col("value") * float(2.0**queries.shift) * float(2.0**queries.q_shift)
+    score = F.when(value >= 2.0**63, F.lit((1 << 63) - 1)).when(value <= -(2.0**63), F.lit(-(1 << 63))).otherwise(value.cast("long"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.cast("long").alias("score"))

@@ -414,6 +414,40 @@ def test_top_k_ties_and_odd_vectors(spark):
     assert got == [(q, r + 1, c, score(q, c)) for q in (0, 2) for r, c in enumerate(firsts[q])]
 
 
+def test_top_k_of_repeats_large_numbers_and_many_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.integers(-40, 40, size=(400, 7)) / 8.0
+    x[100:200] = x[3]
+    ids = [*range(300), *range(200, 300)]  # a hundred ids twice, with vectors of their own
+    rows = [(i, v.tolist()) for i, v in zip(ids, x)] + [(1000, [1e150, 2.0]), (1001, [-1e300, 3.0]), (1002, [1e30, 1.0, 5.0]), (1003, [2e30]), (1004, [1e308] * 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("rank", "score", "query_id", "value", "n")})
+    exact = [(i, [int(np.floor(256 * float(c))) if abs(c) < 1e40 else 256 * int(c) for c in v]) for i, v in rows if i != 1004]
+
+    def wanted(k, asked):
+        out = []
+        for q in asked:
+            mine = min(v for i, v in exact if i == q)
+            scored = sorted((-sum(a * b for a, b in zip(mine, v)), i) for i, v in exact if i != q)
+            out += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(scored[:k])]
+        return out
+
+    small = df.where("vec_id < 1000")
+    asked = [0, 3, 150, 250]
+    exact, everything = [r for r in exact if r[0] < 1000], exact
+    for numbers, size in ((1 << 18, 64 << 20), (64, 100)):
+        monkeypatch.setattr(topk, "CHUNK_NUMBERS", numbers)
+        monkeypatch.setattr(topk, "ROUND_BYTES", size)
+        assert sorted(map(tuple, topk.top_k(small, small.where(F.col("vec_id").isin(asked)), 6).collect())) == wanted(6, asked)
+        assert topk.top_k(small.where("vec_id < 3"), small.where("vec_id = 1"), 6).count() == 2
+    monkeypatch.undo()
+    exact = everything
+    got = sorted(map(tuple, topk.top_k(df, df.where("vec_id in (0, 1000, 1001, 1002)"), 3).collect()))
+    # the others are told apart by less than a double holds
+    assert len(got) == 12 and [r for r in got if r[1] < 3 and r[0] in (1000, 1002)] == [r for r in wanted(3, [1000, 1002]) if r[1] < 3]
+    assert all(x[dict(enumerate(ids))[r[2]]][0] == x[:, 0].min() for r in got if r[0] == 1001)
+    assert [r[2] for r in got if not r[0]] == [r[2] for r in wanted(3, [0])]
+
+
 def test_odd_documents_everywhere(spark):
     docs = odd_documents(spark)
     planned = mixing.plan_mix(docs)
