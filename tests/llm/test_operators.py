@@ -163,6 +163,23 @@ def test_personal_data_equals_the_patterns(spark, documents):
     assert total > 20
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        ("iban: DE89 3704 0044 0532 0130 00 AND MORE", "account", "DE89 3704 0044 0532 0130 00"), ("my IBAN DE89370400440532013000.", "account", "DE89370400440532013000"), ("Konto Nr. 1234567890", "account", None),
+        ("account number: 1234-5678-90", "account", "1234-5678-90"), ("passport no: X1234567", "account", "X1234567"), ("IBAN DE89 3704 0044 0532 0130 01", "account", None), ("IBAN XK051212012345678906", "account", "XK051212012345678906"),
+        ("aws_secret_access_key=wJalrXUtnFEMI/K7MDENG/bPxRfi", "secret", "wJalrXUtnFEMI/K7MDENG/bPxRfi"), ("Authorization: Bearer abc123.def456==", "secret", "abc123.def456=="), ('{"apiKey": "a1b2c3d4e5"}', "secret", "a1b2c3d4e5"),
+        ('token = "04dbebab91ab85687d33"', "secret", "04dbebab91ab85687d33"), ("PASSWORD: hunter22", "secret", "hunter22"), ("the token was lost and the secret kept", "secret", None), ("a bearer brings nothing", "secret", None), ("mytoken = abc1234", "secret", None),
+        ("see https://joe:pa55word@host.example/x", "credential", "joe:pa55word"),
+    ],
+)
+def test_added_kinds_of_personal_data(text, kind, value):
+    spans = [(pii.KINDS[k], text[a:b]) for k, a, b in pii.find_spans(text, pii._automaton()) if pii.KINDS[k] == kind]
+    assert spans == ([(kind, value)] if value else [])
+    clean = pii.redacted(text, pii.find_spans(text, pii._automaton()))
+    assert (value is None) or (value not in clean and f"[{kind.upper()}]" in clean)
+
+
 def test_language_on_held_out_rows(spark, documents):
     langs = {d: lang for d, _, lang, _ in documents}
     rows = [r for r in QUERIES["op7_language"](spark, SF).collect() if r["held_out"] and langs[r["doc_id"]]]
@@ -465,6 +482,25 @@ def test_odd_documents_everywhere(spark):
     assert removed.count() == 8 and removed.where("doc_id = 1 and text is null").count() == 1
 
 
+CLASHES = ("weight", "rate", "size", "copies", "copy_no", "of_source", "source_size", "target", "draw", "salt", "score", "predicted", "row", "words", "root", "spans", "kept_id")
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = [(i, f"some words {i}" if i % 4 else None, "ab"[i % 2] if i % 5 else None, f"own {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mine string").withColumns({c: F.col("mine") for c in CLASHES})
+    for limit in (mixing.BROADCAST_ROWS, 0):
+        old, mixing.BROADCAST_ROWS = mixing.BROADCAST_ROWS, limit
+        try:
+            planned = {r["doc_id"]: r for r in mixing.plan_mix(docs).collect()}
+            mixed = mixing.mix(docs)
+            assert mixed.columns == docs.columns and {k: planned[k]["copies"] for k in planned if planned[k]["copies"]} == {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+            assert all(r[c] == f"own {r['doc_id']}" for r in mixed.collect() for c in CLASHES)
+            assert all(planned[k]["weight"] == planned[k]["rate"] == f"own {k}" for k in planned)
+            assert {k: r["copies"] for k, r in planned.items()} == {r["doc_id"]: r["copies"] for r in mixing.plan_mix(docs, keep_text=False).collect()}
+        finally:
+            mixing.BROADCAST_ROWS = old
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOC)
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
@@ -496,3 +532,50 @@ def test_pipeline_stages(spark, duck):
     planned = {r["doc_id"]: r["copies"] for r in mixing.plan_mix(docs).collect()}
     docs = mixed(spark, docs, MORE)
     assert docs.columns == columns and {r["doc_id"]: r["count"] for r in docs.groupBy("doc_id").count().collect()} == {d: k for d, k in planned.items() if k}
+
+
+def written(df, folder, name):
+    df.write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_pipeline_of_odd_documents(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and columns of any name: whole, in the order of the stages, and packed as the tokenizer says."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as pipeline
+
+    some = spark.read.parquet(f"{MORE}/documents.parquet").where("doc_id < 300")
+    odd = odd_documents(spark).select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source", F.lit(None).cast(some.schema["n_chars"].dataType).alias("n_chars")).withColumn("doc_id", F.col("doc_id") + 10**6)
+    docs = some.unionByName(odd).unionByName(some.where("doc_id < 20")).withColumns({c: F.concat(F.lit("own "), F.xxhash64("text").cast("string")) for c in CLASHES})
+    written(docs, tmp_path, "documents")
+    written(spark.read.parquet(f"{MORE}/labels.parquet"), tmp_path, "labels")
+    docs, sf_dir = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
+    for name, stage in pipeline.STAGES[:4]:
+        before, docs = docs, stage(spark, docs, sf_dir).persist()
+        assert docs.schema.names == before.schema.names and 0 < docs.count()
+        if name != "mixing sources":
+            assert docs.count() <= before.count()
+        assert docs.where("text is not null and rate is null").count() == 0
+    direct = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+    wanted = sorted((r["doc_id"] or -1, len(direct.encode(r["text"] or "", add_special_tokens=False).ids) + 1) for r in docs.collect())
+    rows = pipeline.run(spark, sf_dir).collect()
+    lengths = {}
+    for r in rows:
+        lengths.setdefault(r["doc_id"] or -1, []).append(r["length"])
+    sums = {}
+    for d, n in wanted:
+        sums[d] = sums.get(d, 0) + n
+    assert {d: sum(n) for d, n in lengths.items()} == sums
+    slots = {}
+    for r in rows:
+        slots.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in slots.values():
+        assert [o for o, _ in sorted(own)] == list(np.cumsum([0, *[n for _, n in sorted(own)]])[:-1]) and sum(n for _, n in own) <= 2048
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    for name in ("documents", "labels"):
+        written(spark.read.parquet(f"{SF}/{name}.parquet").where("false"), tmp_path, name)
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
