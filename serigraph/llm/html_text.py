@@ -16,10 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from serigraph.llm._common import checkpoint, record_batch
 
-#: Neighbouring addresses that are compared in one task, and pages of one address.
-GROUP_PAGES = 512
-#: Pages that share this part of their article are versions of one article, which differencing must not delete.
-COPY_SHARE = 0.5
+#: Neighbouring addresses that are compared in one task, and pages of one address: as many as make GROUPS tasks of all, within these.
+GROUP_PAGES, MOST_PAGES, GROUPS = 512, 8_192, 2_000
 
 _MARK = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -140,18 +138,19 @@ def shared_lines(a: list[str], b: list[str]) -> dict[int, int]:
 
 
 def main_text(page: list[tuple[int, str]], *others: list[tuple[int, str]]) -> str:
-    """Blocks of page that are no chrome, without those shared with the first other that is no version of it; of pages with an article, only its blocks.
+    """Blocks of page that are no chrome, without those shared with the first other that is no copy of it; of pages with an article, only its blocks.
 
-    A block that both pages hold inside their article element is text of both articles and stays.
+    A block that both pages hold inside their article element is text of both articles and stays. A page that would have
+    nothing left is a copy, of the same body.
     """
     least = 2 if any(where == 2 for where, _ in page) else 1
     kept = [i for i, (where, _) in enumerate(page) if where >= least]
     for other in others:
         aligned = shared_lines([t for _, t in page], [t for _, t in other])
         gone = {i for i, j in aligned.items() if min(page[i][0], other[j][0]) < 2}
-        size = sum(len(page[i][1]) for i in kept)
-        if size and sum(len(page[i][1]) for i in kept if i in gone) < COPY_SHARE * size:
-            kept = [i for i in kept if i not in gone]
+        own = [i for i in kept if i not in gone]
+        if own:
+            kept = own
             break
     return " ".join(page[i][1] for i in kept)
 
@@ -176,8 +175,9 @@ ADDRESS = ["host", "path", "query"]
 
 
 def _neighbourhoods(rows: DataFrame) -> tuple[list[tuple], dict[tuple, int], dict[tuple, tuple]]:
-    """The first address of each group of GROUP_PAGES in order, the parts of addresses with more pages than that, and for addresses
-    that other groups need: their first page (url, page_id) and those groups (number, part). A few rows for each group."""
+    """The first address of each group in order, the parts of addresses with more pages than a group, and for addresses that
+    other groups need: their first page (url, page_id) and those groups (number, part). A few rows for each group: with
+    MOST_PAGES some 120,000 groups, or about 100 MB, for a billion pages."""
     keys = rows.groupBy(*ADDRESS).agg(F.count("*").alias("n"), F.min(F.struct("url", "page_id")).alias("rep"))
     keys = checkpoint(keys.repartitionByRange(*ADDRESS).sortWithinPartitions(*ADDRESS).withColumn("m", F.monotonically_increasing_id()))
     at, bases = 0, []
@@ -185,16 +185,17 @@ def _neighbourhoods(rows: DataFrame) -> tuple[list[tuple], dict[tuple, int], dic
         bases.append((task, at))
         at += n
     bases = F.broadcast(rows.sparkSession.createDataFrame(bases, "task long, base long"))
+    size = max(GROUP_PAGES, min(MOST_PAGES, at // GROUPS))
     rank = F.col("base") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
-    parts = F.ceil(F.col("n") / GROUP_PAGES).cast("int")
-    keys = keys.withColumn("task", F.shiftright("m", 33)).join(bases, "task").select(*ADDRESS, "rep", rank.alias("rank"), F.floor(rank / GROUP_PAGES).alias("number"), parts.alias("parts"))
+    parts = F.ceil(F.col("n") / size).cast("int")
+    keys = keys.withColumn("task", F.shiftright("m", 33)).join(bases, "task").select(*ADDRESS, "rep", rank.alias("rank"), F.floor(rank / size).alias("number"), parts.alias("parts"))
     paths = keys.groupBy("host", "path").agg((F.min("rank") - 1).alias("low"), (F.max("rank") + 1).alias("high"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     needs = keys.join(paths, ["host", "path"]).select("host", "number", every, F.array(F.col("rank") - 1, F.col("rank") + 1, "low", "high").alias("ranks"))
     needs = needs.select("host", "number", "part", F.explode("ranks").alias("rank")).distinct()
     owners = keys.select(*ADDRESS, "rep", "rank", F.col("number").alias("own"), "parts")
     lent = needs.join(owners, ["host", "rank"]).where("own <> number or part <> 0 or parts > 1").groupBy(*ADDRESS).agg(F.first("rep").alias("rep"), F.collect_set(F.struct("number", "part")).alias("to"))
-    bounds = keys.where(F.col("rank") % GROUP_PAGES == 0).orderBy("rank").select(*ADDRESS).collect()
+    bounds = keys.where(F.col("rank") % size == 0).orderBy("rank").select(*ADDRESS).collect()
     return (
         [tuple(r) for r in bounds], {(r["host"], r["path"], r["query"]): r["parts"] for r in keys.where("parts > 1").collect()},
         {(r["host"], r["path"], r["query"]): (tuple(r["rep"]), [tuple(x) for x in r["to"]]) for r in lent.collect()},
@@ -205,12 +206,13 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html).
 
     Blocks of text are read from the whole html, paired with the page of the nearest path and query on the same host, and lines
-    that the two share are deleted, unless both mark them as article or they make up half of the text: then the pages are
-    versions of one, and if only the query differs, the nearest other path is taken instead. Menus, forms
-    and the like go by element and class. Null html, and html without text, give an empty text; a null url is a host of
-    its own; rows that repeat are separate pages; a page without a partner is judged by its elements alone; other columns
-    are dropped. All addresses are put in order and cut into groups of GROUP_PAGES; pages next to a cut go to both sides, so
-    that a host of any size gives each page its nearest one on the whole host.
+    that the two share are deleted, unless both mark them as article or nothing would be left: then the pages are copies,
+    and if only the query differs, the nearest other path is taken instead. Menus, forms and the like go by element and
+    class. Null html, and html without text, give an empty text; a null url is a host of
+    its own; rows that repeat are separate pages, none of which is the other's partner; on ties the earlier path is nearer,
+    and the first page by url and page_id stands for an address; a page without a partner is judged by its elements alone;
+    other columns are dropped; an empty table gives an empty one. All addresses are put in order and cut into groups; pages
+    next to a cut go to both sides, so that a host of any size gives each page its nearest one on the whole host.
     """
     address = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://|[?#].*$", "")
     host = F.lower(F.substring_index(address, "/", 1))

@@ -344,6 +344,82 @@ def test_pages_meet_the_nearest_of_the_whole_host(spark, monkeypatch):
         assert all("Notice" in rows[i] for i in range(1330, 1350))  # copies of one page have no partner
 
 
+def nearest_by_force(pages):
+    """For each page the pages that it is compared with, by looking at all pages of its host."""
+
+    def address(url):
+        bare = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*://|[?#].*$", "", url or "")
+        host = bare.split("/")[0]
+        return host.lower(), re.sub(r"(\.html?|/)$", "", bare[len(host) :]), (re.findall(r"\?.*$", re.sub("#.*$", "", url or "")) or [""])[0]
+
+    keys = [address(u) for _, u, _ in pages]
+    first = {}
+    for (i, u, h), key in zip(pages, keys):
+        first[key] = min(first.get(key, ((u or "", i), h or "")), ((u or "", i), h or ""))
+    out = []
+    for key in keys:
+        found = []
+        for text, others in ((lambda k: k[1] + k[2], [k for k in first if k[0] == key[0] and k != key]), (lambda k: k[1], [k for k in first if k[0] == key[0] and k[1] != key[1]])):
+            before = [k for k in others if k < key]
+            after = [k for k in others if k > key]
+            near = [k for k in (max(before, default=None), min(after, default=None)) if k]
+            found.append(max(near, key=lambda k: len(os.path.commonprefix([text(k), text(key)]))) if near else None)
+        a, b = found
+        if b:  # of a path the address next to it
+            path = [k for k in first if k[0] == key[0] and k[1] == b[1]]
+            b = max(path) if b < key else min(path)
+        out.append([first[k][1] for k in ([a, b] if a and a[1] == key[1] else [b]) if k])
+    return out
+
+
+def text_by_force(html_, *others):
+    page = html_text.page_lines(html_ or "")
+    kept = [i for i, (where, _) in enumerate(page) if where >= (2 if any(w == 2 for w, _ in page) else 1)]
+    for other in (html_text.page_lines(o or "") for o in others):
+        a, b = [t for _, t in page], [t for _, t in other]
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                table[i, j] = table[i + 1, j + 1] + 1 if a[i] == b[j] else max(table[i + 1, j], table[i, j + 1])
+        i = j = 0
+        gone = set()
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                gone |= {i} if min(page[i][0], other[j][0]) < 2 else set()
+                i, j = i + 1, j + 1
+            elif table[i + 1, j] >= table[i, j + 1]:
+                i += 1
+            else:
+                j += 1
+        own = [i for i in kept if i not in gone]
+        if own:
+            kept = own
+            break
+    return " ".join(page[i][1] for i in kept)
+
+
+def test_page_text_equals_brute_force(spark, duck, monkeypatch):
+    """Lines of a page are all different here, so that every longest common subsequence is the same in what it deletes."""
+    rng = random.Random(21)
+    pages = duck.execute("select page_id, url, html from pages").fetchall()
+    notices = [f"Notice {k} of the site" for k in range(12)]
+    for k in range(300):
+        host, section = rng.choice(("a", "a", "b", "C")), rng.randrange(9)
+        url = rng.choice((f"https://{host}.example/s{section}/{rng.randrange(40)}", f"http://{host}.example/s{section}/{rng.randrange(40)}.html#x", f"https://{host}.example/i.php?id={rng.randrange(60)}"))
+        lines = sorted(rng.sample(range(12), 4))
+        body = "".join(f"<p>{notices[i]}</p>" for i in lines[:2]) + f"<p>Story {k if k % 7 else 0}</p>" + "".join(f"<p>{notices[i]}</p>" for i in lines[2:])
+        pages.append((10**6 + k, url, f"<html><body>{body if k % 5 else f'<article>{body}</article><p>{notices[0]}</p>'}</body></html>"))
+    pages += [(-7, None, "<p>One</p><p>Own</p>"), (-8, None, "<p>One</p>"), (-9, "https://a.example/s1/3", None), (-10, "https://a.example/long", "<p>" + "word " * 300_000 + "</p>" + "<p>Notice 1 of the site</p>" * 2000)]
+    wanted = {i: text_by_force(h, *others) if i != -10 else None for (i, _, h), others in zip(pages, nearest_by_force(pages))}
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for size in (512, 5):
+        monkeypatch.setattr(html_text, "GROUP_PAGES", size)
+        got = {r["page_id"]: r["text"] for r in html_text.extract(df.repartition(6)).collect()}
+        assert [(i, got[i], wanted[i]) for i in wanted if i != -10 and got[i] != wanted[i]] == [] and got[-10].startswith("word word")
+    alone = {i: text_by_force(h) for i, _, h in pages if i != -10}
+    assert sum(alone[i] != wanted[i] for i in alone) > 100
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
