@@ -7,6 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 
+def _div(a: Column, b: int | Column) -> Column:
+    """Division of longs, without a double in between."""
+    return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
+
+
+def power(base: Column, exponent: Column) -> Column:
+    """base to the exponent as a long, exact as long as that holds it."""
+    return F.aggregate(F.array_repeat(base.cast("long"), exponent.cast("int")), F.lit(1).cast("long"), lambda product, b: product * b)
+
+
 def word_of(symbols: Column, base: int | Column) -> Column:
     """The integer of an array of symbols."""
     return F.aggregate(symbols, F.lit(0).cast("long"), lambda word, s: word * base + s)
@@ -21,7 +31,7 @@ def symbols_of(word: Column, base: int | Column, length: int | Column) -> Column
     """The symbols of a word, padded with zeros in front to the length."""
     base, length = (F.lit(x) if isinstance(x, int) else x for x in (base, length))
     places = F.sequence(F.lit(0), length - 1)
-    return F.transform(places, lambda i: F.pmod(F.floor(word / F.pow(base, length - 1 - i)), base).cast("int"))
+    return F.transform(places, lambda i: F.pmod(_div(word, power(base, length - 1 - i)), base).cast("int"))
 
 
 def decimal_of(symbols: Column) -> Column:
@@ -42,7 +52,7 @@ def digits_rebased(number: Column, digits_base: int | Column, base: int | Column
         more = acc["rest"] > 0
         digit = acc["rest"] % digits_base
         return F.struct(
-            F.floor(acc["rest"] / digits_base).cast("long").alias("rest"),
+            _div(acc["rest"], digits_base).alias("rest"),
             F.when(more & (acc["rest"] >= digits_base), acc["unit"] * base).otherwise(acc["unit"]).cast("long").alias("unit"),
             F.when(more, acc["sum"] + digit * acc["unit"]).otherwise(acc["sum"]).cast("long").alias("sum"),
         )
@@ -85,7 +95,7 @@ def digits_text(symbols: Column) -> Column:
 
 def prepended(number: Column, prefix: Column, digits: Column) -> Column:
     """number with the prefix before its decimal digits."""
-    return (prefix * F.pow(F.lit(10), digits) + number).cast("long")
+    return prefix * power(F.lit(10), digits) + number
 
 
 def flat_index(row: Column, column: Column, width: int | Column) -> Column:
@@ -97,12 +107,12 @@ def unflattened(index: Column, *widths: int) -> list[Column]:
     out: list[Column] = []
     for width in reversed(widths):
         out.append((index % width).cast("long"))
-        index = F.floor(index / width)
+        index = _div(index, width)
     return [index.cast("long"), *reversed(out)]
 
 
 def greatest_word(base: Column, length: Column) -> Column:
-    return (F.pow(base, length) - 1).cast("long")
+    return power(base, length) - 1
 
 
 def halved_symbols(symbols: Column) -> Column:

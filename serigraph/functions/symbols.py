@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import Column, functions as F
 
 #: Breakpoints of the standard normal for alphabets of 2 to 9 symbols, by a polynomial inverse error function.
@@ -22,6 +25,34 @@ def breakpoints(alphabet_size: int, mean: float = 0.0, std: float = 1.0) -> list
     return [mean + std * b for b in BREAKPOINTS[alphabet_size]]
 
 
+def normal_quantile(p: float, mean: float = 0.0, std: float = 1.0) -> float:
+    """The value below which a normal variable is with probability p; infinite for 0 and 1."""
+    if p in (0.0, 1.0):
+        return math.inf if p else -math.inf
+    return NormalDist(mean, std).inv_cdf(p)
+
+
+def valid_alphabet(size: Column) -> Column:
+    return size.between(2, 9)
+
+
+def valid_alphabets(size: Column, slope_size: Column) -> Column:
+    return valid_alphabet(size) & valid_alphabet(slope_size) & (size * slope_size <= 9)
+
+
+def divisible(window_size: Column, word_length: Column) -> Column:
+    return window_size % word_length == 0
+
+
+def segmentable(window_size: Column, word_length: Column) -> Column:
+    """Whether a window has a point for each segment."""
+    return window_size >= word_length
+
+
+def is_empty(values: Column) -> Column:
+    return F.size(values) == 0
+
+
 def check_alphabet(size: int, slope_size: int | None = None) -> None:
     if not 2 <= size <= 9 or slope_size is not None and not (2 <= slope_size <= 9 and size * slope_size <= 9):
         raise ValueError(f"alphabet sizes {size}, {slope_size}: each must be 2 to 9, their product at most 9")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from serigraph.functions import encoding, symbols
 from serigraph.operators.words import grid_words
@@ -13,9 +15,9 @@ BAG = [*KEYS, "conf_idx", "word"]
 FEATURE = ["conf_idx", "signal_id", "word"]
 
 
-def bag(panel: DataFrame, configs: list[Config], least_ratio: float = 0.0) -> DataFrame:
+def bag(panel: DataFrame, configs: list[Config], least_ratio: float = 0.0, constant_is_middle: bool = False) -> DataFrame:
     """Counts of all words of all configurations; counted in each block before the shuffle."""
-    return grid_words(panel, configs, least_ratio, counted=True).groupBy(*BAG).agg(F.sum("cnt").alias("cnt"))
+    return grid_words(panel, configs, least_ratio, counted=True, constant_is_middle=constant_is_middle).groupBy(*BAG).agg(F.sum("cnt").alias("cnt"))
 
 
 def counted(words: DataFrame, *keys: str) -> DataFrame:
@@ -101,21 +103,37 @@ def features(bag: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return bag.join(vocabulary, FEATURE).select("ts_id", "feature_idx", "cnt")
 
 
-def sparse_rows(features: DataFrame, width: int) -> DataFrame:
-    """(ts_id, size, indices, values): the features of a series in order of index."""
+def sparse_rows(features: DataFrame, width: int, series: DataFrame | None = None) -> DataFrame:
+    """(ts_id, size, indices, values): the features of a series in order of index; of each of series (ts_id), if given, even without any."""
     cells = F.array_sort(F.collect_list(F.struct("feature_idx", "cnt")))
-    rows = features.groupBy("ts_id").agg(cells.alias("cells"))
+    rows = _of_every(features.groupBy("ts_id").agg(cells.alias("cells")), series, "cells")
     return rows.select("ts_id", F.lit(int(width)).alias("size"), F.transform("cells", lambda c: c["feature_idx"]).alias("indices"), F.transform("cells", lambda c: c["cnt"].cast("double")).alias("values"))
 
 
+def _of_every(rows: DataFrame, series: DataFrame | None, column: str) -> DataFrame:
+    """rows, and for the other series an empty array or map."""
+    if series is None:
+        return rows
+    kind = rows.schema[column].dataType
+    nothing = (F.create_map() if kind.typeName() == "map" else F.array()).cast(kind)
+    return series.select("ts_id").distinct().join(rows, "ts_id", "left").withColumn(column, F.coalesce(column, nothing))
+
+
+def sparse_vectors(rows: DataFrame) -> DataFrame:
+    """(ts_id, features) of sparse rows as sparse ML vectors, made in the JVM."""
+    parts = F.struct(F.lit(0).alias("type"), "size", "indices", "values")
+    vector = F.from_json(F.to_json(F.struct(parts.alias("v"))), StructType([StructField("v", VectorUDT())]))
+    return rows.select("ts_id", vector["v"].alias("features"))
+
+
 def from_sparse(rows: DataFrame) -> DataFrame:
     """(ts_id, feature_idx, cnt) of sparse rows."""
     return rows.select("ts_id", F.explode(F.arrays_zip("indices", "values")).alias("cell")).select("ts_id", F.col("cell.indices").alias("feature_idx"), F.col("cell.values").cast("long").alias("cnt"))
 
 
-def dense_rows(features: DataFrame, width: int) -> DataFrame:
-    """(ts_id, values): an array of width counts, 0 where a series lacks the feature."""
+def dense_rows(features: DataFrame, width: int, series: DataFrame | None = None) -> DataFrame:
+    """(ts_id, values): an array of width counts, 0 where a series lacks the feature; of each of series, if given."""
     counts = F.map_from_entries(F.collect_list(F.struct(F.col("feature_idx").cast("long"), F.col("cnt").cast("double"))))
     every = F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")) if width else F.array().cast("array<long>")
-    rows = features.groupBy("ts_id").agg(counts.alias("counts"))
+    rows = _of_every(features.groupBy("ts_id").agg(counts.alias("counts")), series, "counts")
     return rows.select("ts_id", F.transform(every, lambda i: F.coalesce(F.try_element_at("counts", i), F.lit(0.0))).alias("values"))

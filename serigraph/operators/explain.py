@@ -25,11 +25,20 @@ def toward_prediction(importance: DataFrame, predictions: DataFrame, binary: boo
     return importance.join(chosen, ["ts_id", "class_id"]).select("ts_id", "feature_idx", "f")
 
 
-def linear_attribution(features: DataFrame, coefficients: DataFrame, n_series: int) -> DataFrame:
-    """(ts_id, feature_idx, f): coefficient * (count - mean count) for the stored counts; absent counts are 0 and follow from the mean."""
-    means = features.groupBy("feature_idx").agg((F.sum("cnt") / n_series).alias("mean"))
-    joined = features.join(means, "feature_idx").join(coefficients, "feature_idx")
-    return joined.select("ts_id", "feature_idx", (F.col("coefficient") * (F.col("cnt") - F.col("mean"))).alias("f"))
+def linear_attribution(features: DataFrame, coefficients: DataFrame, series: DataFrame) -> DataFrame:
+    """(ts_id, feature_idx, f): coefficient * (count - mean count), for every feature with a coefficient (feature_idx, coefficient) and
+    every one of series (ts_id), those that lack it included: what saliency, ranks and not_contained ask for. As many rows as that makes."""
+    series = series.select("ts_id").distinct()
+    means = features.groupBy("feature_idx").agg(F.sum("cnt").alias("total"))
+    scales = coefficients.join(means, "feature_idx", "left").select("feature_idx", "coefficient", (F.coalesce("total", F.lit(0)) / F.lit(series.count())).alias("mean"))
+    every = series.join(scales)  # the result itself has these rows
+    f = F.col("coefficient") * (F.coalesce("cnt", F.lit(0)) - F.col("mean"))
+    return every.join(features.select("ts_id", "feature_idx", "cnt"), ["ts_id", "feature_idx"], "left").select("ts_id", "feature_idx", f.alias("f"))
+
+
+def records(points: DataFrame, features: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Covered points with their values, with the count of the feature in the series and the labels (ts_id, y_true, y_pred)."""
+    return points.join(features, ["ts_id", "feature_idx"]).join(predictions, "ts_id")
 
 
 def receptive_fields(vocabulary: DataFrame, configs: list[Config]) -> DataFrame:

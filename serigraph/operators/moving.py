@@ -44,6 +44,11 @@ def move_std(value: Column, window: WindowSpec, size: int, ddof: int = 0) -> Col
     return F.sqrt(move_var(value, window, size, ddof))
 
 
+def exact_sum(value: Column, scale: int = 10) -> Column:
+    """The sum without loss in any order of rows, of values rounded to scale decimals: what compensated summing aims at."""
+    return F.sum(value.cast(f"decimal(38,{scale})")).cast("double")
+
+
 def move_cov(x: Column, y: Column, window: WindowSpec, size: int) -> Column:
     """Population covariance of complete frames, null before."""
     frame = trailing(window, size)

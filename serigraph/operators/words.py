@@ -39,13 +39,34 @@ def _frames(panel: DataFrame, config: Config) -> tuple[DataFrame, dict[str, Colu
         "n": F.count(value).over(frame), "mean": F.avg(value).over(frame), "std": F.stddev_pop(value).over(frame),
         "flat": F.max(value).over(frame) == F.min(value).over(frame),
     }
-    segment = config.segment
-    means = [F.avg(value).over(ordered.rowsBetween(j * segment, (j + 1) * segment - 1)) for j in range(config.word_length)]
+    bounds = segment_bounds(config.window_size, config.word_length)
+    means = [F.avg(value).over(ordered.rowsBetween(a, b - 1)) for a, b in zip(bounds, bounds[1:], strict=False)]
     return panel, window, means
 
 
+def segment_bounds(window_size: int, word_length: int) -> list[int]:
+    """Where segments start and, last, where the window ends; uneven if the window is no multiple of the word."""
+    if not 1 <= word_length <= window_size:
+        raise ValueError(f"word length {word_length} must be 1 to window size {window_size}")
+    return [j * window_size // word_length for j in range(word_length + 1)]
+
+
+def whole_means(panel: DataFrame, word_length: int) -> DataFrame:
+    """(ts_id, signal_id, j, mean): the means of word_length segments of each whole signal; none of a shorter signal.
+
+    Plain aggregates: no task holds a signal.
+    """
+    lengths = panel.groupBy(*KEYS).agg(F.count("*").alias("n")).where(F.col("n") >= word_length)
+    # the last segment that starts at pos or before: floor(j * n / word_length) <= pos
+    j = F.call_function("div", (F.col("pos") + 1) * word_length - 1, F.col("n"))
+    return panel.join(lengths, KEYS).groupBy(*KEYS, j.cast("int").alias("j")).agg(F.avg("value").alias("mean"))
+
+
 def segment_means(panel: DataFrame, config: Config, normalise: bool = True, least_ratio: float = 0.0) -> DataFrame:
-    """(ts_id, signal_id, win_idx, constant, means): the segment means of every window, as normal scores if normalise."""
+    """(ts_id, signal_id, win_idx, constant, means): the segment means of every window, as normal scores if normalise.
+
+    The window size may be any from the word length on; segments are uneven if it is no multiple.
+    """
     panel, window, means = _frames(panel, config)
     names = [f"m{j}" for j in range(config.word_length)]
     wide = panel.select(*KEYS, "pos", "constant", "global_std", *[c.alias(k) for k, c in window.items()], *[m.alias(k) for k, m in zip(names, means, strict=True)])
@@ -87,7 +108,7 @@ def blocks(panel: DataFrame, halo: int) -> DataFrame:
     return runs.join(stats, KEYS).select(*KEYS, first.alias("first"), (first + size).alias("stop"), "points", "global_std", "constant")
 
 
-def window_words(values: np.ndarray, starts: np.ndarray, config: Config, global_std: np.ndarray, constant: np.ndarray, least_ratio: float) -> np.ndarray:
+def window_words(values: np.ndarray, starts: np.ndarray, config: Config, global_std: np.ndarray, constant: np.ndarray, least_ratio: float, constant_is_middle: bool = False) -> np.ndarray:
     """The word of the window at each start; global_std and constant are those of its signal."""
     n, segment = config.word_length, config.segment
     offsets = np.arange(config.window_size) * config.dilation
@@ -104,7 +125,8 @@ def window_words(values: np.ndarray, starts: np.ndarray, config: Config, global_
             zero |= std < least_ratio * global_std[some]
         means = x[:, : n * segment].reshape(-1, n, segment).mean(2)
         z = np.where(zero[:, None], 0.0, (means - mean[:, None]) / np.where(zero, 1.0, std)[:, None])
-        out[some] = np.where(constant[some], 0, np.searchsorted(cuts, z, side="right") @ powers)
+        word = np.searchsorted(cuts, z, side="right") @ powers
+        out[some] = word if constant_is_middle else np.where(constant[some], 0, word)
     return out
 
 
@@ -112,7 +134,7 @@ WORDS = "ts_id long, signal_id int, conf_idx int, win_idx long, word long"
 COUNTS = "ts_id long, signal_id int, conf_idx int, word long, cnt long"
 
 
-def grid_words(panel: DataFrame, configs: list[Config], least_ratio: float = 0.0, counted: bool = False) -> DataFrame:
+def grid_words(panel: DataFrame, configs: list[Config], least_ratio: float = 0.0, counted: bool = False, constant_is_middle: bool = False) -> DataFrame:
     """Words of every window for all configurations: (ts_id, signal_id, conf_idx, win_idx, word), or counts within blocks.
 
     The panel is shuffled once into blocks; each block is read once for all configurations. counted: (ts_id, signal_id,
@@ -139,7 +161,7 @@ def grid_words(panel: DataFrame, configs: list[Config], least_ratio: float = 0.0
                 starts = np.flatnonzero((pos < stop) & (pos % config.stride == 0) & (np.arange(len(pos)) + config.span <= ends))
                 if not len(starts):
                     continue
-                word = window_words(value, starts, config, std[starts], constant[starts], least_ratio)
+                word = window_words(value, starts, config, std[starts], constant[starts], least_ratio, constant_is_middle)
                 of = row[starts]
                 if counted:
                     order = np.lexsort((word, of))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from serigraph.operators import bags
@@ -25,9 +24,10 @@ class BagModel:
     least_ratio: float = 0.0
     weights: dict[int, float] = field(default_factory=dict)
     steps: tuple[Step, ...] = ()
+    constant_is_middle: bool = False
 
     def bag(self, panel: DataFrame) -> DataFrame:
-        return _bag(panel, self.configs, self.least_ratio, self.steps)
+        return _bag(panel, self.configs, self.least_ratio, self.steps, self.constant_is_middle)
 
     def transform(self, panel: DataFrame) -> DataFrame:
         """(ts_id, feature_idx, cnt), with weight if configurations have weights."""
@@ -37,13 +37,13 @@ class BagModel:
         return bags.weighted(bag, self.weights).join(self.vocabulary, bags.FEATURE).select("ts_id", "feature_idx", "cnt", "weight")
 
     def vectors(self, panel: DataFrame) -> DataFrame:
-        """(ts_id, features): a dense ML vector for each series, of asinh of the counts."""
-        dense = bags.dense_rows(self.transform(panel), self.width)
-        return dense.select("ts_id", array_to_vector(F.transform("values", F.asinh)).alias("features"))
+        """(ts_id, features): a sparse ML vector for each series of the panel, of asinh of the counts; empty without known words."""
+        rows = bags.sparse_rows(self.transform(panel), self.width, panel)
+        return bags.sparse_vectors(rows.withColumn("values", F.transform("values", F.asinh)))
 
 
-def _bag(panel: DataFrame, configs: list[Config], least_ratio: float, steps: tuple[Step, ...]) -> DataFrame:
-    out = bags.bag(panel, configs, least_ratio)
+def _bag(panel: DataFrame, configs: list[Config], least_ratio: float, steps: tuple[Step, ...], constant_is_middle: bool) -> DataFrame:
+    out = bags.bag(panel, configs, least_ratio, constant_is_middle)
     for step in steps:
         out = step(out)
     return out
@@ -53,7 +53,8 @@ def _bag(panel: DataFrame, configs: list[Config], least_ratio: float, steps: tup
 class BagBuilder:
     """Plans configurations from the lengths of a panel unless they are given, and learns its vocabulary.
 
-    steps: functions from bag to bag, run in order. weights: by conf_idx. planning: options of plan().
+    steps: functions from bag to bag, run in order. weights: by conf_idx. planning: options of plan(). constant_is_middle:
+    a constant signal has the symbol of score 0, not 0.
     """
 
     configs: list[Config] | None = None
@@ -61,6 +62,7 @@ class BagBuilder:
     weights: dict[int, float] = field(default_factory=dict)
     steps: tuple[Step, ...] = ()
     planning: dict = field(default_factory=dict)
+    constant_is_middle: bool = False
 
     def plan(self, panel: DataFrame) -> list[Config]:
         if self.configs is not None:
@@ -70,5 +72,5 @@ class BagBuilder:
 
     def fit(self, panel: DataFrame) -> BagModel:
         configs = self.plan(panel)
-        vocabulary = bags.vocabulary(_bag(panel, configs, self.least_ratio, self.steps)).persist()
-        return BagModel(configs, vocabulary, vocabulary.count(), self.least_ratio, dict(self.weights), tuple(self.steps))
+        vocabulary = bags.vocabulary(_bag(panel, configs, self.least_ratio, self.steps, self.constant_is_middle)).persist()
+        return BagModel(configs, vocabulary, vocabulary.count(), self.least_ratio, dict(self.weights), tuple(self.steps), self.constant_is_middle)

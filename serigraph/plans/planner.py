@@ -98,9 +98,9 @@ def plan(
     return out
 
 
-def config_table(spark: SparkSession, configs: list[Config]) -> DataFrame:
-    """conf_idx and the fields of each configuration."""
-    fields = ("window_size", "dilation", "word_length", "stride", "alphabet_size")
+def config_table(spark: SparkSession, configs: list[Config], slopes: bool = False) -> DataFrame:
+    """conf_idx and the fields of each configuration, that of slopes only if asked for."""
+    fields = ("window_size", "dilation", "word_length", "stride", "alphabet_size", *(("slope_alphabet_size",) if slopes else ()))
     rows = [(i, *(int(asdict(c)[f]) for f in fields)) for i, c in enumerate(configs)]
     return spark.createDataFrame(rows, "conf_idx int, " + ", ".join(f"{f} int" for f in fields))
 

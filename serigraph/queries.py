@@ -198,7 +198,7 @@ def _shown(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     panel = vectors(spark, sf_dir)
     windows = words.grid_words(panel, SHOWN)
     bag = bags.counted(windows)
-    known = bags.vocabulary(bag)
+    known = bags.vocabulary(bag).persist()  # its size is asked for before its rows are used
     return panel, windows, known, bags.features(bag, known)
 
 
@@ -348,3 +348,6 @@ def all_pattern_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def patterns_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ts_id"), F.col("label").alias("y_pred"))
     return patterns.by_label(_shown(spark, sf_dir)[3], labels)
+
+
+from serigraph import detail_queries  # noqa: E402, F401  (it adds to QUERIES and ORACLES)

@@ -25,7 +25,7 @@ def plain(value):
     return round(value, 9) if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLES)
 def test_query_equals_sql(spark, duck, name):
     got = QUERIES[name](spark, SF)
     wanted = duck.execute(ORACLES[name])
@@ -35,3 +35,8 @@ def test_query_equals_sql(spark, duck, name):
     a = sorted((tuple(map(plain, r)) for r in got.select(*names).collect()), key=key)
     b = sorted((tuple(map(plain, r)) for r in wanted.fetchall()), key=key)
     assert a == b
+
+
+def test_a_linear_model_on_the_bag(spark):
+    row = QUERIES["classifier_accuracy"](spark, SF).first()
+    assert row["held_out"] > 90 and row["accuracy"] > 0.1
