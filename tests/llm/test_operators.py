@@ -196,6 +196,56 @@ def test_language_probabilities_sum_to_one():
     assert known <= 1 + 1e-9 + 2 * model.floor[0] and known > 0.9
 
 
+def kneser_ney_by_force(texts):
+    """A function from a text to its bits per 4-gram, by dictionaries alone."""
+    from collections import Counter, defaultdict
+
+    def cut(text):
+        chars = [int(c) for c in langid.normalised(text.encode())]
+        return [tuple(x) for x in zip(*(langid.grams(np.array(chars, np.uint64)) >> np.uint64(16 * k) & np.uint64(0xFFFF) for k in range(3, -1, -1)))] if chars else []
+
+    counts = Counter(tuple(map(int, g)) for t in texts for g in cut(t))
+    levels = []
+    for order in range(4, 0, -1):
+        ones, twos = (sum(n == k for n in counts.values()) for k in (1, 2))
+        total, types = defaultdict(int), defaultdict(int)
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            types[g[:-1]] += 1
+        levels.append((dict(counts), ones / (ones + 2 * twos) if ones and twos else 0.5, total, types))
+        counts = Counter({g for g in counts} and [g[1:] for g in counts])
+    size = len(levels[-1][0])
+
+    def p(g, level):
+        if level == 4:
+            return 1 / (size + 1)
+        counts, discount, total, types = levels[level]
+        lower = p(g[1:], level + 1)
+        n = total.get(g[:-1], 0)
+        return (max(counts.get(g, 0) - discount, 0) + discount * types[g[:-1]] * lower) / n if n else lower
+
+    def bits(text):
+        own = [tuple(map(int, g)) for g in cut(text)]
+        return sum(-np.log2(p(g, 0)) for g in own) / len(own)
+
+    return bits
+
+
+def test_language_equals_kneser_ney_in_plain_python(spark):
+    docs = spark.read.parquet(f"{MORE}/documents.parquet").where("doc_id < 120 and length(text) < 3000")
+    rows = [r for r in docs.collect() if r["text"] and len(langid.normalised(r["text"].encode()))]
+    learned = [r for r in rows if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    models = {c: kneser_ney_by_force([r["text"] for r in learned if r["lang"] == c]) for c in sorted({r["lang"] for r in learned})}
+    model = langid.train(spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in learned], "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: r for r in langid.identify(docs.select("doc_id", "text"), model).collect()}
+    assert len(models) > 2 and len(rows) > 50
+    for r in rows:
+        bits = {c: f(r["text"]) for c, f in models.items()}
+        best = min(bits, key=bits.get)
+        assert got[r["doc_id"]]["bits"] == pytest.approx(bits[best], rel=1e-4)
+        assert bits[got[r["doc_id"]]["lang_pred"]] == pytest.approx(bits[best], rel=1e-4)
+
+
 def test_language_models_hold_every_gram_and_language(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(i, "".join(chr(0x4E00 + rng.randrange(300 + 100 * (i % 2))) for _ in range(13_000)), "ab"[i % 2]) for i in range(40)]
@@ -225,6 +275,45 @@ def test_quality_on_held_out_labels(spark, duck):
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in rows]) >= 0.85
 
 
+def test_boosted_trees_in_plain_python(spark, duck):
+    """Flat arrays score as trees walked node by node; the first split is the best of all; features are what they are called."""
+    rng = np.random.default_rng(17)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    y = (x[:, 1] + 0.3 * rng.normal(size=300) > 0.2).astype(float)
+    forest = quality.boosted(x, y, trees=5, depth=3)
+
+    def walked(row):
+        total = forest.base
+        for feature, threshold, leaf in zip(forest.feature, forest.threshold, forest.leaf):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - len(feature)]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(forest.score(x), [walked(r) for r in x]) and np.mean((forest.score(x) > 0.5) == (y > 0)) > 0.85
+    p = y.mean()
+    best = (0, None, None)
+    for j in range(4):
+        for cut in np.unique(np.quantile(x[:, j], np.linspace(0, 1, 65)[1:-1])):
+            left = x[:, j] <= cut
+            gains = [(y[m] - p).sum() ** 2 / (m.sum() * p * (1 - p) + 2.0) for m in (left, ~left)]
+            if min(left.sum(), (~left).sum()) * p * (1 - p) >= 5.0 and sum(gains) > best[0] + 1e-9:
+                best = (sum(gains), j, cut)
+    assert (forest.feature[0, 0], forest.threshold[0, 0]) == best[1:]
+    texts = [t for (t,) in duck.execute("select text from documents where text is not null").fetchall()] + ["", " \n", "One"]
+    got = quality.statistics([t.encode() for t in texts])
+    for t, row in zip(texts, got):
+        words = [w for w in re.split(rb"[\x20\x09-\x0D]+", t.encode()) if w]
+        if not words:
+            assert not row.any()
+            continue
+        named = dict(zip(quality.FEATURES, row))
+        assert named["log_words"] == pytest.approx(np.log1p(len(words))) and named["mean_word"] == pytest.approx(np.mean(list(map(len, words))))
+        assert named["distinct_words"] == pytest.approx(len(set(words)) / len(words)) and named["one_byte_words"] == pytest.approx(np.mean([len(w) == 1 for w in words]))
+        assert named["words_with_digit"] == pytest.approx(np.mean([any(48 <= c < 58 for c in w) for w in words]))
+
+
 def test_repeated_passages_go_but_for_the_first(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
