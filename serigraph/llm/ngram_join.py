@@ -465,7 +465,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     by prefix trees.
     """
     known = checkpoint(_known(docs, n, percent))
-    least = known.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # a table of its own, so that a component of very many documents can be split among tasks
+    least = checkpoint(known.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")))
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     # texts without words share no root
     some = known.where("root is not null").join(least, "root").select("doc_id", F.col("size").cast("long").alias("n_shingles"), found.alias("component_id"))
