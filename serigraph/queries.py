@@ -14,7 +14,6 @@ from serigraph.sources import panel as panels
 ONE, COARSE = Config(8, 2, 4), Config(8, 1, 4, 2, 4)
 GRID = plan(64, 64)
 SHOWN = [Config(8, 1, 4, 4), Config(16, 2, 4, 4)]
-SHOWN_FEATURES = 12
 GROUPS = [[0, 1], [2], [2, 0]]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,9 +80,7 @@ _FEATURES = "features as (select ts_id, feature_idx, cnt from bag join vocabular
 _SHOWN = f"with {sql_words(VECTORS, SHOWN)}, {_BAG}, {_VOCABULARY}, {_FEATURES}"
 _IMPORTANCE = "importance as (select ts_id, feature_idx, ((ts_id * 31 + feature_idx * 17 + label * 7) % 101 - 50)::double as f from (select vec_id as ts_id, label from embeddings), vocabulary)"
 _COVERED = "occ as (select feature_idx, ts_id, signal_id, conf_idx, win_idx from windows join vocabulary using (conf_idx, signal_id, word)), covered as (select *, win_idx * s + k * d as pos from (select occ.*, s, d, unnest(range(0, w)) as k from occ join config using (conf_idx)))"
-_POINTS = f"pts as (select feature_idx, ts_id, signal_id, win_idx, k, pos, value from covered join panel using (ts_id, signal_id, pos) where feature_idx < {SHOWN_FEATURES})"
-
-_ALL_POINTS = "pts as (select feature_idx, ts_id, signal_id, win_idx, k, pos, value from covered join panel using (ts_id, signal_id, pos))"
+_POINTS = "pts as (select feature_idx, ts_id, signal_id, win_idx, k, pos, value from covered join panel using (ts_id, signal_id, pos))"
 
 
 # --- sources ---------------------------------------------------------------------------------------------------------
@@ -299,11 +296,10 @@ def mapping_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- patterns --------------------------------------------------------------------------------------------------------
 
 
-def _points(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    """Points of the first SHOWN_FEATURES features, which the SQL of the short queries asks for, or of every feature."""
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of every occurrence of every feature."""
     panel, windows, known, _ = _shown(spark, sf_dir)
-    found = alignment.occurrences(windows, known if every else known.where(F.col("feature_idx") < SHOWN_FEATURES))
-    return alignment.with_values(alignment.covered(found, SHOWN), panel)
+    return alignment.with_values(alignment.covered(alignment.occurrences(windows, known), SHOWN), panel)
 
 
 @query(f"""{_SHOWN}, {_COVERED}, {_POINTS}, spans as (select feature_idx, ts_id, signal_id, win_idx, min(pos) as a, max(pos) as b from pts group by all)
@@ -325,23 +321,8 @@ def pattern_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.medoids(_points(spark, sf_dir)).withColumn("distance", F.round("distance", 4))
 
 
-@query(f"""{_SHOWN}, {_COVERED}, {_ALL_POINTS}, spans as (select feature_idx, ts_id, signal_id, win_idx, min(pos) as a, max(pos) as b from pts group by all)
-    select feature_idx, floor(quantile_cont(a, 0.5))::bigint as median_start, min(a) as least_pos, max(b) as greatest_pos from spans group by feature_idx""")
-def all_pattern_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.place_summary(_points(spark, sf_dir, every=True))
-
-
-@query(f"{_SHOWN}, {_COVERED}, {_ALL_POINTS} select feature_idx, k::int as k, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.25), 6) as q25, round(quantile_cont(value, 0.75), 6) as q75 from pts group by all")
-def all_pattern_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = patterns.shape_summary(_points(spark, sf_dir, every=True))
-    return found.select("feature_idx", "k", *[F.round(c, 6).alias(c) for c in ("mean", "median", "q25", "q75")])
-
-
-@query(f"""{_SHOWN}, {_COVERED}, {_ALL_POINTS}, x as (select feature_idx, ts_id, signal_id, win_idx, list(value order by k) as v from pts group by all),
-    dist as (select a.feature_idx, a.ts_id, a.signal_id, a.win_idx, sum(list_distance(a.v, b.v)) as distance from x a join x b using (feature_idx) group by all)
-    select feature_idx, ts_id, signal_id::int as signal_id, win_idx, round(distance, 4) as distance from dist qualify row_number() over (partition by feature_idx order by distance, ts_id, signal_id, win_idx) = 1""")
-def all_pattern_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.medoids(_points(spark, sf_dir, every=True)).withColumn("distance", F.round("distance", 4))
+for _name in ("pattern_places", "pattern_shapes", "pattern_medoids"):  # their names while the short ones showed 12 features
+    QUERIES[f"all_{_name}"], ORACLES[f"all_{_name}"] = QUERIES[_name], ORACLES[_name]
 
 
 @query(f"{_SHOWN} select feature_idx, label as y_pred, count(*) as n_series, sum(cnt)::bigint as cnt from features join embeddings on ts_id = vec_id group by all")
