@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from serigraph.sources.panel import KEYS
 
 OCCURRENCE = ["feature_idx", *KEYS, "win_idx"]
-#: Occurrences of a feature that one row holds as an array.
-BLOCK = 512
+#: Occurrences of a feature that one row holds as an array; numbers of a numpy step.
+BLOCK, STEP = 512, 1_000_000
 
 
 def standardised(panel: DataFrame) -> DataFrame:
@@ -36,23 +40,41 @@ def shape_summary(points: DataFrame, value: str = "value") -> DataFrame:
     return points.groupBy("feature_idx", "k").agg(F.avg(value).alias("mean"), quantile(0.25).alias("q25"), quantile(0.5).alias("median"), quantile(0.75).alias("q75"))
 
 
+def _sums_of_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows of two blocks: the sum of the distances of each occurrence of the one to all of the other."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            ids = [row.column(c).flatten() for c in OCCURRENCE[1:]]
+            n = len(ids[0])
+            x, y = (row.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("x", "others"))
+            width = len(x) // n
+            x, y = x.reshape(n, width), y.reshape(-1, width)
+            out = np.empty(n)
+            step = max(1, STEP // y.size)
+            for at in range(0, n, step):
+                out[at : at + step] = np.sqrt(((x[at : at + step, None] - y) ** 2).sum(2)).sum(1)
+            same = lambda c: pa.array(np.repeat(row.column(c).to_numpy(), n))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([same("feature_idx"), *ids, same("block"), pa.array(out)], names=[*OCCURRENCE, "block", "part"])
+
+
 def medoids(points: DataFrame, value: str = "value") -> DataFrame:
     """For each feature the occurrence with the least sum of Euclidean distances to the others.
 
-    All pairs of one feature's occurrences are compared, as the definition asks. An occurrence meets the others by blocks,
-    each an array of bounded size, so that a frequent feature is many keys and no pair is a row. Sums are taken in one order.
+    All pairs of one feature's occurrences, which have the same number of points, are compared, as the definition asks.
+    Blocks of bounded size meet, so that a frequent feature is many keys and no pair is a row. Sums are taken in one order.
     The first by series, signal and window wins ties.
     """
     rows = points.groupBy(*OCCURRENCE).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col(value).alias("v")))), lambda p: p["v"]).alias("x"))
     sizes = rows.groupBy("feature_idx").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = rows.join(sizes, "feature_idx").withColumn("block", F.pmod(F.xxhash64(*OCCURRENCE), "blocks").cast("int"))
-    others = dealt.groupBy("feature_idx", "block").agg(F.sort_array(F.collect_list("x")).alias("others"))
-    asked = dealt.select(*OCCURRENCE, "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    squares = lambda y: F.zip_with("x", y, lambda a, b: (a - b) * (a - b))
-    distance = lambda y: F.sqrt(F.aggregate(squares(y), F.lit(0.0), lambda total, v: total + v))
-    part = F.aggregate("others", F.lit(0.0), lambda total, y: total + distance(y))
-    parts = asked.join(others, ["feature_idx", "block"]).select(*OCCURRENCE, F.struct("block", part.alias("part")).alias("p"))
-    sums = parts.groupBy(*OCCURRENCE).agg(F.aggregate(F.sort_array(F.collect_list("p")), F.lit(0.0), lambda total, p: total + p["part"]).alias("distance"))
+    held = dealt.groupBy("feature_idx", "blocks", "block").agg(F.array_sort(F.collect_list(F.struct(*OCCURRENCE[1:], "x"))).alias("held"))
+    values = F.flatten("held.x")
+    asked = held.select("feature_idx", *[F.col(f"held.{c}").alias(c) for c in OCCURRENCE[1:]], values.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    pairs = asked.join(held.select("feature_idx", "block", values.alias("others")), ["feature_idx", "block"])
+    kinds = ", ".join(f"{c} {dealt.schema[c].dataType.simpleString()}" for c in [*OCCURRENCE, "block"])
+    parts = pairs.select(*OCCURRENCE, "block", "x", "others").mapInArrow(_sums_of_distances, f"{kinds}, part double")
+    sums = parts.groupBy(*OCCURRENCE).agg(F.aggregate(F.sort_array(F.collect_list(F.struct("block", "part"))), F.lit(0.0), lambda total, p: total + p["part"]).alias("distance"))
     best = F.row_number().over(Window.partitionBy("feature_idx").orderBy("distance", *OCCURRENCE[1:]))
     return sums.withColumn("r", best).where("r = 1").select(*OCCURRENCE, "distance")
 
