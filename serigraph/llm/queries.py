@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from serigraph.llm import html_text, langid, mixing, near_vectors, ngram_join, packing, pii, quality, span_dedup, topk
-from serigraph.llm._common import table
+from serigraph.llm import html_text, langid, mixing, near_vectors, ngram_join, packing, pii, quality, span_dedup, token_files, topk
+from serigraph.llm._common import shared_folder, table
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
 def id_remainder(n: int) -> F.Column:
@@ -63,9 +65,15 @@ def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read back from the files, which stay in the shared folder for whoever reads the rows."""
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    return token_files.documents(token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(BYTE_TOKENIZER)))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_ngram_jaccard, op3_near_embeddings, op4_best_fit_packing, op5_page_text, op6_top_vectors, op7_language, op8_personal_data, op9_quality, op10_repeated_spans)
+    for f in (op1_mix_sources, op2_ngram_jaccard, op3_near_embeddings, op4_best_fit_packing, op5_page_text, op6_top_vectors, op7_language, op8_personal_data, op9_quality, op10_repeated_spans, op13_token_files)
 }
 
 ORACLES = {
