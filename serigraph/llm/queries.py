@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from serigraph.llm import html_text, langid, mixing, near_vectors, ngram_join, packing, pii, quality, span_dedup, token_files, topk
+from serigraph.llm import filter_audit, html_text, langid, mixing, near_vectors, ngram_join, packing, pii, quality, span_dedup, token_files, topk
 from serigraph.llm._common import shared_folder, table
 
 TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -65,6 +65,10 @@ def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read back from the files, which stay in the shared folder for whoever reads the rows."""
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
@@ -73,7 +77,7 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_ngram_jaccard, op3_near_embeddings, op4_best_fit_packing, op5_page_text, op6_top_vectors, op7_language, op8_personal_data, op9_quality, op10_repeated_spans, op13_token_files)
+    for f in (op1_mix_sources, op2_ngram_jaccard, op3_near_embeddings, op4_best_fit_packing, op5_page_text, op6_top_vectors, op7_language, op8_personal_data, op9_quality, op10_repeated_spans, op12_filter_audit, op13_token_files)
 }
 
 ORACLES = {
@@ -141,4 +145,30 @@ ORACLES = {
         select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
         from scored qualify rank <= 5
     """,
+    "op12_filter_audit": """
+        with worded as (
+            select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+        ), masks as (
+            select doc_id, part, (len(w) < 100)::int + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::int + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text))::int
+                + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * coalesce(min(doc_id) over (partition by text) < doc_id, false)::int as m from worded
+        ), known as (
+            select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id
+        ), counts as (
+            select part, m, count(*) as n, sum(coalesce(good, 0)) as g, sum(coalesce(toxic, 0)) as t from masks left join known using (doc_id) group by part, m
+        ), f(name, bit) as (
+            values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+        ), orders as (
+            select a.name || b.name || c.name || d.name || e.name as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+            from f a, f b, f c, f d, f e where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+        ), steps as (
+            select filter_order, step, bits[step] as bit, coalesce(list_sum(bits[1:step - 1]), 0)::int as earlier from (select *, unnest(range(1, 6)) as step from orders)
+        ), told as (
+            select part, filter_order, step, bit, coalesce(sum(n) filter (m & (earlier | bit) = 0), 0) as kept, coalesce(sum(n) filter (m & bit <> 0 and m & earlier = 0), 0) as removed,
+                coalesce(sum(n) filter (m & bit <> 0 and m & earlier <> 0), 0) as redundant, coalesce(sum(n) filter (m = bit), 0) as unique_fails,
+                coalesce(sum(g) filter (m & bit <> 0 and m & earlier = 0), 0) as good_lost, coalesce(sum(t) filter (m & bit <> 0 and m & earlier = 0), 0) as toxic_lost
+            from counts, steps group by part, filter_order, step, bit
+        )
+        select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+            good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, bit))::bigint as shapley from told
+    """,
 }
