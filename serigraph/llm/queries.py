@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from serigraph.llm import filter_audit, html_text, langid, mixing, near_vectors, ngram_join, packing, pii, quality, span_dedup, token_files, topk
+from serigraph.llm import filter_audit, html_text, langid, mixing, near_vectors, ngram_join, packing, phrases, pii, quality, span_dedup, token_files, topk
 from serigraph.llm._common import shared_folder, table
 
 TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -65,6 +65,10 @@ def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -77,7 +81,7 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_ngram_jaccard, op3_near_embeddings, op4_best_fit_packing, op5_page_text, op6_top_vectors, op7_language, op8_personal_data, op9_quality, op10_repeated_spans, op12_filter_audit, op13_token_files)
+    for f in (op1_mix_sources, op2_ngram_jaccard, op3_near_embeddings, op4_best_fit_packing, op5_page_text, op6_top_vectors, op7_language, op8_personal_data, op9_quality, op10_repeated_spans, op11_collocations, op12_filter_audit, op13_token_files)
 }
 
 ORACLES = {
@@ -145,6 +149,32 @@ ORACLES = {
         select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
         from scored qualify rank <= 5
     """,
+    "op11_collocations": """
+        with pieces as (
+            select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as p from documents
+        ), worded as (
+            select lang, regexp_extract_all(p, '[^\\x20\\x09]+') as w from pieces
+        ), grams as (
+            select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase, count(*) as f
+            from (select lang, m, w, unnest(range(1, len(w) - m + 2)) as i from worded, (values (1), (2), (3)) t(m)) group by all
+        ), totals as (
+            select lang, sum(f)::bigint as n from grams where m = 1 group by lang
+        ), often as (
+            select *, string_split(phrase, ' ') as w from grams where m > 1 and f >= 10
+        ), cuts as (
+            select c.lang, c.phrase, c.m as m, c.f as a, c.k as k, l.f as l, r.f as r, 1000000::hugeint * c.f * c.f // (l.f::hugeint * r.f) as score
+            from (select lang, phrase, m, f, w, unnest(range(1, m)) as k from often) c
+            join grams l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:c.k], ' ') join grams r on r.lang = c.lang and r.phrase = array_to_string(c.w[c.k + 1:c.m], ' ')
+        ), lowest as (
+            select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
+        ), held as (
+            select distinct c.lang, x.phrase from (select lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as part from often where m = 3) c
+            join often x on x.lang = c.lang and x.phrase = c.part where 100 * c.f >= 50 * x.f
+        )
+        select lang, (row_number() over (partition by lang order by score desc, a desc, phrase))::int as rank, phrase, a, l, r, n, score::bigint as score
+        from lowest join totals using (lang) where (lang, phrase) not in (select lang, phrase from held)
+        qualify rank <= 2000
+    """,
     "op12_filter_audit": """
         with worded as (
             select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
