@@ -141,9 +141,9 @@ ORACLES = {
     "op6_top_vectors": """
         with fit as (
             select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
-            where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
         ), scored as (
-            select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+            select q.vec_id as query_id, c.vec_id, cast(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: coalesce(p[1] * p[2], 0))), 0) as bigint) as score
             from fit q join fit c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
         )
         select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score

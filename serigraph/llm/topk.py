@@ -32,11 +32,11 @@ def _packed(vectors: DataFrame) -> DataFrame:
             size = batch.column("embedding").value_lengths().to_numpy(zero_copy_only=False)
             for dim in np.unique(size).tolist():
                 rows = batch.filter(pa.array(size == dim))
-                step = max(1, CHUNK_NUMBERS // dim)
+                step = CHUNK_NUMBERS // max(dim, 1) or 1
                 for at in range(0, rows.num_rows, step):
                     part = rows.slice(at, step)
-                    x = np.floor(256.0 * part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float)).reshape(-1, dim)
-                    kind = np.float32 if np.abs(x).max() < 1 << 24 else np.float64
+                    x = np.floor(256.0 * part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float)).reshape(part.num_rows, dim)
+                    kind = np.float32 if np.abs(x).max(initial=0) < 1 << 24 else np.float64
                     yield record_batch({
                         "ids": ([part.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "dim": ([dim], pa.int32()),
                         "norm": ([_norms(x).max()], pa.float64()), "matrix": ([x.astype(kind).tobytes()], pa.binary()),
@@ -46,26 +46,22 @@ def _packed(vectors: DataFrame) -> DataFrame:
 
 
 class Round:
-    """The queries of one round, and what tells how they are scored: scales keep products finite, small numbers go as 32-bit floats."""
+    """The queries of one round, and what tells how they are scored: small numbers go as 32-bit floats."""
 
     def __init__(self, ids: np.ndarray, x: list[np.ndarray], norm: float) -> None:
         self.ids = ids
         self.matrix = np.zeros((len(x), max(map(len, x))))
         for i, v in enumerate(x):
             self.matrix[i, : len(v)] = np.floor(256.0 * v)
-        own = float(_norms(self.matrix).max())
-        self.shift, self.q_shift = (max(0, int(np.frexp(v)[1]) - 480) for v in (norm, own))
-        self.matrix = np.ldexp(self.matrix, -self.q_shift)
         # no partial sum is beyond this (Cauchy and Schwarz)
-        self.bound = np.ldexp(norm, -self.shift) * np.ldexp(own, -self.q_shift) * (1 + 1e-9) + 1
+        self.bound = norm * float(_norms(self.matrix).max()) * (1 + 1e-9) + 1
         self.kind = np.float32 if self.bound < 1 << 24 else np.float64
         self.matrix = self.matrix.astype(self.kind)
 
     def scores(self, some: slice, row: dict) -> np.ndarray:
-        """Inner products of some queries with a chunk, exact below 2**53; shorter vectors end in zeros; -inf for a query's own rows."""
+        """Inner products of some queries with a chunk, which are exact; shorter vectors end in zeros; -inf for a query's own rows."""
         ids, dim, raw = np.frombuffer(row["ids"], "<i8"), row["dim"], row["matrix"]
-        x = np.frombuffer(raw, np.float32 if len(raw) == 4 * dim * len(ids) else np.float64).reshape(len(ids), dim)
-        x = (np.ldexp(x.astype(float), -self.shift) if self.shift else x).astype(self.kind, copy=False)
+        x = np.frombuffer(raw, np.float32 if len(raw) == 4 * dim * len(ids) else np.float64).reshape(len(ids), dim).astype(self.kind, copy=False)
         both = min(dim, self.matrix.shape[1])
         s = (self.matrix[some, :both] @ x[:, :both].T).astype(float)
         s[self.ids[some, None] == ids[None, :]] = -np.inf
@@ -129,41 +125,88 @@ def _select(shared: Broadcast, lo: Broadcast, k: int):
     return run
 
 
+#: The rank of a score: whether it is above (1) or below (-1) the range of long, itself held in that range, and whole as bytes in order.
+EXACT = "query_id long, vec_id long, beyond int, score long, whole binary"
+ORDER = ("beyond", "score", "whole")
+
+
+def _whole(score: int) -> tuple[int, int, bytes | None]:
+    """The columns of EXACT for a score of any size; a sum of 2**31 products of doubles has under 2200 bits."""
+    beyond = (score >= 1 << 63) - (score < -(1 << 63))
+    return (beyond, (1 << 63) - 1 if beyond > 0 else -(1 << 63), (score + (1 << 2399)).to_bytes(300)) if beyond else (0, score, None)
+
+
+def _integers(x: list[float]) -> list[int]:
+    """floor(256 * x), also where 256 * x is beyond a double."""
+    return [(n << 8) // d for n, d in (v.as_integer_ratio() for v in x)]
+
+
+def _large(shared: Broadcast, k: int):
+    """Scores in whole numbers of any size, for pairs in which either vector is a large one: of a batch the k best of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best: dict[int, list] = {}
+            for vec, x, large in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "embedding", "large")), strict=True):
+                x = _integers(x)
+                for query, q, big in shared.value:
+                    if (large or big) and query != vec:
+                        held = best.setdefault(query, [])
+                        held.append((-sum(a * b for a, b in zip(q, x, strict=False)), vec))
+                        if len(held) > 8 * k:
+                            best[query] = sorted(held)[:k]
+            rows = [(query, vec, *_whole(-score)) for query, held in best.items() for score, vec in sorted(held)[:k]]
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+                yield record_batch({f.split()[0]: (v, t) for f, v, t in zip(EXACT.split(", "), zip(*rows, strict=True), kinds, strict=True)})
+
+    return run
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of vectors for every query, by integer inner product.
 
     vectors and queries have (vec_id long, embedding array of numbers); a component x counts as floor(256 * x). Ties go to
     the smaller vec_id; a row of a query's own vec_id is no candidate for it; with fewer than k candidates all are
-    returned. Null ids, and vectors that are null, empty or hold null or non-finite components, or some of 2**1000 and
-    more, take no part. Rows that repeat are separate candidates but one query, by the least of their vectors. Shorter
-    vectors end in zeros. Empty tables give an empty one. Other columns are dropped. Scores are exact while every sum
-    stays under 2**53; beyond it they and the ranks are those of double arithmetic, and score is held in the range of long.
+    returned. Null ids, and vectors that are null or hold null or non-finite components, take no part; empty ones score 0.
+    Rows that repeat are separate candidates but one query, by the least of their vectors. Shorter vectors end in zeros.
+    Empty tables give an empty one. Other columns are dropped. Ranks are those of the whole integers, whatever their size; a
+    score beyond the range of long is shown as its end.
 
     Candidates stay where they are: the queries are broadcast to them in rounds of ROUND_BYTES, and only histograms and
     the candidates left are shuffled. Each pass scores everything. The first passes count a histogram of BINS bins over
     each query's interval, sum them over all tasks, and narrow the interval to the bin of the k-th value, until a bin is one
-    value or few candidates are left. The last pass takes those that are not below it.
+    value or few candidates are left. The last pass takes those that are not below it. Vectors so large (256 * norm of 2**26
+    and more is) that double arithmetic would round are scored beside that, in Python's integers, one by one.
     """
     spark = vectors.sparkSession
-    fit = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < 2.0**1000))
+    fit = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(fit)
-    chunks = checkpoint(_packed(clean(vectors)))
-    asked = checkpoint(clean(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
-    n, dim = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    large = F.exists("embedding", lambda x: F.abs(x) * F.sqrt(F.size("embedding")) >= 2.0**17)
+    rows = clean(vectors).withColumn("large", large)
+    chunks = checkpoint(_packed(rows.where(~F.col("large"))))
+    asked = checkpoint(clean(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("large", large))
+    n, dim, big = asked.agg(F.count("*"), F.max(F.size("embedding")), F.count_if("large")).first()
     norm = chunks.agg(F.max("norm")).first()[0]
+    big += rows.where("large").count()
     found = []
-    rounds = -(-n * (dim or 0) * 8 // ROUND_BYTES) if norm is not None else 0
+    rounds = -(-n * max(dim or 0, 1) * 8 // ROUND_BYTES)
     for number in range(rounds):
         block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == number).toArrow()
-        if block.num_rows:
-            x = [np.array(v, float) for v in block.column("embedding").to_pylist()]
-            found.append(checkpoint(_one_round(chunks, Round(block.column("vec_id").to_numpy(), x, norm), k)))
+        ids, x, of = block.column("vec_id").to_numpy(), block.column("embedding").to_pylist(), block.column("large").to_pylist()
+        plain = [i for i, b in enumerate(of) if not b]
+        if plain and norm is not None:
+            found.append(checkpoint(_one_round(chunks, Round(ids[plain], [np.array(x[i], float) for i in plain], norm), k)))
+        if big and len(ids):
+            shared = spark.sparkContext.broadcast([(int(q), _integers(v), b) for q, v, b in zip(ids, x, of, strict=True)])
+            found.append(checkpoint(rows.mapInArrow(_large(shared, k), EXACT)))
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*map(F.desc, ORDER), "vec_id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _one_round(chunks: DataFrame, queries: Round, k: int) -> DataFrame:
@@ -183,13 +226,11 @@ def _one_round(chunks: DataFrame, queries: Round, k: int) -> DataFrame:
         q, bins, over, inside = (places.column(c).to_numpy() for c in ("q", "bin", "over", "n"))
         least[q] += bins * width
         above[q] += over
-        if width <= 1 or not len(q) or (above[q] + inside).max() <= LEFT * k or width < queries.bound * 2.0**-50:
+        if width <= 1 or not len(q) or (above[q] + inside).max() <= LEFT * k:
             break
         width /= BINS - 1
     # a little lower, since the bounds of bins are rounded
     least -= np.maximum(np.abs(least), queries.bound) * 2.0**-48
     best = chunks.mapInArrow(_select(shared, context.broadcast((least, above)), k), FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("value"), "vec_id"))
-    value = F.col("value") * float(2.0**queries.shift) * float(2.0**queries.q_shift)
-    score = F.when(value >= 2.0**63, F.lit((1 << 63) - 1)).when(value <= -(2.0**63), F.lit(-(1 << 63))).otherwise(value.cast("long"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.cast("long").alias("score"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id", F.lit(0).alias("beyond"), F.col("value").cast("long").alias("score"), F.lit(None).cast("binary").alias("whole"))
