@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from serigraph.llm._common import CHUNK_BYTES, checkpoint, mixed, record_batch, text_chunks
+from serigraph.llm._common import CHUNK_BYTES, checkpoint, mixed, record_batch, shared_folder, text_chunks
 from serigraph.llm._words import powers, words_of
 
 _STOPS = np.zeros(256, bool)
@@ -79,17 +80,23 @@ def sentences(texts: list[bytes], longest: int) -> Sentences:
     return Sentences(begin, stop, h, starts[begin], np.searchsorted(begin, words.first), words.start)
 
 
-def spans(begin: np.ndarray, stop: np.ndarray, h: np.ndarray, sentences_: int, words_: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each sentence of one text the end and the hash of the shortest run from it that has the least sizes; end 0: none."""
+def runs_of(s: Sentences, a: int, b: int, sentences_: int, words_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end (from a on) and hash of the runs of one text, whose pieces are a to b, in order of start: each of sentences_ whole
+    sentences; from each piece, and to the end of each sentence, the shortest that has as many pieces and words_ words."""
+    begin, stop, h = s.begin[a:b], s.stop[a:b], s.hash[a:b]
     n = len(h)
-    end = np.searchsorted(stop, begin + words_, side="left") + 1
-    end = np.maximum(end, np.arange(n) + sentences_)
-    ok = end <= n
-    out_end = np.where(ok, end, 0)
+    every = np.arange(n)
+    end = np.maximum(np.searchsorted(stop, begin + words_, side="left") + 1, every + sentences_)
+    first = np.flatnonzero(s.starts[a:b])
+    ends = np.append(first[1:], n)[: len(first)]
+    back = np.minimum(np.searchsorted(begin, stop[ends - 1] - words_, side="right") - 1, ends - sentences_)
+    starts = np.concatenate([every[end <= n], first[: max(0, len(first) - sentences_ + 1)], back[back >= 0]])
+    stops = np.concatenate([end[end <= n], ends[sentences_ - 1 :], ends[back >= 0]])
+    both = np.unique(starts * (n + 1) + stops)
+    starts, stops = both // (n + 1), both % (n + 1)
     # the sum of h[i + k] * _STEP ** k over the run, as a difference of sums from the start of the text
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(n, _STEP))])
-    out_hash = np.where(ok, (sums[out_end] - sums[:-1]) * powers(n, _BACK), np.uint64(0))
-    return out_end, mixed(out_hash + (out_end - np.arange(n)).astype(np.uint64))
+    return starts, stops, mixed((sums[stops] - sums[starts]) * powers(n, _BACK)[starts] + (stops - starts).astype(np.uint64))
 
 
 RUNS = "doc_id long, h long"
@@ -103,9 +110,8 @@ def _runs(docs: DataFrame, sentences_: int, words_: int, longest: int) -> DataFr
                 s = sentences(texts, longest)
                 found: list[list] = [[], []]
                 for i in range(len(texts)):
-                    some = slice(s.first[i], s.first[i + 1])
-                    end, key = spans(s.begin[some], s.stop[some], s.hash[some], sentences_, words_)
-                    own = np.unique(key[end > 0]).view(np.int64)
+                    *_, key = runs_of(s, s.first[i], s.first[i + 1], sentences_, words_)
+                    own = np.unique(key).view(np.int64)
                     found[0].append(np.full(len(own), ids[first + i]))
                     found[1].append(own)
                 yield record_batch({"doc_id": (np.concatenate(found[0]), pa.int64()), "h": (np.concatenate(found[1]), pa.int64())})
@@ -113,40 +119,51 @@ def _runs(docs: DataFrame, sentences_: int, words_: int, longest: int) -> DataFr
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, RUNS)
 
 
-def repeated(s: Sentences, a: int, b: int, cut: list[int] | None, sentences_: int, words_: int) -> list[tuple[int, int]]:
-    """Stretches of sentences a to b, those of one text, to be removed: cut has the keys of runs whose first place is another text."""
-    end, key = spans(s.begin[a:b], s.stop[a:b], s.hash[a:b], sentences_, words_)
-    on = np.flatnonzero(end)
-    again = np.ones(len(on), bool)
-    again[np.unique(key[on], return_index=True)[1]] = False  # the first place in this text
-    if cut:
-        again |= np.isin(key[on].view(np.int64), np.array(cut, np.int64))
-    cover = np.zeros(b - a + 1, np.int64)
-    np.add.at(cover, on[again], 1)
-    np.add.at(cover, end[on[again]], -1)
-    edge = np.flatnonzero(np.diff((cover.cumsum()[:-1] > 0).astype(np.int8), prepend=0, append=0)) + a
-    out = []
-    for low, high in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        bounds = low + np.flatnonzero(np.append(s.starts[low : min(high + 1, b)], [True] * (high == b)))
-        if len(bounds) > 1 and s.begin[bounds[0]] + words_ <= s.stop[bounds[-1] - 1]:
-            low, high = int(bounds[0]), int(bounds[-1])  # whole sentences
-        out.append((low, high))
-    return out
+def _written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, which is smaller than a checkpoint of it; it stays there for whoever reads the result."""
+    path = f"{shared_folder(df.sparkSession)}/runs-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def remove_repeats(docs: DataFrame, sentences_: int = 3, words_: int = 25, longest: int = 12) -> DataFrame:
+def repeated(s: Sentences, a: int, b: int, cut: list[int] | None, sentences_: int, words_: int, giant: int) -> list[tuple[int, int]]:
+    """Stretches of pieces a to b, those of one text, to be removed: cut has the keys of runs whose first place is another text."""
+    start, end, key = runs_of(s, a, b, sentences_, words_)
+    again = np.ones(len(start), bool)
+    again[np.unique(key, return_index=True)[1]] = False  # the first place in this text
+    if cut:
+        again |= np.isin(key.view(np.int64), np.array(cut, np.int64))
+    cover = np.zeros(b - a + 1, np.int64)
+    np.add.at(cover, start[again], 1)
+    np.add.at(cover, end[again], -1)
+    covered = cover.cumsum()[:-1] > 0
+    if not covered.any():
+        return []
+    first = np.flatnonzero(s.starts[a:b])
+    length = np.diff(np.append(first, b - a))
+    words = np.append(s.begin[a:b][first[1:]], s.stop[b - 1]) - s.begin[a:b][first]
+    goes = np.repeat((np.add.reduceat(covered, first, dtype=np.int64) == length) | (words > giant), length) & covered
+    edge = np.flatnonzero(np.diff(goes.astype(np.int8), prepend=0, append=0)) + a
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def remove_repeats(docs: DataFrame, sentences_: int = 3, words_: int = 25, longest: int = 12, giant: int = 50) -> DataFrame:
     """(doc_id, text, n_sentences, n_removed, n_words_removed, removed) for every row of docs (doc_id, text).
 
-    Every run of at least sentences_ consecutive sentences and words_ words is hashed and joined over all documents. Its
-    first place, by doc_id and position, stays; sentences covered by a run at any other place are removed, with the white
-    space after them. Sentences of more than longest words count by their pieces in runs; of a covered stretch its whole
-    sentences go, or, if they have fewer than words_ words, its pieces too. With the defaults every repeated passage of over 50 words holds a run.
-    removed: the byte spans taken out, start:end, comma-joined. Rows that repeat a doc_id are versions of
-    one document: what they share stays in each. Null ids take no part; null text stays null, with no
-    sentences. An empty table gives an empty one. Other columns are dropped.
+    Every run of sentences_ consecutive sentences, however short, is hashed and joined over all documents. The first place
+    of a run, by doc_id and position, stays; sentences covered by runs at any other place are removed, with the white space
+    after them. So that a passage is found too where other text runs into its first and last sentence, sentences of more than
+    longest words also count by pieces, of which a run has as many and words_ words at least: with the defaults every
+    repeated passage of over 50 words holds one. Pieces alone are removed only inside sentences of more than giant words, such as text
+    without stops; of a shorter sentence all is covered, or it stays.
+
+    n_sentences and n_removed count pieces, which are sentences up to longest words. removed: the byte spans taken out,
+    start:end, comma-joined. Rows that repeat a doc_id are versions of one document: what they share stays in each. Null ids take
+    no part; null text stays null, with no sentences. Very long texts are read and compared whole. An empty table gives an
+    empty one. Other columns are dropped.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    runs = checkpoint(_runs(rows, sentences_, words_, longest))
+    runs = _written(_runs(rows, sentences_, words_, longest))
     repeats = runs.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc").drop("last_doc")
     # a table of its own, so that a run that very many documents hold can be split among tasks
     flagged = runs.join(checkpoint(repeats), "h").where("doc_id <> first_doc").groupBy("doc_id").agg(F.collect_set("h").alias("cut"))  # at most the document's own runs
@@ -161,7 +178,7 @@ def remove_repeats(docs: DataFrame, sentences_: int = 3, words_: int = 25, longe
                 for i, text in enumerate(texts):
                     a, b = int(s.first[i]), int(s.first[i + 1])
                     kept, holes, at, n, n_words = [], [], 0, 0, 0
-                    for low, high in repeated(s, a, b, cuts[first + i], sentences_, words_):
+                    for low, high in repeated(s, a, b, cuts[first + i], sentences_, words_, giant):
                         start = int(s.word_start[s.begin[low]] - base[i])
                         stop = int(s.word_start[s.begin[high]] - base[i]) if high < b else len(text)
                         kept.append(text[at:start])
