@@ -7,7 +7,7 @@ import json
 import re
 import zlib
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -50,18 +50,22 @@ def _is_chrome(tag: str, attrs: str, in_main: bool) -> bool:
     return any(w in CHROME_WORDS for m in _NAMED.finditer(attrs) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
 
 
+#: Addresses on each side of a page's own that are compared with it, and how many of them must hold a line at an end of the article.
+NEAR, HELD_BY = 2, 2
+
+
 def page_lines(source: str) -> list[tuple[int, str]]:
-    """(where, text) of each block in page order; where: 2 inside an article or main element, 1 elsewhere, 0 chrome."""
+    """(where, text) of each block in page order; where: 3 a title (h1, h2) inside an article or main element, 2 other text in one, 1 elsewhere, 0 chrome."""
     lines: list[tuple[int, str]] = []
     held: list[str] = []
     open_: list[tuple[str, bool, bool]] = []  # tag, whether it made the text chrome, whether it made it main
-    chrome = main = 0
+    chrome = main = title = 0
 
     def flush() -> None:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            lines.append((0 if chrome else 2 if main else 1, text))
+            lines.append((0 if chrome else 3 if main and title else 2 if main else 1, text))
 
     at = 0
     for m in _MARK.finditer(source):
@@ -73,6 +77,7 @@ def page_lines(source: str) -> list[tuple[int, str]]:
             continue
         if tag in BLOCK_TAGS:
             flush()
+            title = tag in ("h1", "h2") and not m["close"]
         if m["close"]:
             # an element that was left open inside ends with the one around it; paragraphs may stay open
             for i in range(len(open_) - 1, -1, -1):
@@ -137,13 +142,36 @@ def shared_lines(a: list[str], b: list[str]) -> dict[int, int]:
     return out
 
 
-def main_text(page: list[tuple[int, str]], *others: list[tuple[int, str]]) -> str:
+def _ends(page: list[tuple[int, str]], kept: list[int], near: Sequence[list[tuple[int, str]]]) -> list[int]:
+    """kept without the notices at the ends of the article: lines before its first or after its last own line that HELD_BY of the near pages hold as well.
+
+    A shared line between own lines is text, as is a title that only this page has. Copies of the page don't count.
+    """
+    texts = [page[i][1] for i in kept]
+    held = [0] * len(kept)
+    for other in near:
+        least = 2 if any(where >= 2 for where, _ in other) else 1
+        aligned = shared_lines(texts, [t for where, t in other if where >= least])
+        if len(aligned) < len(kept):
+            for i in aligned:
+                held[i] += 1
+    gone = set()
+    for order in (range(len(kept)), reversed(range(len(kept)))):
+        for i in order:
+            if held[i] >= HELD_BY:
+                gone.add(i)
+            elif page[kept[i]][0] != 3:
+                break
+    return [k for i, k in enumerate(kept) if i not in gone]
+
+
+def main_text(page: list[tuple[int, str]], *others: list[tuple[int, str]], near: Sequence[list[tuple[int, str]]] = ()) -> str:
     """Blocks of page that are no chrome, without those shared with the first other that is no copy of it; of pages with an article, only its blocks.
 
-    A block that both pages hold inside their article element is text of both articles and stays. A page that would have
-    nothing left is a copy, of the same body.
+    A block that both pages hold inside their article element is text of both articles and stays, but at the article's ends
+    goes if several of the near pages hold it. A page that would have nothing left is a copy, of the same body.
     """
-    least = 2 if any(where == 2 for where, _ in page) else 1
+    least = 2 if any(where >= 2 for where, _ in page) else 1
     kept = [i for i, (where, _) in enumerate(page) if where >= least]
     for other in others:
         aligned = shared_lines([t for _, t in page], [t for _, t in other])
@@ -152,6 +180,7 @@ def main_text(page: list[tuple[int, str]], *others: list[tuple[int, str]]) -> st
         if own:
             kept = own
             break
+    kept = _ends(page, kept, near) or kept
     return " ".join(page[i][1] for i in kept)
 
 
@@ -191,7 +220,7 @@ def _neighbourhoods(rows: DataFrame) -> tuple[list[tuple], dict[tuple, int], dic
     keys = keys.withColumn("task", F.shiftright("m", 33)).join(bases, "task").select(*ADDRESS, "rep", rank.alias("rank"), F.floor(rank / size).alias("number"), parts.alias("parts"))
     paths = keys.groupBy("host", "path").agg((F.min("rank") - 1).alias("low"), (F.max("rank") + 1).alias("high"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    needs = keys.join(paths, ["host", "path"]).select("host", "number", every, F.array(F.col("rank") - 1, F.col("rank") + 1, "low", "high").alias("ranks"))
+    needs = keys.join(paths, ["host", "path"]).select("host", "number", every, F.array(*[F.col("rank") + k for k in range(-NEAR, NEAR + 1) if k], "low", "high").alias("ranks"))
     needs = needs.select("host", "number", "part", F.explode("ranks").alias("rank")).distinct()
     owners = keys.select(*ADDRESS, "rep", "rank", F.col("number").alias("own"), "parts")
     lent = needs.join(owners, ["host", "rank"]).where("own <> number or part <> 0 or parts > 1").groupBy(*ADDRESS).agg(F.first("rep").alias("rep"), F.collect_set(F.struct("number", "part")).alias("to"))
@@ -205,10 +234,12 @@ def _neighbourhoods(rows: DataFrame) -> tuple[list[tuple], dict[tuple, int], dic
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html).
 
-    Blocks of text are read from the whole html, paired with the page of the nearest path and query on the same host, and lines
-    that the two share are deleted, unless both mark them as article or nothing would be left: then the pages are copies,
-    and if only the query differs, the nearest other path is taken instead. Menus, forms and the like go by element and
-    class. Null html, and html without text, give an empty text; a null url is a host of
+    Blocks of text are read from the whole html, however long, paired with the page of the nearest path and query on the same
+    host, and lines that the two share are deleted, unless both mark them as article or nothing would be left: then the pages
+    are copies, and if only the query differs, the nearest other path is taken instead. Of lines of the article those before its first or
+    after its last own line are deleted if HELD_BY of the pages at the NEAR addresses on each side hold them too: notices that a
+    site puts into its articles; a line that documents repeat between lines of their own stays. Menus, forms and the like go
+    by element and class. Null html, and html without text, give an empty text; a null url is a host of
     its own; rows that repeat are separate pages, none of which is the other's partner; on ties the earlier path is nearer,
     and the first page by url and page_id stands for an address; a page without a partner is judged by its elements alone;
     other columns are dropped; an empty table gives an empty one. All addresses are put in order and cut into groups; pages
@@ -216,7 +247,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     address = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://|[?#].*$", "")
     host = F.lower(F.substring_index(address, "/", 1))
-    path = F.regexp_replace(F.substring(address, F.length(host) + 1, 1 << 20), r"(\.html?|/)$", "")
+    path = F.regexp_replace(F.substr(address, F.length(host) + 1), r"(\.html?|/)$", "")
     query = F.regexp_extract(F.regexp_replace(F.coalesce("url", F.lit("")), r"#.*$", ""), r"\?.*$", 0)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"), query.alias("query"), "html")
     shared = pages.sparkSession.sparkContext.broadcast(_neighbourhoods(rows))
@@ -251,23 +282,26 @@ def extract(pages: DataFrame) -> DataFrame:
         for key in sorted(first):
             hosts.setdefault(key[0], []).append(key)
         partners: dict[tuple, list[int]] = {}
+        around: dict[tuple, list[int]] = {}
         for keys in hosts.values():
             near, far = _partners([k[1] + k[2] for k in keys]), _partners([k[1] for k in keys])
             for key, a, b in zip(keys, near, far, strict=True):
                 chosen = [a, b] if a is not None and keys[a][1] == key[1] else [b]
                 partners[key] = [first[keys[j]] for j in chosen if j is not None]
+            for i, key in enumerate(keys):
+                around[key] = [first[k] for k in keys[max(0, i - NEAR) : i] + keys[i + 1 : i + 1 + NEAR]]
         texts, mine, read_at = [], [], {}
         for i in range(len(rows)):
             if not own[i]:
                 continue
-            for j in (i, *partners[rows[i]]):
+            for j in (i, *partners[rows[i]], *around[rows[i]]):
                 if j not in read_at:
                     read_at[j] = json.loads(unpack(packed[j]))
             mine.append(i)
-            texts.append(main_text(read_at[i], *(read_at[j] for j in partners[rows[i]])))
+            texts.append(main_text(read_at[i], *(read_at[j] for j in partners[rows[i]]), near=[read_at[j] for j in around[rows[i]]]))
             # neighbours only are needed again
             if len(read_at) > 64:
-                read_at = {j: x for j, x in read_at.items() if j >= i - 1}
+                read_at = {j: x for j, x in read_at.items() if j in around[rows[i]] or j >= i}
         group = group.take(pa.array(mine, pa.int64()))
         batch = record_batch({"page_id": (group.column("page_id").to_pylist(), pa.int64()), "url": (group.column("url").to_pylist(), pa.string()), "text": (texts, pa.string()), "n_chars": (list(map(len, texts)), pa.int64())})
         return pa.Table.from_batches([batch])
