@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from serigraph.functions import encoding, symbols
-from serigraph.operators import alignment, bags, explain, moving, patterns, words
+from serigraph.operators import alignment, bags, explain, moving, patterns, ridge, words
 from serigraph.plans.builder import BagBuilder
 from serigraph.plans.planner import Config, config_table, grouped, plan
 from serigraph.queries import (
-    COARSE, EVENTS, GRID, LINE_ITEMS, ONE, QUERIES, SHOWN, VECTORS, _BAG, _COVERED, _FEATURES, _IMPORTANCE, _SHOWN, _VOCABULARY, _importance, _shown, _table, events, line_items, query, sql_words, vectors,
+    COARSE, EVENTS, GRID, LINE_ITEMS, ONE, QUERIES, SCALES, SHOWN, VECTORS, _BAG, _COVERED, _FEATURES, _IMPORTANCE, _SHOWN, _VOCABULARY, _importance, _shown, _table, events, line_items, query, sql_words, vectors,
 )
 from serigraph.sources import panel as panels
 
@@ -36,44 +36,84 @@ def _lengths(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     return row["min_length"], row["max_length"]
 
 
-_SCALES = "w as (select unnest([4, 8, 16, 32, 64]) as w), d as (select unnest([1, 2, 4]) as d)"
+_STRIDES = {
+    "linear": "l", "quadratic": "1",
+    "linear_logarithmic": "case when m > w and d < (m - 1) / w - 1 then case when ln(m) >= (room + 1) / m then 1 else ceil(room / (m * ln(m) - 1)) end end",
+}
 
 
-@query(f"""with {_SCALES}, l as (select unnest([2, 4, 8]) as l)
-    select (row_number() over (order by w, d, l) - 1)::int as conf_idx, w::int as window_size, d::int as dilation, l::int as word_length, l::int as stride, 3 as alphabet_size
-    from w, d, l where l <= w and w * d <= 64""")
+def _planned(complexity: str, slopes: bool = False) -> str:
+    """CTEs planned (w, d, l, stride, and a, b with slopes) of a plan, in order by n."""
+    more = ", a as (select unnest([2, 3])::int as a), b as (select unnest([0, 1, 2, 3])::int as b)" if slopes else ""
+    order, source = ("w, d, l, a, b", "w, d, l, a, b, m where l <= w and w * d <= longest and (l > 1 or b > 1)") if slopes else ("w, d, l", "w, d, l, m where l <= w and w * d <= longest")
+    scales = SCALES.replace("range(1, 4)", "range(0, 4)") if slopes else SCALES
+    return f"""{scales}{more}, c as (select {order}, shortest::double as m, -w + d * w + shortest::double * w - d * w * w as room from {source}),
+        s as (select *, {_STRIDES[complexity]} as stride from c), planned as (select *, (row_number() over (order by {order}) - 1)::int as n from s where stride is not null)"""
+
+
+_CONFIG = "n as conf_idx, w as window_size, d as dilation, l as word_length, stride::int as stride"
+
+
+@query(f"with {_planned('linear')} select {_CONFIG}, 3 as alphabet_size from planned")
 def plan_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config_table(spark, plan(*_lengths(spark, sf_dir), complexity="linear"))
 
 
-@query(f"""with {_SCALES}, l as (select unnest([2, 4, 8]) as l), c as (select *, 64.0 as m, -w + d * w + 64.0 * w - d * w * w as room from w, d, l where l <= w and w * d <= 64),
-    s as (select *, case when m > w and d < (m - 1) / w - 1 then case when ln(m) >= (room + 1) / m then 1 else ceil(room / (m * ln(m) - 1)) end end as stride from c)
-    select (row_number() over (order by w, d, l) - 1)::int as conf_idx, w::int as window_size, d::int as dilation, l::int as word_length, stride::int as stride, 3 as alphabet_size from s where stride is not null""")
+@query(f"with {_planned('linear_logarithmic')} select {_CONFIG}, 3 as alphabet_size from planned")
 def plan_logarithmic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config_table(spark, plan(*_lengths(spark, sf_dir), complexity="linear_logarithmic"))
 
 
-@query(f"""with {_SCALES}, l as (select unnest([1, 2, 4, 8]) as l), a as (select unnest([2, 3]) as a), b as (select unnest([0, 1, 2, 3]) as b)
-    select (row_number() over (order by w, d, l, a, b) - 1)::int as conf_idx, w::int as window_size, d::int as dilation, l::int as word_length, 1 as stride, a::int as alphabet_size, b::int as slope_alphabet_size
-    from w, d, l, a, b where l <= w and w * d <= 64 and (l > 1 or b > 1)""")
+def _plan_with_slopes(spark: SparkSession, sf_dir: str, complexity: str) -> list[Config]:
+    return plan(*_lengths(spark, sf_dir), alphabets=range(2, 4), slope_alphabets=range(4), complexity=complexity)
+
+
+@query(f"with {_planned('quadratic', True)} select {_CONFIG}, a as alphabet_size, b as slope_alphabet_size from planned")
 def plan_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return config_table(spark, plan(*_lengths(spark, sf_dir), alphabets=range(2, 4), slope_alphabets=range(4)), slopes=True)
+    return config_table(spark, _plan_with_slopes(spark, sf_dir, "quadratic"), slopes=True)
+
+
+@query(f"with {_planned('linear', True)} select {_CONFIG}, a as alphabet_size, b as slope_alphabet_size from planned")
+def plan_slopes_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return config_table(spark, _plan_with_slopes(spark, sf_dir, "linear"), slopes=True)
+
 
+@query(f"with {_planned('linear_logarithmic', True)} select {_CONFIG}, a as alphabet_size, b as slope_alphabet_size from planned")
+def plan_slopes_logarithmic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return config_table(spark, _plan_with_slopes(spark, sf_dir, "linear_logarithmic"), slopes=True)
 
-@query(f"""with {_SCALES}, l as (select unnest([2, 4, 8]) as l) select 3 as alphabet_size, l::int as word_length, 1 as stride, count(*)::int as n, list(w::int order by w, d) as window_sizes, list(d::int order by w, d) as dilations
-    from w, d, l where l <= w and w * d <= 64 group by l""")
+
+def _groups(spark: SparkSession, configs: list[Config], *fields: str) -> DataFrame:
+    rows = [(*key, len(cs), [c.window_size for c in cs], [c.dilation for c in cs], [c.stride for c in cs]) for key, cs in grouped(configs, *fields).items()]
+    return spark.createDataFrame(rows, ", ".join(f"{f} int" for f in fields) + ", n int, window_sizes array<int>, dilations array<int>, strides array<int>")
+
+
+_LISTS = "count(*)::int as n, list(w order by planned.n) as window_sizes, list(d order by planned.n) as dilations, list(stride::int order by planned.n) as strides"
+
+
+@query(f"with {_planned('quadratic')} select 3 as alphabet_size, l as word_length, stride::int as stride, {_LISTS} from planned group by l, stride")
 def plan_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(*key, len(cs), [c.window_size for c in cs], [c.dilation for c in cs]) for key, cs in grouped(plan(*_lengths(spark, sf_dir)), "alphabet_size", "word_length", "stride").items()]
-    return spark.createDataFrame(rows, "alphabet_size int, word_length int, stride int, n int, window_sizes array<int>, dilations array<int>")
+    return _groups(spark, plan(*_lengths(spark, sf_dir)), "alphabet_size", "word_length", "stride")
+
+
+@query(f"with {_planned('linear')} select 3 as alphabet_size, l as word_length, {_LISTS} from planned group by l")
+def plan_groups_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _groups(spark, plan(*_lengths(spark, sf_dir), complexity="linear"), "alphabet_size", "word_length")
+
 
+@query(f"with {_planned('linear_logarithmic', True)} select a as alphabet_size, b as slope_alphabet_size, l as word_length, {_LISTS} from planned group by a, b, l")
+def plan_groups_of_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _groups(spark, _plan_with_slopes(spark, sf_dir, "linear_logarithmic"), "alphabet_size", "slope_alphabet_size", "word_length")
 
-@query("""with r as (select unnest(range(0, 13)) as x), p as (select a.x::int as w, b.x::int as l from r a, r b where b.x > 0)
-    select w, l, w between 2 and 9 as alphabet, w between 2 and 9 and l between 2 and 9 and w * l <= 9 as alphabets, w % l = 0 as divisible, w < l as shorter, w >= l as segmentable, w = 0 as empty from p""")
+
+@query("""with p as (select o_orderkey, (o_orderkey % 13)::int as w, (o_custkey % 12 + 1)::int as l from orders)
+    select o_orderkey, w, l, w between 2 and 9 as alphabet, w between 2 and 9 and l between 2 and 9 and w * l <= 9 as alphabets, w % l = 0 as divisible, w < l as shorter, w >= l as segmentable, w = 0 as empty from p""")
 def parameter_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the window size and word length that each order's numbers make."""
     w, l = F.col("w"), F.col("l")  # noqa: E741
-    pairs = spark.range(13 * 12).select((F.col("id") % 13).cast("int").alias("w"), F.floor(F.col("id") / 13 + 1).cast("int").alias("l"))
+    pairs = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 13).cast("int").alias("w"), (F.col("o_custkey") % 12 + 1).cast("int").alias("l"))
     return pairs.select(
-        "w", "l", symbols.valid_alphabet(w).alias("alphabet"), symbols.valid_alphabets(w, l).alias("alphabets"), symbols.divisible(w, l).alias("divisible"), (~symbols.segmentable(w, l)).alias("shorter"),
+        "o_orderkey", "w", "l", symbols.valid_alphabet(w).alias("alphabet"), symbols.valid_alphabets(w, l).alias("alphabets"), symbols.divisible(w, l).alias("divisible"), (~symbols.segmentable(w, l)).alias("shorter"),
         symbols.segmentable(w, l).alias("segmentable"), symbols.is_empty(F.array_repeat(F.lit(0), w)).alias("empty"),
     )
 
@@ -84,13 +124,6 @@ def eligible_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.withColumn("fits", symbols.fits(F.col("length"), 8, 2))
 
 
-@query("""select * from (values (0.005::double, -2.575829::double, -6.015403::double), (0.025, -1.959964, -3.859874), (0.1, -1.281552, -1.485430), (0.25, -0.67449, 0.639286), (0.5, 0.0, 3.0),
-    (0.75, 0.67449, 5.360714), (0.9, 1.281552, 7.485430), (0.975, 1.959964, 9.859874)) t(p, z, scaled)""")
-def normal_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(p, round(symbols.normal_quantile(p), 6), round(symbols.normal_quantile(p, 3.0, 3.5), 6)) for p in (0.005, 0.025, 0.1, 0.25, 0.5, 0.75, 0.9, 0.975)]
-    return spark.createDataFrame(rows, "p double, z double, scaled double")
-
-
 # --- moving statistics, segments and scores --------------------------------------------------------------------------
 
 
@@ -107,7 +140,7 @@ def moving_more(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with p as ({LINE_ITEMS}) select ts_id, signal_id::int as signal_id, sum(value::decimal(18, 6))::double as total from p group by all")
 def exact_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_items(spark, sf_dir).groupBy(*panels.KEYS).agg(moving.exact_sum(F.col("value"), 6).alias("total"))
+    return moving.exact_sums(line_items(spark, sf_dir), panels.KEYS, "value")
 
 
 @query(f"""with p as ({EVENTS}), l as (select ts_id, list(value order by pos) as v, count(*) as n from p group by all), c as (select *, unnest(range(0, (n - 19) // 3 + 1)) as win_idx from l where n >= 19),
@@ -239,17 +272,41 @@ def unflattened_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("ts_id", "conf_idx", signal.alias("signal_id"), word.alias("word"))
 
 
-def classifier_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: how many series are held out, and the share of them whose label a linear model on the bag predicts."""
-    from pyspark.ml.classification import LogisticRegression
+@query(f"{_TALL} select ts_id, feature_idx, cnt::double as value from features")
+def features_from_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features as ML vectors and back."""
+    panel, known, features = _tall(spark, sf_dir)
+    return bags.from_vectors(bags.sparse_vectors(bags.sparse_rows(features, known.count(), panel)))
 
-    panel = vectors(spark, sf_dir)
-    labels = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ts_id"), F.col("label").cast("double").alias("label"))
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as series, each with a shape at a place of its own that tells its class, vec_id % 3: a rise, a fall or a peak."""
+    k, at = F.col("ts_id") % 3, 8 + F.col("ts_id") % 24
+    i = F.col("pos") - at
+    shape = F.when(k == 0, i).when(k == 1, 31 - i).otherwise(F.least(i, 31 - i) * 2)
+    return vectors(spark, sf_dir).withColumn("value", F.when((i >= 0) & (i < 32), shape.cast("double")).otherwise(F.col("value")))
+
+
+def _planted_model(spark: SparkSession, sf_dir: str) -> tuple[ridge.RidgeModel, DataFrame]:
+    """A ridge model of four in five series, and the features of the rest."""
+    panel = planted(spark, sf_dir)
     model = BagBuilder(SHOWN).fit(panel.where("ts_id % 5 <> 0"))
-    rows = model.vectors(panel).join(labels, "ts_id").persist()
-    fitted = LogisticRegression(maxIter=30, regParam=0.01).fit(rows.where("ts_id % 5 <> 0"))
-    found = fitted.transform(rows.where("ts_id % 5 = 0"))
-    return found.agg(F.count("*").alias("held_out"), F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("accuracy"))
+    rows = bags.sparse_rows(model.transform(panel), model.width, panel).withColumn("values", F.transform("values", F.asinh)).withColumn("label", (F.col("ts_id") % 3).cast("int"))
+    return ridge.fit(rows.where("ts_id % 5 <> 0"), model.width), rows.where("ts_id % 5 = 0")
+
+
+@query("select vec_id as ts_id, (vec_id % 3)::int as prediction from embeddings where vec_id % 5 = 0")
+def ridge_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of series that the model has not seen; the SQL has the class planted."""
+    model, unseen = _planted_model(spark, sf_dir)
+    return model.transform(unseen)
+
+
+def classifier_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: how many series are held out, and the share of them whose planted class the ridge model predicts."""
+    model, unseen = _planted_model(spark, sf_dir)
+    found = model.transform(unseen)
+    return found.agg(F.count("*").alias("held_out"), F.avg((F.col("prediction") == F.col("ts_id") % 3).cast("int")).alias("accuracy"))
 
 
 QUERIES["classifier_accuracy"] = classifier_accuracy  # learning is beyond SQL
@@ -277,19 +334,29 @@ def more_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""with w as (select unnest(range(0, 200)) as id), n as (select id, (id * 46116860184273 + id) % 4611686018427387904 as word from w)
-    select id, word, list_transform(range(0, 31), lambda i: ((word >> (2 * (30 - i))::int) % 4)::int) as symbols, word // 1000003 as row, word % 1000003 as col from n""")
+@query("""with n as (select event_id, (event_id * 46116860184273 + event_id) % 4611686018427387904 as word from events)
+    select event_id, word, list_transform(range(0, 31), lambda i: ((word >> (2 * (30 - i))::int) % 4)::int) as symbols, word // 1000003 as row, word % 1000003 as col from n""")
 def long_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words and indices beyond 2**53, that doubles do not hold."""
-    word = (F.col("id") * 46116860184273 + F.col("id")) % F.lit(1 << 62)
+    """Words and indices beyond 2**53, that doubles do not hold, one made of each event's number."""
+    word = (F.col("event_id") * 46116860184273 + F.col("event_id")) % F.lit(1 << 62)
     row, column = encoding.unflattened(F.col("word"), 1_000_003)
-    return spark.range(200).withColumn("word", word).select("id", "word", encoding.symbols_of(F.col("word"), 4, 31).alias("symbols"), row.alias("row"), column.alias("col"))
+    return _table(spark, sf_dir, "events").select("event_id", word.alias("word")).select("event_id", "word", encoding.symbols_of(F.col("word"), 4, 31).alias("symbols"), row.alias("row"), column.alias("col"))
 
 
-@query("select * from (values (0::bigint, 1), (1, 0), (2, 1), (3, -1), (4, 2)) t(id, symbol)")
+@query("""select event_id, case event_id % 6 when 0 then 1 when 1 then 0 when 2 then 1 when 3 then -1 when 4 then 2
+    else (value - 50 >= -0.4307273521948292)::int + (value - 50 >= 0.4307273521948291)::int end as symbol from events""")
 def symbols_of_odd_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = F.element_at(F.array(*map(F.lit, (0.0, -9.0, -0.4307273521948292, float("nan"), float("inf")))), (F.col("id") + 1).cast("int"))
-    return spark.range(5).select("id", symbols.symbol(scores, 3).alias("symbol"))
+    """Events' values less 50 as scores, many replaced by such as lie on a breakpoint, are infinite or are NaN."""
+    odd = F.array(*map(F.lit, (0.0, -9.0, -0.4307273521948292, float("nan"), float("inf"))), F.col("value") - 50)
+    scores = F.get(odd, (F.col("event_id") % 6).cast("int"))
+    return _table(spark, sf_dir, "events").select("event_id", symbols.symbol(scores, 3).alias("symbol"))
+
+
+@query(f"{_SHOWN} select feature_idx, list_transform(range(0, w), lambda k: (k * d)::int) as plot_pos, w * d as width from vocabulary join config using (conf_idx)")
+def receptive_field_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the points of each receptive field are drawn."""
+    fields = explain.receptive_fields(_shown(spark, sf_dir)[2], SHOWN)
+    return fields.select("feature_idx", "plot_pos", (F.col("window_size") * F.col("dilation")).alias("width"))
 
 
 # --- look-ups and positions ------------------------------------------------------------------------------------------

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from serigraph.functions import encoding, symbols
+from serigraph.operators.ranks import numbered
 from serigraph.operators.words import grid_words
 from serigraph.plans.planner import Config, config_table
 from serigraph.sources.panel import KEYS
@@ -85,17 +90,8 @@ def flattened(bag: DataFrame, configs: list[Config]) -> DataFrame:
 
 
 def vocabulary(bag: DataFrame) -> DataFrame:
-    """(feature_idx, conf_idx, signal_id, word): every word seen, numbered from 0 in that order.
-
-    Words are numbered within their configuration and moved by the sizes of those before it, so that no task orders all.
-    """
-    seen = bag.select(*FEATURE).distinct()
-    sizes = seen.groupBy("conf_idx").agg(F.count("*").alias("n"))
-    earlier = Window.orderBy("conf_idx").rowsBetween(Window.unboundedPreceding, -1)  # a row for each configuration
-    offsets = sizes.select("conf_idx", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("conf_idx").orderBy("signal_id", "word")) - 1
-    numbered = seen.withColumn("inside", inside).join(F.broadcast(offsets), "conf_idx")
-    return numbered.select((F.col("inside") + F.col("before")).cast("long").alias("feature_idx"), *FEATURE)
+    """(feature_idx, conf_idx, signal_id, word): every word seen, numbered from 0 in that order, over sorted ranges of words."""
+    return numbered(bag.select(*FEATURE).distinct(), FEATURE, "feature_idx").select("feature_idx", *FEATURE)
 
 
 def features(bag: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -119,11 +115,41 @@ def _of_every(rows: DataFrame, series: DataFrame | None, column: str) -> DataFra
     return series.select("ts_id").distinct().join(rows, "ts_id", "left").withColumn(column, F.coalesce(column, nothing))
 
 
+#: ts_id and a vector of pyspark.ml, which travels as the struct (type, size, indices, values).
+VECTORS = StructType([StructField("ts_id", LongType()), StructField("features", VectorUDT())])
+_VECTOR = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+
+
 def sparse_vectors(rows: DataFrame) -> DataFrame:
-    """(ts_id, features) of sparse rows as sparse ML vectors, made in the JVM."""
-    parts = F.struct(F.lit(0).alias("type"), "size", "indices", "values")
-    vector = F.from_json(F.to_json(F.struct(parts.alias("v"))), StructType([StructField("v", VectorUDT())]))
-    return rows.select("ts_id", vector["v"].alias("features"))
+    """(ts_id, features) of sparse rows as sparse ML vectors: Arrow batches typed as the vector's struct."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [pa.array([0] * batch.num_rows, pa.int8()), *(batch.column(c) for c in ("size", "indices", "values"))]
+            vectors = pa.StructArray.from_arrays([p.cast(f.type) for p, f in zip(parts, _VECTOR, strict=True)], fields=list(_VECTOR))
+            yield pa.RecordBatch.from_arrays([batch.column("ts_id"), vectors], names=["ts_id", "features"])
+
+    return rows.select("ts_id", "size", "indices", "values").mapInArrow(run, VECTORS)
+
+
+def from_vectors(vectors: DataFrame) -> DataFrame:
+    """(ts_id, feature_idx, value) of the non-zero cells of ML vectors (ts_id, features), sparse or dense."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, index, value = [], [], []
+            columns = [batch.column("features").field(c) for c in ("type", "indices", "values")]
+            for ts, (kind, at, x) in zip(batch.column("ts_id").to_pylist(), zip(*columns, strict=True), strict=True):
+                x = np.array(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else np.zeros(0)
+                at = at.values.to_numpy(zero_copy_only=False) if kind.as_py() == 0 else np.arange(len(x))
+                held = np.flatnonzero(x)
+                ids.append(np.full(len(held), ts, np.int64))
+                index.append(at[held].astype(np.int64))
+                value.append(x[held])
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, index, value)], names=["ts_id", "feature_idx", "value"])
+
+    return vectors.select(F.col("ts_id").cast("long").alias("ts_id"), "features").where("ts_id is not null and features is not null").mapInArrow(run, "ts_id long, feature_idx long, value double")
 
 
 def from_sparse(rows: DataFrame) -> DataFrame:

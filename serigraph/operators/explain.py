@@ -5,10 +5,13 @@ importance: (ts_id, feature_idx, f), dense: a row for each series and feature, f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from serigraph.functions import encoding
-from serigraph.operators.alignment import covered
 from serigraph.plans.planner import Config, config_table
 from serigraph.sources.panel import KEYS
 
@@ -50,6 +53,68 @@ def receptive_fields(vocabulary: DataFrame, configs: list[Config]) -> DataFrame:
     return joined.select("feature_idx", "conf_idx", "signal_id", "word", "window_size", "dilation", "word_length", "stride", "alphabet_size", symbols.alias("symbols"), positions.alias("plot_pos"))
 
 
+#: Positions of a block of signal.
+BLOCK = 4_096
+
+
+def _summed_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For blocks of spans (dilation, start, stop, f, n): the sums of f and n of the spans over each position that has any.
+
+    A span adds at its start and takes away at its stop; running sums along each residue of the dilation spread that.
+    """
+    for batch in batches:
+        spans = batch.column("spans")
+        bounds = spans.offsets.to_numpy()
+        flat = spans.values
+        d, start, stop, f, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("d", "start", "stop", "f", "n"))
+        first, size = batch.column("first").to_numpy(), batch.column("size").to_numpy()
+        of, pos, sums = [], [], []
+        for i in range(batch.num_rows):
+            own = slice(bounds[i], bounds[i + 1])
+            low = start[own] - first[i]
+            high, far = np.minimum(stop[own] - first[i], size[i] + d[own]), d[own]
+            low = np.where(low < 0, low % far, low)  # it began in the block before: from its first position in this one
+            length = int(min(size[i], high.max()))
+            total, count = np.zeros(length), np.zeros(length, np.int64)
+            for each in np.unique(far):
+                some = far == each
+                room = -(-(length + each) // each) * each
+                at, to = low[some], np.minimum(high[some], room - 1)
+                ends = high[some] < length
+                for out, weight in ((total, f[own][some]), (count, n[own][some])):
+                    steps = np.bincount(at, weight, room) - np.bincount(to[ends], weight[ends], room)
+                    spread = steps.reshape(-1, each).cumsum(0).ravel()[:length]
+                    out += spread if out is total else np.rint(spread).astype(np.int64)
+            held = np.flatnonzero(count)
+            of.append(np.full(len(held), i))
+            pos.append(held + first[i])
+            sums.append(total[held])
+        if of:
+            take = pa.array(np.concatenate(of))
+            yield pa.RecordBatch.from_arrays([batch.column("ts_id").take(take), batch.column("signal_id").take(take), pa.array(np.concatenate(pos)), pa.array(np.concatenate(sums))], names=[*KEYS, "pos", "s"])
+
+
+def covering_sums(occurrences: DataFrame, importance: DataFrame, configs: list[Config], count_overlapping: bool = True) -> DataFrame:
+    """(ts_id, signal_id, pos, s): for each position under a window the importance of the words whose windows cover it.
+
+    A word counts once for each window over the position, or once at all. Work and rows are in proportion to the windows, not to their
+    points: windows are spans, each put into the one or two blocks of the signal that it reaches.
+    """
+    table = F.broadcast(config_table(occurrences.sparkSession, configs))  # as many rows as configurations
+    placed = occurrences.join(importance, ["ts_id", "feature_idx"]).join(table, "conf_idx")
+    start = (F.col("win_idx") * F.col("stride")).cast("long")
+    spans = placed.select(*KEYS, "feature_idx", F.col("dilation").cast("long").alias("d"), start.alias("start"), (start + F.col("window_size") * F.col("dilation")).alias("stop"), "f")
+    if not count_overlapping:  # the union of a word's windows: each ends where the next one of its residue starts
+        following = F.lead("start").over(Window.partitionBy(*KEYS, "feature_idx", "d", F.col("start") % F.col("d")).orderBy("start"))
+        spans = spans.withColumn("stop", F.least("stop", F.coalesce(following, F.col("stop"))))
+    spans = spans.groupBy(*KEYS, "d", "start", "stop").agg(F.sum("f").alias("f"), F.count("*").alias("n"))
+    size = max(BLOCK, max((c.span for c in configs), default=0))
+    block = F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("stop") - F.col("d")) / size)))
+    held = spans.withColumn("block", block).groupBy(*KEYS, "block").agg(F.collect_list(F.struct("d", "start", "stop", "f", "n")).alias("spans"))
+    rows = held.select(*KEYS, (F.col("block") * size).alias("first"), F.lit(size).cast("long").alias("size"), "spans")
+    return rows.mapInArrow(_summed_spans, "ts_id long, signal_id int, pos long, s double")
+
+
 def saliency(panel: DataFrame, occurrences: DataFrame, importance: DataFrame, configs: list[Config], count_overlapping: bool = True, normalise: bool = True) -> DataFrame:
     """(ts_id, signal_id, pos, s) for every point of the panel: the importance of the words whose windows cover it.
 
@@ -57,11 +122,8 @@ def saliency(panel: DataFrame, occurrences: DataFrame, importance: DataFrame, co
     importance of the words that it has; null where the sum is 0. A series whose importance over all features is 0 has
     zeros, as have points under no window.
     """
-    points = covered(occurrences, configs).groupBy(*KEYS, "pos", "feature_idx").agg(F.count("*").alias("n"))
     totals = importance.groupBy("ts_id").agg(F.sum("f").alias("total")).where("total <> 0")
-    times = F.col("n") if count_overlapping else F.lit(1)
-    raw = points.join(importance, ["ts_id", "feature_idx"]).groupBy(*KEYS, "pos").agg(F.sum(F.col("f") * times).alias("s"))
-    raw = raw.join(totals.select("ts_id"), "ts_id", "left_semi")
+    raw = covering_sums(occurrences, importance, configs, count_overlapping).join(totals.select("ts_id"), "ts_id", "left_semi")
     if normalise:
         held = occurrences.select("ts_id", "feature_idx").distinct().join(importance, ["ts_id", "feature_idx"]).groupBy("ts_id").agg(F.sum("f").alias("held"))
         sums = raw.groupBy("ts_id").agg(F.sum("s").alias("sum"))  # aggregated, so that no task holds a series

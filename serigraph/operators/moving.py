@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql.types import DoubleType
 
 from serigraph.sources.panel import KEYS
 
@@ -44,9 +49,55 @@ def move_std(value: Column, window: WindowSpec, size: int, ddof: int = 0) -> Col
     return F.sqrt(move_var(value, window, size, ddof))
 
 
-def exact_sum(value: Column, scale: int = 10) -> Column:
-    """The sum without loss in any order of rows, of values rounded to scale decimals: what compensated summing aims at."""
-    return F.sum(value.cast(f"decimal(38,{scale})")).cast("double")
+#: Bits of a limb, and the limb of the lowest that a double has; sums of limbs stay whole for 2**39 rows.
+LIMB, LOWEST = 24, -46
+
+
+@F.pandas_udf(DoubleType())
+def _sum_of_limbs(limbs: pd.Series) -> pd.Series:
+    """The double nearest to a sum of limbs (k, s), each s * 2 ** (LIMB * k)."""
+
+    def one(parts: Sequence[dict]) -> float:
+        total = sum(int(p["s"]) << LIMB * (int(p["k"]) - LOWEST) for p in parts)
+        try:
+            return total / (1 << -LIMB * LOWEST)  # whole numbers: rounded once
+        except OverflowError:
+            return math.inf if total > 0 else -math.inf
+
+    return limbs.map(one)
+
+
+def exact_sums(rows: DataFrame, keys: Sequence[str], value: str, name: str = "total") -> DataFrame:
+    """(keys, name): the double nearest to the exact sum of value by keys, in whatever order rows come and however far apart they are.
+
+    A value is cut into whole limbs on a fixed grid of powers of two, without loss; limbs of one place are added as whole
+    numbers, in each task first, and the sum is rounded once at the end. Nulls don't count; a sum of nothing is null. NaN, and
+    infinities of both signs, make NaN; a sum beyond the range of double is infinite.
+    """
+    x = F.col("_x")
+    rows = rows.select(*keys, F.col(value).cast("double").alias("_x")).where(x.isNotNull())
+    finite = F.abs(x) < float("inf")
+    powers = F.lit([2.0 ** (LIMB * k) for k in range(LOWEST, 43)])
+    power = lambda k: F.get(powers, (k - LOWEST).cast("int"))
+    # the place of the lowest limb: two bits to spare, as a logarithm may be off by one
+    low = F.greatest(F.floor((F.floor(F.log2(F.abs(x))) - 54) / LIMB), F.lit(LOWEST))
+    # in two steps, since one power may be beyond a double
+    half = F.floor(F.col("_low") / 2)
+    scaled = x / power(half) / power(F.col("_low") - half)
+    plain = finite & (x != 0)
+    placed = rows.withColumn("_low", F.when(plain, low)).withColumn("_y", F.when(plain, scaled))
+    y, limbs = F.col("_y"), []
+    for k in (3, 2, 1, 0):
+        part = (F.signum(y) * F.floor(F.abs(y) / 2.0 ** (LIMB * k))).cast("long")
+        limbs.append(F.struct((F.col("_low") + k).cast("int").alias("k"), part.alias("s")))
+        y = y - part.cast("double") * 2.0 ** (LIMB * k)
+    nothing = F.struct(F.lit(None).cast("int").alias("k"), F.lit(None).cast("long").alias("s"))
+    cut = placed.select(*keys, F.explode(F.when(plain, F.array(*limbs)).otherwise(F.array(nothing))).alias("_limb"), F.when(~plain, x).alias("_odd"))
+    summed = cut.groupBy(*keys, F.col("_limb.k").alias("_k")).agg(F.sum("_limb.s").alias("_s"), F.sum("_odd").alias("_odd"))
+    held = F.filter(F.collect_list(F.struct(F.col("_k").alias("k"), F.col("_s").alias("s"))), lambda p: p["k"].isNotNull())  # as many as a double has places
+    whole = summed.groupBy(*keys).agg(held.alias("_limbs"), F.sum("_odd").alias("_odd"))
+    # zeros alone are neither odd nor have limbs
+    return whole.select(*keys, F.when(F.isnan("_odd") | (F.abs("_odd") == float("inf")), F.col("_odd")).otherwise(_sum_of_limbs("_limbs")).alias(name))
 
 
 def move_cov(x: Column, y: Column, window: WindowSpec, size: int) -> Column:

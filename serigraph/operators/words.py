@@ -7,41 +7,20 @@ or negligible window of another signal has the symbol of score 0 throughout.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from serigraph.functions import encoding, symbols
+from serigraph.operators.sliding import Windows
 from serigraph.plans.planner import Config
 from serigraph.sources.panel import KEYS
 
 #: Positions whose windows one row of blocks() holds, at least; numbers of a numpy step.
-BLOCK, STEP = 4_096, 1_000_000
-
-
-def _frames(panel: DataFrame, config: Config) -> tuple[DataFrame, dict[str, Column], list[Column]]:
-    """The panel with its signals' std and flatness; columns of the window that starts at each point; its segments' means.
-
-    Frames over one residue of the dilation are dilated windows. The signal's window comes first, so that one shuffle on
-    the keys serves both.
-    """
-    value = F.col("value")
-    whole = Window.partitionBy(*KEYS)
-    panel = panel.withColumns({
-        "global_std": F.stddev_pop(value).over(whole), "constant": F.max(value).over(whole) == F.min(value).over(whole),
-        "residue": F.col("pos") % config.dilation,
-    })
-    ordered = Window.partitionBy(*KEYS, "residue").orderBy("pos")
-    frame = ordered.rowsBetween(0, config.window_size - 1)
-    window = {
-        "n": F.count(value).over(frame), "mean": F.avg(value).over(frame), "std": F.stddev_pop(value).over(frame),
-        "flat": F.max(value).over(frame) == F.min(value).over(frame),
-    }
-    bounds = segment_bounds(config.window_size, config.word_length)
-    means = [F.avg(value).over(ordered.rowsBetween(a, b - 1)) for a, b in zip(bounds, bounds[1:], strict=False)]
-    return panel, window, means
+BLOCK, STEP = 4_096, 500_000
 
 
 def segment_bounds(window_size: int, word_length: int) -> list[int]:
@@ -65,25 +44,49 @@ def whole_means(panel: DataFrame, word_length: int) -> DataFrame:
 def segment_means(panel: DataFrame, config: Config, normalise: bool = True, least_ratio: float = 0.0) -> DataFrame:
     """(ts_id, signal_id, win_idx, constant, means): the segment means of every window, as normal scores if normalise.
 
-    The window size may be any from the word length on; segments are uneven if it is no multiple.
+    The window size may be any from the word length on; segments are uneven if it is no multiple. Sums are shared by all
+    windows of a block, so that a long window costs no more than a short one.
     """
-    panel, window, means = _frames(panel, config)
-    names = [f"m{j}" for j in range(config.word_length)]
-    wide = panel.select(*KEYS, "pos", "constant", "global_std", *[c.alias(k) for k, c in window.items()], *[m.alias(k) for k, m in zip(names, means, strict=True)])
-    wide = wide.where((F.col("n") == config.window_size) & (F.col("pos") % config.stride == 0))
-    if normalise:
-        zero = F.col("flat") | F.col("constant") | symbols.negligible(F.col("std"), F.col("global_std"), least_ratio)
-        wide = wide.select(*KEYS, "pos", "constant", *[F.when(zero, F.lit(0.0)).otherwise(symbols.zscore(F.col(k), F.col("mean"), F.col("std"))).alias(k) for k in names])
-    win_idx = F.floor(F.col("pos") / config.stride).cast("long").alias("win_idx")
-    return wide.select(*KEYS, win_idx, "constant", F.array(*names).alias("means"))
+    bounds = np.array(segment_bounds(config.window_size, config.word_length))
+    sizes = np.diff(bounds)
+
+    def means_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        points = Points.of(batch)
+        starts = points.starts(config)
+        place, windows = points.windows([(config.dilation, config.window_size, sizes.tolist())])[config.dilation]
+        at = place[starts]
+        columns = [windows.sums[int(n)][at + a] / n for a, n in zip(bounds, sizes, strict=False)] if len(starts) else [np.zeros(0)] * len(sizes)
+        if not len(starts):
+            means = np.zeros((0, len(sizes)))
+        elif normalise:
+            mean, std, zero, _ = windows.scored(at, config.window_size)
+            zero = zero | (std == 0) | (std < least_ratio * points.std[starts]) | points.constant[starts]
+            means = np.where(zero[:, None], 0.0, (np.stack(columns, 1) - mean[:, None]) / np.where(zero, 1.0, std)[:, None])
+        else:
+            means = np.stack(columns, 1) + windows.center[at][:, None]
+        of = pa.array(points.row[starts])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * len(sizes), pa.int32()), pa.array(means.ravel()))
+        columns = [batch.column("ts_id").take(of), batch.column("signal_id").take(of), pa.array(points.pos[starts] // config.stride), pa.array(points.constant[starts]), lists]
+        return pa.RecordBatch.from_arrays(columns, names=["ts_id", "signal_id", "win_idx", "constant", "means"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _bounded(batch):
+                yield means_of(part)
+
+    return blocks(panel, config.span - 1).mapInArrow(run, "ts_id long, signal_id int, win_idx long, constant boolean, means array<double>")
 
 
 def words(panel: DataFrame, config: Config, least_ratio: float = 0.0, constant_is_middle: bool = False) -> DataFrame:
-    """(ts_id, signal_id, win_idx, word) of one configuration, by window frames alone.
+    """(ts_id, signal_id, win_idx, word) of one configuration.
 
     constant_is_middle: a constant signal has the symbol of score 0 instead of 0.
     """
-    config.checked()
+    return grid_words(panel, [config], least_ratio, constant_is_middle=constant_is_middle).drop("conf_idx")
+
+
+def classic_words(panel: DataFrame, config: Config, least_ratio: float = 0.0, constant_is_middle: bool = False) -> DataFrame:
+    """words() for any window size from the word length on, with uneven segments where it is no multiple."""
     scored = segment_means(panel, config, True, least_ratio)
     digits = [symbols.symbol(F.get("means", F.lit(j)), config.alphabet_size) for j in range(config.word_length)]
     word = encoding.word_of_columns(digits, config.alphabet_size)
@@ -109,7 +112,7 @@ def blocks(panel: DataFrame, halo: int) -> DataFrame:
 
 
 def window_words(values: np.ndarray, starts: np.ndarray, config: Config, global_std: np.ndarray, constant: np.ndarray, least_ratio: float, constant_is_middle: bool = False) -> np.ndarray:
-    """The word of the window at each start; global_std and constant are those of its signal."""
+    """The word of the window at each start, from its points one by one; global_std and constant are those of its signal."""
     n, segment = config.word_length, config.segment
     offsets = np.arange(config.window_size) * config.dilation
     cuts, powers = np.array(symbols.BREAKPOINTS[config.alphabet_size]), config.alphabet_size ** np.arange(n - 1, -1, -1, dtype=np.int64)
@@ -130,6 +133,109 @@ def window_words(values: np.ndarray, starts: np.ndarray, config: Config, global_
     return out
 
 
+@dataclass
+class Points:
+    """Points of a batch of blocks in order of block and position: their block, the block's end and the signal's std and constancy."""
+
+    pos: np.ndarray
+    value: np.ndarray
+    row: np.ndarray
+    ends: np.ndarray  # where the points of its block end
+    stop: np.ndarray
+    std: np.ndarray
+    constant: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Points:
+        points = batch.column("points")
+        lengths = points.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        flat = points.flatten()
+        pos, value = flat.field("pos").to_numpy(), flat.field("value").to_numpy()
+        order = np.lexsort((pos, row))
+        kept = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("stop", "global_std", "constant"))
+        return cls(pos[order], value[order], row, np.cumsum(lengths)[row], *kept)
+
+    def starts(self, config: Config) -> np.ndarray:
+        """The points at which a window of this block starts."""
+        return np.flatnonzero((self.pos < self.stop) & (self.pos % config.stride == 0) & (np.arange(len(self.pos)) + config.span <= self.ends))
+
+    def windows(self, wanted: Iterable[tuple[int, int, Iterable[int]]]) -> dict[int, tuple[np.ndarray, Windows]]:
+        """By dilation, for (dilation, window size, sizes of segments): where each point stands in order of residue, so that a dilated window is a run; and the sums."""
+        out = {}
+        wanted = list(wanted)
+        for d in {x[0] for x in wanted}:
+            order = np.lexsort((self.pos, self.pos % d, self.row)) if d > 1 else np.arange(len(self.pos))
+            place = np.empty(len(self.pos), np.int64)
+            place[order] = np.arange(len(self.pos))
+            of = [x for x in wanted if x[0] == d]
+            out[d] = place, Windows(self.value[order], self.row[order], {x[1] for x in of}, {p for x in of for p in x[2]})
+        return out
+
+
+class Kernel:
+    """Words of all windows of some blocks, for many configurations, from shared sums: no window is gathered.
+
+    A word whose scores are so near a breakpoint, or whose std so near the least, that rounding could tell is taken from its
+    points; so words are those of window_words().
+    """
+
+    def __init__(self, points: Points, configs: Iterable[Config]) -> None:
+        self.points = points
+        self.windows = points.windows((c.dilation, c.window_size, (c.segment,)) for c in configs)
+
+    def words(self, starts: np.ndarray, config: Config, least_ratio: float = 0.0, constant_is_middle: bool = False) -> np.ndarray:
+        global_std, constant = self.points.std[starts], self.points.constant[starts]
+        place, windows = self.windows[config.dilation]
+        w, n, segment = config.window_size, config.word_length, config.segment
+        at = place[starts]
+        mean, std, flat, doubt = windows.scored(at, w)
+        zero = flat.copy()
+        unsure = ~flat & (doubt > 1e-3)
+        if least_ratio:
+            least = least_ratio * global_std
+            zero |= std < least
+            with np.errstate(invalid="ignore"):
+                unsure |= ~flat & (np.abs(std - least) <= doubt * std)
+        inverse = 1.0 / np.where(zero | (std == 0), 1.0, std)
+        margin = doubt * (1 + n**0.5)
+        sums, word = windows.sums[segment], np.zeros(len(at), np.int64)
+        cuts = symbols.BREAKPOINTS[config.alphabet_size]
+        for j in range(n):
+            z = np.where(zero, 0.0, (sums[at + j * segment] / segment - mean) * inverse)
+            symbol = np.zeros(len(at), np.int64)
+            for cut in cuts:
+                symbol += z >= cut
+                unsure |= (np.abs(z - cut) <= margin) & ~zero
+            word = word * config.alphabet_size + symbol
+        again = np.flatnonzero(unsure)
+        if len(again):
+            word[again] = window_words(self.points.value, starts[again], config, global_std[again], constant[again], least_ratio, True)
+        return word if constant_is_middle else np.where(constant, 0, word)
+
+
+def _bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about STEP points at most, a single row at least."""
+    total = np.cumsum(batch.column("points").value_lengths().to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        before = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, before + STEP, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _tallied(word: np.ndarray, of: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word of each row once, and how often it is there."""
+    if (int(of[-1]) + 1) * n_words < 1 << 62:
+        both, n = np.unique(of * n_words + word, return_counts=True)
+        return both % n_words, both // n_words, n
+    order = np.lexsort((word, of))
+    word, of = word[order], of[order]
+    first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (of[1:] != of[:-1])]))
+    return word[first], of[first], np.diff(np.append(first, len(word)))
+
+
 WORDS = "ts_id long, signal_id int, conf_idx int, win_idx long, word long"
 COUNTS = "ts_id long, signal_id int, conf_idx int, word long, cnt long"
 
@@ -146,33 +252,26 @@ def grid_words(panel: DataFrame, configs: list[Config], least_ratio: float = 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = batch.column("points")
-            lengths = points.value_lengths().to_numpy()
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            flat = points.flatten()
-            pos, value = flat.field("pos").to_numpy(), flat.field("value").to_numpy()
-            order = np.lexsort((pos, row))
-            pos, value = pos[order], value[order]
-            ends = np.cumsum(lengths)[row]
-            stop, std = batch.column("stop").to_numpy()[row], batch.column("global_std").to_numpy()[row]
-            constant = batch.column("constant").to_numpy(zero_copy_only=False)[row]
-            ts, signal = batch.column("ts_id"), batch.column("signal_id")
-            for k, config in enumerate(configs):
-                starts = np.flatnonzero((pos < stop) & (pos % config.stride == 0) & (np.arange(len(pos)) + config.span <= ends))
-                if not len(starts):
-                    continue
-                word = window_words(value, starts, config, std[starts], constant[starts], least_ratio, constant_is_middle)
-                of = row[starts]
-                if counted:
-                    order = np.lexsort((word, of))
-                    word, of = word[order], of[order]
-                    first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (of[1:] != of[:-1])]))
-                    n = np.diff(np.append(first, len(word)))
-                    word, of = word[first], of[first]
-                take = pa.array(of)
-                columns = [ts.take(take), signal.take(take), pa.array(np.full(len(of), k, np.int32))]
-                columns += [pa.array(word), pa.array(n)] if counted else [pa.array(pos[starts] // config.stride), pa.array(word)]
-                names = ["ts_id", "signal_id", "conf_idx", *(("word", "cnt") if counted else ("win_idx", "word"))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            for part in _bounded(batch):
+                yield from words_of(part)
+
+    def words_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        points = Points.of(batch)
+        longest = int(batch.column("points").value_lengths().to_numpy().max(initial=0))
+        kernel = Kernel(points, [c for c in configs if c.span <= longest])
+        ts, signal = batch.column("ts_id"), batch.column("signal_id")
+        for k, config in enumerate(configs):
+            starts = points.starts(config)
+            if not len(starts):
+                continue
+            word = kernel.words(starts, config, least_ratio, constant_is_middle)
+            of = points.row[starts]
+            if counted:
+                word, of, n = _tallied(word, of, config.n_words)
+            take = pa.array(of)
+            columns = [ts.take(take), signal.take(take), pa.array(np.full(len(of), k, np.int32))]
+            columns += [pa.array(word), pa.array(n)] if counted else [pa.array(points.pos[starts] // config.stride), pa.array(word)]
+            names = ["ts_id", "signal_id", "conf_idx", *(("word", "cnt") if counted else ("win_idx", "word"))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return blocks(panel, halo).mapInArrow(run, COUNTS if counted else WORDS)

@@ -111,9 +111,15 @@ def array_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- planning --------------------------------------------------------------------------------------------------------
 
 
-@query("""with w as (select unnest([4, 8, 16, 32, 64]) as w), d as (select unnest([1, 2, 4]) as d), l as (select unnest([2, 4, 8]) as l)
-    select (row_number() over (order by w, d, l) - 1)::int as conf_idx, w::int as window_size, d::int as dilation, l::int as word_length, 1 as stride, 3 as alphabet_size
-    from w, d, l where l <= w and w * d <= 64""")
+#: Window sizes, dilations and word lengths of a plan, from the lengths of the series.
+SCALES = """m as (select min(len(embedding)) as shortest, max(len(embedding)) as longest from embeddings),
+    w as (select (2 ** i)::int as w from range(2, 31) t(i), m where 2 ** i <= longest), d as (select (2 ** i)::int as d from range(0, 31) t(i), m where 2 ** i <= log2(longest)),
+    l as (select (2 ** i)::int as l from range(1, 4) t(i))"""
+
+
+@query(f"""with {SCALES}
+    select (row_number() over (order by w, d, l) - 1)::int as conf_idx, w as window_size, d as dilation, l as word_length, 1 as stride, 3 as alphabet_size
+    from w, d, l, m where l <= w and w * d <= longest""")
 def planned_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = panels.length_profile(vectors(spark, sf_dir)).first()
     return config_table(spark, plan(lengths["min_length"], lengths["max_length"]))
@@ -321,10 +327,6 @@ def pattern_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.medoids(_points(spark, sf_dir)).withColumn("distance", F.round("distance", 4))
 
 
-for _name in ("pattern_places", "pattern_shapes", "pattern_medoids"):  # their names while the short ones showed 12 features
-    QUERIES[f"all_{_name}"], ORACLES[f"all_{_name}"] = QUERIES[_name], ORACLES[_name]
-
-
 @query(f"{_SHOWN} select feature_idx, label as y_pred, count(*) as n_series, sum(cnt)::bigint as cnt from features join embeddings on ts_id = vec_id group by all")
 def patterns_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ts_id"), F.col("label").alias("y_pred"))

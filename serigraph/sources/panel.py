@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from serigraph.operators.ranks import numbered_within
 
 KEYS = ["ts_id", "signal_id"]
 
@@ -19,15 +21,15 @@ def _present(value: Column) -> Column:
 def long_panel(rows: DataFrame, ts_id: Column, value: Column, order: Sequence[Column | str], signal_id: Column | None = None) -> DataFrame:
     """The panel of a table: points of a signal in the given order, missing ones (null or NaN) dropped and the rest renumbered.
 
-    The order must be total for stable results. One shuffle on the keys; row numbers stream, so that a long signal spills
-    rather than filling memory. Integer values become doubles. Rows with a null key form a signal of their own.
+    The order must be total for stable results. Points are dealt in ranges of signal and order, so that a signal of any
+    length is many tasks. Integer values become doubles. Rows with a null key form a signal of their own.
     """
     signal = F.lit(0) if signal_id is None else signal_id
-    points = rows.select(ts_id.cast("long").alias("ts_id"), signal.cast("int").alias("signal_id"), value.cast("double").alias("value"), *[F.col(c).alias(f"_o{i}") if isinstance(c, str) else c.alias(f"_o{i}") for i, c in enumerate(order)])
-    ordered = Window.partitionBy(*KEYS).orderBy(*[f"_o{i}" for i in range(len(order))])
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = points.withColumn("raw_pos", (F.row_number().over(ordered) - 1).cast("long")).withColumn("pos", (F.count(F.when(_present(F.col("value")), 1)).over(so_far) - 1).cast("long"))
-    return numbered.where(_present(F.col("value"))).select(*KEYS, "raw_pos", "pos", "value")
+    named = [f"_o{i}" for i in range(len(order))]
+    points = rows.select(ts_id.cast("long").alias("ts_id"), signal.cast("int").alias("signal_id"), value.cast("double").alias("value"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in zip(named, order, strict=True)])
+    present = F.coalesce(_present(F.col("value")), F.lit(False))
+    numbered = numbered_within(points, KEYS, named, present, "raw_pos", "pos")
+    return numbered.where(present).select(*KEYS, "raw_pos", "pos", "value")
 
 
 def panel_of_arrays(rows: DataFrame, ts_id: Column, values: Column, signal_id: Column | None = None) -> DataFrame:

@@ -167,3 +167,10 @@ def test_medoids_by_blocks_equal_brute_force(spark, monkeypatch):
     assert {r["feature_idx"]: (round(r["distance"], 9), r["ts_id"]) for r in found.collect()} == best
     # no row for each pair: the occurrences of a feature meet arrays
     assert "others" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_normal_quantiles():
+    known = {0.005: -2.575829, 0.025: -1.959964, 0.1: -1.281552, 0.25: -0.67449, 0.5: 0.0, 0.75: 0.67449, 0.9: 1.281552, 0.975: 1.959964}
+    for p, z in known.items():
+        assert round(symbols.normal_quantile(p), 6) == z and math.isclose(symbols.normal_quantile(p, 3.0, 3.5), 3 + 3.5 * symbols.normal_quantile(p))
+    assert symbols.normal_quantile(0.0) == -math.inf and symbols.normal_quantile(1.0) == math.inf
