@@ -13,7 +13,7 @@ from serigraph.llm._common import checkpoint, mixed, record_batch, text_chunks
 from serigraph.llm._words import powers
 
 #: Slots of the table of frequencies that is broadcast (16 MB, at every size); bytes of text whose fragments are counted together.
-SLOTS, RUN_BYTES = 1 << 21, 2 << 20
+SLOTS, RUN_BYTES = 1 << 21, 4 << 20
 #: Occurrences of a pivot above which its fragments are dealt over several groups.
 PIVOT_ROWS = 20_000
 
@@ -33,10 +33,11 @@ class Tokens:
         self.data = data.tobytes()
         inside = ~(_BREAK[data] | _SPACE[data])
         edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.piece = np.cumsum(_BREAK[data], dtype=np.int64)[self.start]
+        kind = np.int32 if len(data) < 1 << 31 else np.int64
+        self.start, self.end = (np.flatnonzero(edge == way).astype(kind) for way in (1, -1))
+        self.piece = np.cumsum(_BREAK[data], dtype=kind)[self.start]
         bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        self.text = np.searchsorted(bounds, self.start, side="right") - 1
+        self.text = (np.searchsorted(bounds, self.start, side="right") - 1).astype(kind)
         own = {lang: np.frombuffer(lang.encode().ljust(8, b"\0"), np.uint8).astype(np.uint64) for lang in set(langs)}
         salt = {lang: mixed(np.array([(x * powers(len(x))).sum()], np.uint64))[0] for lang, x in own.items()}
         self.hash = np.zeros(len(self.start), np.uint64)
@@ -142,17 +143,17 @@ def frequent_phrases(docs: DataFrame, table: Broadcast, least: int, longest: int
     shuffle, and rare ones dropped. Only the counts of pivots in several groups are shuffled again to be added up.
     """
     groups = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words, at = F.split("fragment", " ", -1), F.col("at")
-    owned = []
+    at, owned = F.col("at"), []
     for m in range(2, longest + 1):
         for before in range(m):
             fits = (at >= before) & (at - before + m <= F.size("w"))
-            owned.append(F.when(fits, F.struct(F.lit(m).alias("m"), F.array_join(F.slice("w", at - before + 1, m), " ").alias("phrase"))))
-    dealt = fragments(docs, table, longest, groups).repartition("dealt").withColumn("w", words)
-    own = F.explode(F.filter(F.array(*owned), lambda x: x.isNotNull())).alias("own")
-    local = dealt.select("dealt", "lang", "n", own).groupBy("dealt", "lang", "own.m", "own.phrase").agg(F.sum("n").alias("f"))
-    found = local.where((F.col("dealt") < 0) | (F.col("f") >= least))
-    return found.groupBy("lang", "phrase", "m").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+            owned.append(F.when(fits, F.array_join(F.slice("w", at - before + 1, m), " ")))
+    # plain expressions alone, so that generating and counting are compiled together
+    dealt = fragments(docs, table, longest, groups).repartition("dealt").withColumn("w", F.split("fragment", " ", -1))
+    own = dealt.select("dealt", "lang", "n", F.explode(F.array(*owned)).alias("phrase")).where("phrase is not null")
+    local = own.groupBy("dealt", "lang", "phrase").agg(F.sum("n").alias("f"))
+    found = local.where((F.col("dealt") < 0) | (F.col("f") >= least)).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return found.select("lang", "phrase", F.size(F.split("phrase", " ", -1)).alias("m"), "f")
 
 
 def _cut(phrase: Column, k: int, m: int) -> tuple[Column, Column]:
@@ -205,9 +206,10 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, best: int =
     lowest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     left = lowest.join(held, ["lang", "phrase"], "left_anti").select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    # the best of each share of a language first, so that no task ranks a whole one
+    # the best of each share of a language, then of several shares, so that no task ranks a whole one
     groups = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = left.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(groups)))
-    few = shared.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= best)
-    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= best)
+    ranked = left.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(groups)))
+    for shares in (groups, int(groups**0.5), 1):
+        among = Window.partitionBy("lang", F.pmod("share", F.lit(shares))).orderBy(*order)
+        ranked = ranked.withColumn("rank", F.row_number().over(among)).where(F.col("rank") <= best)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
