@@ -7,11 +7,12 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -21,8 +22,8 @@ from serigraph.llm._common import checkpoint, record_batch, text_chunks
 
 #: Tokens after which a shard is closed (a longer document is a shard of its own); bits of a block of a plane.
 SHARD_TOKENS, BLOCK_BITS = 4_000_000, 1 << 15
-#: Encoded strings that a worker keeps; bytes of text that are encoded together.
-KEPT, RUN_BYTES = 500_000, 4 << 20
+#: Encoded strings after which a worker starts anew and keeps only those met again; bytes of text that are encoded together.
+KEPT, RUN_BYTES = 300_000, 8 << 20
 MAGIC = b"WAVELET1"
 
 
@@ -33,7 +34,8 @@ class Encoder:
     """Token ids of whole texts, from those of the strings between lone spaces.
 
     The byte-level tokenizer starts a part of its own at a space that stands between two visible characters and never
-    joins over it, so that such strings are encoded once, with the space before them.
+    joins over it, so that such strings are encoded once, with the space before them. A word with a mark after it is its
+    word and the mark, and lines meet in a token of their own, so that these are put together from strings known already.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
@@ -41,11 +43,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        vocabulary = self.tokenizer.get_vocab()
-        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that start with a space
-        self.starts[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.odd, self.split = re.compile(r"\s | \s|\A | \Z").search, re.compile(r"(?<=\S) (?=\S)").split
-        self.known: dict[str, bytes] = {}  # of strings after a space
+        self.split = re.compile(r"(?<=\S) (?=\S)").split
+        # of strings after a space, and of strings after a line break, which is their first character; the older hold those that were not met since
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # strings after a space that texts hold, as an Arrow array, with how many ids each has, and the ids in a row
+        self.strings, self.lengths, self.flat = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.marks = dict(zip(".,;:!?", self.encoded(list(".,;:!?")), strict=True))
 
     def encoded(self, strings: list[str]) -> list[bytes]:
         found = []
@@ -53,37 +57,133 @@ class Encoder:
             found += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings[i : i + 20_000], add_special_tokens=False)]
         return found
 
-    def spaced(self, strings: list[str]) -> list[bytes]:
-        """Ids of each string with a space before it: many are encoded as one text and told apart by the ids that start with a space."""
+    def after(self, strings: list[str], gap: str) -> list[bytes]:
+        """Ids of each string with a space or a line break before it: many are encoded as one text and told apart by that, which starts a token or is one."""
         found = []
         for i in range(0, len(strings), 2_000):
             some = strings[i : i + 2_000]
-            (whole,) = self.encoded([f" {' '.join(some)}"])
-            begin = (np.flatnonzero(self.starts[np.frombuffer(whole, "<u4")]) * 4).tolist()
+            (whole,) = self.encoded([gap + gap.join(some)])
+            begin = (np.flatnonzero(self.opens(gap)[np.frombuffer(whole, "<u4")]) * 4).tolist()
             if len(begin) == len(some):
                 found += [whole[a:b] for a, b in zip(begin, [*begin[1:], len(whole)], strict=True)]
             else:
-                found += self.encoded([f" {s}" for s in some])
+                found += self.encoded([gap + s for s in some])
         return found
 
+    @cache  # noqa: B019  (there is one encoder in a process)
+    def opens(self, gap: str) -> np.ndarray:
+        """Whether an id starts with a space, or with a line break."""
+        letter = {" ": "\u0120", "\n": "\u010a"}[gap]
+        vocabulary = self.tokenizer.get_vocab()
+        out = np.zeros(max(vocabulary.values()) + 1, bool)
+        out[[i for token, i in vocabulary.items() if token.startswith(letter)]] = True
+        return out
+
+    def fresh(self, strings: Iterable[str]) -> list[str]:
+        """Those of strings that are not known; those among the older are taken over."""
+        known, older = self.known, self.older
+        out = []
+        for s in strings:
+            if s not in known:
+                ids = older.get(s)
+                if ids is None:
+                    out.append(s)
+                else:
+                    known[s] = ids
+        return out
+
     def learn(self, missing: list[str]) -> None:
-        plain = [s for s in missing if " " not in s and "<|" not in s and not s[0].isspace() and not s[-1].isspace()]
-        self.known.update(zip(plain, self.spaced(plain), strict=True))
-        rest = [s for s in missing if s not in self.known]
-        self.known.update(zip(rest, self.encoded([f" {s}" for s in rest]), strict=True))
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        split = []
-        for text in texts:
-            string = text.decode()
-            split.append(self.split(string) if self.odd(string) else string.split(" "))
-        needed = set().union(*(strings[1:] for strings in split))
+        """Strings that come after a space, none of which is empty."""
+        known, marks, words, marked, rest = self.known, self.marks, set(), [], []
+        for s in missing:
+            if s.isalpha():
+                words.add(s)
+            elif s[-1] in marks and s[:-1].isalpha():
+                marked.append(s)
+                words.add(s[:-1])
+            else:
+                rest.append(s)
+        lined, whole = [], []
+        for s in rest:
+            if " " in s or "<|" in s or s[0].isspace() or s[-1].isspace():
+                whole.append(s)
+            elif "\n" not in s:
+                words.add(s)
+            elif all(x and not x[0].isspace() and not x[-1].isspace() for x in s.split("\n")):
+                lined.append(s)
+                words.add(s.split("\n", 1)[0])  # which may be a word with a mark
+            else:
+                whole.append(s)
+        fresh = self.fresh(words)
+        known.update(zip(fresh, self.after(fresh, " "), strict=True))
+        fresh = self.fresh({f"\n{x}" for s in lined for x in s.split("\n")[1:]})
+        known.update(zip(fresh, self.after([s[1:] for s in fresh], "\n"), strict=True))
+        known.update([(s, known[s[:-1]] + marks[s[-1]]) for s in marked])
+        known.update(zip(whole, self.encoded([f" {s}" for s in whole]), strict=True))
+        for s in lined:
+            head, *lines = s.split("\n")
+            known[s] = known[head] + b"".join(known[f"\n{x}"] for x in lines)
+
+    def apart(self, text: str) -> bytes:
+        """Ids of a text in which spaces meet white space."""
+        first, *strings = self.split(text)
+        self.learn(self.fresh(set(strings)))
+        return self.encoded([first])[0] + b"".join(map(self.known.__getitem__, strings))
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after the other, and how many each has."""
+        split = pc.split_pattern(pa.array(texts, pa.binary()).cast(pa.string()), " ")
+        coded = split.flatten().dictionary_encode()
+        at, bounds = coded.indices.to_numpy(), split.offsets.to_numpy()
+        of = np.repeat(np.arange(len(texts)), np.diff(bounds))
         if len(self.known) > KEPT:
-            self.known = {s: self.known[s] for s in needed & self.known.keys()}
-        self.learn(list(needed - self.known.keys()))
-        ids, heads = self.known.__getitem__, self.encoded([strings[0] for strings in split])
-        return [head + b"".join(map(ids, strings[1:])) for head, strings in zip(heads, split, strict=True)]
+            self.known, self.older = {}, self.known
+        place = pc.index_in(coded.dictionary, value_set=self.strings)
+        new = np.flatnonzero(place.is_null().to_numpy(zero_copy_only=False))
+        place = place.fill_null(0).to_numpy().astype(np.int64)
+        missing = coded.dictionary.take(pa.array(new)).to_pylist()
+        met = np.array([not s or s[0].isspace() or s[-1].isspace() for s in missing], bool)
+        odd = np.zeros(len(texts), bool)
+        if met.any():  # spaces there may meet white space
+            is_met = np.zeros(len(place), bool)
+            is_met[new[met]] = True
+            odd[of[is_met[at]]] = True
+            missing = [s for s, m in zip(missing, met.tolist(), strict=True) if not m]
+        self.learn(self.fresh(missing))
+        heads = [self.apart(texts[i].decode()) if odd[i] else None for i in range(len(texts))]
+        plain = np.flatnonzero(~odd)
+        firsts = coded.dictionary.take(pa.array(at[bounds[plain]])).to_pylist()
+        for i, ids in zip(plain.tolist(), self.encoded(firsts), strict=True):
+            heads[i] = ids
+        count = lambda found: np.fromiter(map(len, found), np.int64, len(found)) // 4
+        found = list(map(self.known.__getitem__, missing))
+        stored = len(self.strings)
+        self.strings = pa.concat_arrays([self.strings, coded.dictionary.take(pa.array(new[~met]))])
+        self.lengths = np.concatenate([self.lengths, count(found)])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), "<u4")])
+        # the table of this run: what is stored, the first string of each text, which has no space before it, and nothing
+        place[new[~met]] = stored + np.arange(len(found))
+        place[new[met]] = len(self.strings) + len(texts)
+        table = np.concatenate([self.flat, np.frombuffer(b"".join(heads), "<u4")])
+        length = np.concatenate([self.lengths, count(heads), [0]])
+        at = place[at]
+        at[odd[of]] = len(length) - 1  # whole in the first
+        at[bounds[:-1]] = len(self.strings) + np.arange(len(texts))
+        size = length[at]
+        total = np.cumsum(size)
+        kind = np.int32 if len(total) and max(int(total[-1]), len(table)) < 1 << 31 else np.int64
+        shift = ((np.cumsum(length) - length)[at] - (total - size)).astype(kind)
+        ids = table[np.arange(int(total[-1]) if len(total) else 0, dtype=kind) + np.repeat(shift, size)]
+        if len(self.strings) > 2 * KEPT:
+            self.keep(np.unique(place[place < len(self.strings)]))
+        return ids, np.add.reduceat(size, bounds[:-1]) if len(texts) else size
+
+    def keep(self, some: np.ndarray) -> None:
+        """Of the stored strings only some."""
+        first = (np.cumsum(self.lengths) - self.lengths)[some]
+        self.strings, self.lengths = self.strings.take(pa.array(some)), self.lengths[some]
+        total = np.cumsum(self.lengths)
+        self.flat = self.flat[np.arange(int(total[-1]) if len(total) else 0) + np.repeat(first - (total - self.lengths), self.lengths)]
 
 
 @cache
@@ -103,7 +203,7 @@ def packed_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray)
     is cut into blocks of BLOCK_BITS bits, compressed one by one where that makes them smaller; the ones before each block
     are kept, which makes rank a look-up in one block.
     """
-    pack = zstandard.ZstdCompressor(level=3).compress
+    pack = zstandard.ZstdCompressor(level=1).compress
     counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
     alphabet = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
     number = np.zeros(len(counts), np.uint32)
@@ -126,10 +226,10 @@ def packed_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray)
     ):
         head[name] = add(pack(values.tobytes()))
     for level in range(levels):
-        bit = (row >> (levels - 1 - level)) & 1 > 0
-        plane = np.packbits(bit).tobytes()
-        ones = np.cumsum(np.add.reduceat(bit, np.arange(0, len(bit), BLOCK_BITS), dtype=np.int64))
-        blocks = []
+        bit = (row & row.dtype.type(1 << (levels - 1 - level))) != 0
+        packed = np.packbits(bit)
+        ones = np.cumsum(np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK_BITS // 8), dtype=np.int64))
+        plane, blocks = packed.tobytes(), []
         for at in range(0, len(plane), BLOCK_BITS // 8):
             raw = plane[at : at + BLOCK_BITS // 8]
             small = pack(raw)
@@ -138,7 +238,12 @@ def packed_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray)
         for name, values in (("ones", np.concatenate([[0], ones])), ("ends", np.cumsum([0, *map(len, blocks)]))):
             head["planes"][-1][name] = add(pack(values.astype("<i8").tobytes()))
         head["planes"][-1]["bits"] = add(b"".join(blocks))
-        row = np.concatenate([row[~bit], row[bit]])
+        zeros = len(row) - int(ones[-1])
+        after = np.empty_like(row)
+        np.compress(bit, row, out=after[zeros:])
+        np.logical_not(bit, out=bit)
+        np.compress(bit, row, out=after[:zeros])
+        row = after
     raw = json.dumps(head).encode()
     return b"".join([MAGIC, len(raw).to_bytes(8, "little"), raw, *sections])
 
@@ -313,30 +418,33 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 0, sh
     by = [F.col("doc_id").asc_nulls_last(), F.col("h").asc()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, task = encoder(tokenizer_file), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
-        ids, held, size, before, number = [], [], 0, 0, 0
+        encode, task = encoder(tokenizer_file), TaskContext.get().partitionId()
+        ids, lengths, held, size, before, number = [], [], [], 0, 0, 0
 
         def closed() -> pa.RecordBatch:
             nonlocal before, number, size
-            lengths = [len(x) // 4 for x in held]
-            raw = packed_file(ids, lengths, np.frombuffer(b"".join(held), "<u4"))
+            raw = packed_file(ids, lengths, np.concatenate(held))
             path = _write(folder, f"{task:06d}-{number:06d}.tokens", raw)
             out = {"path": (path, pa.string()), "task": (task, pa.int32()), "before": (before, pa.int64()), "n_documents": (len(ids), pa.int64()), "n_tokens": (size, pa.int64()), "n_bytes": (len(raw), pa.int64())}
             before, number, size = before + size, number + 1, 0
-            ids.clear(), held.clear()
+            for x in (ids, lengths, held):
+                x.clear()
             return record_batch({k: ([v], t) for k, (v, t) in out.items()})
 
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
             for first, texts in text_chunks(batch.column("text"), RUN_BYTES):
-                for k, found in enumerate(encode(texts)):
-                    n = len(found) // 4 + 1
-                    if held and size + n > shard_tokens:
+                found, n = encode(texts)
+                found, n = np.insert(found, np.cumsum(n), end_id), n + 1
+                at = 0
+                for k, m in enumerate(n.tolist()):
+                    if ids and size + m > shard_tokens:
                         yield closed()
                     ids.append(names[first + k])
-                    held.append(found + end)
-                    size += n
-        if held:
+                    lengths.append(m)
+                    held.append(found[at : at + m])
+                    size, at = size + m, at + m
+        if ids:
             yield closed()
 
     ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by, "text").drop("h")

@@ -42,13 +42,17 @@ def test_file_answers_as_a_list_does(n):
         assert len(raw) < 2 * n  # under two bytes a token
 
 
-def test_encoder_equals_the_tokenizer(tokenizer):
+@pytest.mark.parametrize("kept", [300_000, 50])
+def test_encoder_equals_the_tokenizer(tokenizer, monkeypatch, kept):
+    monkeypatch.setattr(token_files, "KEPT", kept)
     rng = random.Random(2)
-    parts = ["a", "b", "ab", " ", "  ", "\n", "\t", "é", "à", "\xa0", " ", "　", "'s", "1", "!", "<|endoftext|>", "\x1c", "\x85", "日本"]
+    parts = ["a", "b", "ab", " ", "  ", "\n", "\n", ".", ",", " wörd", "\t", "é", "à", "\xa0", " ", "　", "'s", "1", "!", "<|endoftext|>", "\x1c", "\x85", "日本"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(5_000)]
-    found = token_files.Encoder(FILE)([t.encode() for t in texts])
-    for text, ids in zip(texts, found, strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    encode = token_files.Encoder(FILE)
+    for some in (texts[:2_000], texts[2_000:2_001], texts[2_001:], texts):
+        ids, n = encode([t.encode() for t in some])
+        for text, own in zip(some, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+            assert own.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def wanted(tokenizer, rows):
