@@ -38,11 +38,14 @@ def normalised(text: bytes) -> np.ndarray:
     """Lower-case letters of the whole text, other runs as one space, with a space at both ends; empty without letters."""
     codes = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
     if len(codes) and codes.max() >= 1 << 16:
-        # beyond the basic plane: folded letters keep a code of the private use area, others are spaces
+        # a letter beyond the basic plane is the two surrogates that stand for it alone, other characters there are spaces
         high = codes >= 1 << 16
         is_letter = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in codes[high]), bool)
         low = letters()[np.where(high, SPACE, codes)]
-        low[high] = np.where(is_letter, 0xE000 + codes[high] % 0x1900, SPACE)
+        beyond = codes[high] - (1 << 16)
+        low[high] = np.where(is_letter, 0xD800 + (beyond >> 10), SPACE)
+        pairs = np.flatnonzero(high)[is_letter]
+        low = np.insert(low, pairs + 1, 0xDC00 + (beyond[is_letter] & 0x3FF))
     else:
         low = letters()[codes]
     if not (low != SPACE).any():
@@ -245,7 +248,8 @@ def identify(docs: DataFrame, model: Model, reject: bool = False, sharpness: flo
     lang_pred: the language of the lowest bits per character over the whole text; 'und' if text is null or has no
     letter, or nothing was learned. score: its share among all languages, from the differences of the cross-entropies
     over min(length, sharpness) characters (0 for 'und'). rejected: bits are above the language's calibrated limit; with
-    reject=True such rows are 'und' as well. Ties go to the name that sorts first. Columns of these names are replaced.
+    reject=True such rows are 'und' as well. Ties go to the name that sorts first. Columns of these names are replaced. One
+    row for each row, those that repeat included; very long texts are read whole. A letter beyond the basic plane counts as two.
     """
     langs, parts, limits = model.langs, model.parts, model.calibrated
     step = CHUNK_BYTES if len(parts) < 2 else 8 * CHUNK_BYTES

@@ -148,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Fore
 
     The rows with the smallest hashes of doc_id are taken; their features, sample_rows x 24 numbers, are what reaches the
     driver. Labels other than 0 and 1 and null ids are left out; of repeated labels the greatest counts; without any
-    label the forest scores 0.5. Very long texts are read whole.
+    label the forest scores 0.5. Very long texts are read whole. Rows that repeat a doc_id are all learned from, up to
+    2 * sample_rows rows in order of doc_id.
     """
     sample = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
     sample = sample.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -161,8 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Fore
 def classify(docs: DataFrame, forest: Forest, keep_text: bool = False) -> DataFrame:
     """Add score (0 to 1, the share of label 1) and predicted (1 from 0.5 on) to docs, from the column text alone.
 
-    Null and empty texts get the score of zero statistics. One row for each row; columns named like the added ones are
-    replaced, the text is dropped unless keep_text.
+    Null and empty texts get the score of zero statistics. One row for each row, those that repeat included; very long texts
+    are read whole; an empty table gives an empty one. Columns named like the added ones are replaced, the text is dropped
+    unless keep_text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(forest)
     docs = docs.drop("score", "predicted")

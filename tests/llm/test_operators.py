@@ -36,6 +36,12 @@ def documents(duck):
     return duck.execute("select doc_id, text, lang, source from documents").fetchall()
 
 
+def test_letters_beyond_the_basic_plane_are_told_apart():
+    one, other = (langid.normalised(chr(c).encode()) for c in (0x20000, 0x20000 + 0x1900))
+    assert len(one) == 4 and one.tolist() != other.tolist() and len(langid.normalised("a😀b".encode())) == 5
+    assert len({tuple(langid.normalised(chr(c).encode()).tolist()) for c in range(0x20000, 0x20000 + 7000)}) == 7000
+
+
 def odd_documents(spark):
     """Nulls in every column, empty and very long texts, repeated rows, and columns named like the results."""
     long = " ".join(f"w{i * i % 9973}" for i in range(60_000))
