@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from serigraph.functions import encoding, symbols
-from serigraph.operators import alignment, bags, explain, moving, patterns, ridge, words
+from serigraph.operators import alignment, bags, explain, moving, patterns, ridge, sparse_importance, words
 from serigraph.plans.builder import BagBuilder
 from serigraph.plans.planner import Config, config_table, grouped, plan
 from serigraph.queries import (
     COARSE, EVENTS, GRID, LINE_ITEMS, ONE, QUERIES, SCALES, SHOWN, VECTORS, _BAG, _COVERED, _FEATURES, _IMPORTANCE, _SHOWN, _VOCABULARY, _importance, _shown, _table, events, line_items, query, sql_words, vectors,
 )
 from serigraph.sources import panel as panels
+from serigraph.sources.storage import checkpoint
 
 UNEVEN = Config(10, 2, 4, 3)
 KINDS = ("click", "error", "purchase", "signup", "view")
@@ -151,6 +152,18 @@ def paa_uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.select("ts_id", "win_idx", F.transform("means", lambda m: F.round(m, 6) + 0.0).alias("means"))
 
 
+@query("""with p as (select user_id as ts_id, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, case when event_id % 3 <> 0 then value end as value from events),
+    l as (select ts_id, list(value order by pos) as v, count(*) as n from p group by all), c as (select *, unnest(range(0, (n - 15) // 3 + 1)) as win_idx from l where n >= 15),
+    x as (select *, v[win_idx * 3 + 1:win_idx * 3 + 15:2] as x from c), b as (select *, list_avg(x) as mu, list_aggregate(x, 'stddev_pop') as sd, list_max(x) = list_min(x) as flat from x)
+    select ts_id, win_idx, list_transform(range(0, 4), lambda j: round(case when list_avg(x[j * 2 + 1:j * 2 + 2]) is null then null when flat then 0.0 else (list_avg(x[j * 2 + 1:j * 2 + 2]) - mu) / sd end, 6) + 0.0) as means from b""")
+def paa_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the points is missing and keeps its place."""
+    value = F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    panel = panels.placed_panel(_table(spark, sf_dir, "events"), F.col("user_id"), value, ["ts", "event_id"])
+    means = words.present_means(panel, Config(8, 2, 4, 3))
+    return means.select("ts_id", "win_idx", F.transform("means", lambda m: F.round(m, 6) + 0.0).alias("means"))
+
+
 @query(f"""with p as ({SHORT_EVENTS}), n as (select *, count(*) over (partition by ts_id, signal_id) as n from p), b as (select *, unnest(range(0, 5)) as j from n where n >= 5)
     select ts_id, signal_id::int as signal_id, j::int as j, round(avg(value), 6) as mean from b where pos >= j * n // 5 and pos < (j + 1) * n // 5 group by all""")
 def paa_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,8 +252,8 @@ _TALL = f"with {sql_words(SHORT_EVENTS, TALL)}, {_BAG}, {_VOCABULARY}, {_FEATURE
 
 def _tall(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     panel = short_events(spark, sf_dir)
-    bag = bags.bag(panel, TALL)
-    known = bags.vocabulary(bag).persist()
+    bag = checkpoint(bags.bag(panel, TALL))
+    known = checkpoint(bags.vocabulary(bag))
     return panel, known, bags.features(bag, known)
 
 
@@ -452,6 +465,37 @@ def linear_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("f", F.round("f", 6) + 0.0)
 
 
+_ATTRIBUTED = """means as (select feature_idx, sum(cnt) / (select count(*) from embeddings) as mean from features group by all),
+    attributed as (select e.vec_id as ts_id, m.feature_idx, (m.feature_idx % 7 - 3)::double * (coalesce(cnt, 0) - mean) as f, cnt from embeddings e cross join means m left join features x on x.ts_id = e.vec_id and x.feature_idx = m.feature_idx)"""
+
+
+def _attributed(spark: SparkSession, sf_dir: str) -> tuple[sparse_importance.SparseImportance, DataFrame]:
+    """A linear attribution by cells, and the vocabulary."""
+    panel, _, known, features = _shown(spark, sf_dir)
+    coefficients = known.select("feature_idx", (F.col("feature_idx") % 7 - 3).cast("double").alias("coefficient"))
+    return sparse_importance.linear(features, coefficients, panel), known
+
+
+@query(f"""{_SHOWN}, {_ATTRIBUTED}, ranked as (select *, rank() over (partition by ts_id order by abs(f) desc) + (count(*) over (partition by ts_id, abs(f)) - 1) / 2 as avg_rank from attributed)
+    select feature_idx, round(sum(abs(f)), 6) as f_sum, round(avg(avg_rank), 6) as mean_rank from ranked group by feature_idx""")
+def attribution_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks over all series and features from the cells of counts alone."""
+    found = _attributed(spark, sf_dir)[0].global_importance()
+    return found.select("feature_idx", F.round("f_sum", 6).alias("f_sum"), F.round("mean_rank", 6).alias("mean_rank"))
+
+
+@query(f"{_SHOWN}, {_ATTRIBUTED} select ts_id, round(sum(f), 6) + 0.0 as total from attributed group by ts_id")
+def attribution_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _attributed(spark, sf_dir)[0].totals().select("ts_id", (F.round("total", 6) + 0.0).alias("total"))
+
+
+@query(f"""{_SHOWN}, {_ATTRIBUTED} select ts_id, round(sum(f) / sum(f * w), 6) as scale from attributed join vocabulary using (feature_idx) join config using (conf_idx) where cnt is null group by ts_id""")
+def attribution_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the importance of absent features is scaled by in each series."""
+    importance, known = _attributed(spark, sf_dir)
+    return importance.absent_scales(known, SHOWN).select("ts_id", F.round("scale", 6).alias("scale"))
+
+
 @query(f"""{_SHOWN}, {_IMPORTANCE}, ranked as (select *, rank() over (partition by ts_id order by abs(f) desc) + (count(*) over (partition by ts_id, abs(f)) - 1) / 2 as avg_rank from importance)
     select feature_idx, sum(abs(f)) as f_sum, avg(avg_rank) as mean_rank from ranked group by feature_idx order by mean_rank, feature_idx limit 10""")
 def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,9 +24,26 @@ def window_positions(win_idx: Column, config: Config) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(config.word_length - 1)), lambda j: segment_positions(win_idx, j, config))
 
 
-def inverted_index(windows: DataFrame) -> DataFrame:
-    """(ts_id, signal_id, conf_idx, word, win_idxs): the windows of each word, in order; a list is as long as its signal at most."""
-    return windows.groupBy(*KEYS, "conf_idx", "word").agg(F.array_sort(F.collect_list("win_idx")).alias("win_idxs"))
+#: Windows whose numbers one row of an index can hold.
+SPAN = 4_096
+
+
+def inverted_index(windows: DataFrame, span: int = SPAN) -> DataFrame:
+    """(ts_id, signal_id, conf_idx, word, block, n, offsets): the windows of each word, in blocks of span window numbers.
+
+    offsets are the numbers less block * span, in order and small: a word that a long signal repeats has many rows, none of more than
+    span numbers.
+    """
+    block = F.call_function("div", F.col("win_idx"), F.lit(span))
+    placed = windows.select(*KEYS, "conf_idx", "word", block.alias("block"), (F.col("win_idx") - block * span).cast("int").alias("offset"))
+    rows = placed.groupBy(*KEYS, "conf_idx", "word", "block").agg(F.array_sort(F.collect_list("offset")).alias("offsets"))
+    return rows.select(*KEYS, "conf_idx", "word", "block", F.size("offsets").alias("n"), "offsets")
+
+
+def indexed_windows(index: DataFrame, span: int = SPAN) -> DataFrame:
+    """(ts_id, signal_id, conf_idx, word, win_idx): the windows that an index holds."""
+    rows = index.select(*KEYS, "conf_idx", "word", "block", F.explode("offsets").alias("offset"))
+    return rows.select(*KEYS, "conf_idx", "word", (F.col("block") * span + F.col("offset")).cast("long").alias("win_idx"))
 
 
 def lookup(windows: DataFrame, queries: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from serigraph.functions import encoding
+from serigraph.operators import sparse_importance
 from serigraph.plans.planner import Config, config_table
 from serigraph.sources.panel import KEYS
 
@@ -30,13 +31,8 @@ def toward_prediction(importance: DataFrame, predictions: DataFrame, binary: boo
 
 def linear_attribution(features: DataFrame, coefficients: DataFrame, series: DataFrame) -> DataFrame:
     """(ts_id, feature_idx, f): coefficient * (count - mean count), for every feature with a coefficient (feature_idx, coefficient) and
-    every one of series (ts_id), those that lack it included: what saliency, ranks and not_contained ask for. As many rows as that makes."""
-    series = series.select("ts_id").distinct()
-    means = features.groupBy("feature_idx").agg(F.sum("cnt").alias("total"))
-    scales = coefficients.join(means, "feature_idx", "left").select("feature_idx", "coefficient", (F.coalesce("total", F.lit(0)) / F.lit(series.count())).alias("mean"))
-    every = series.join(scales)  # the result itself has these rows
-    f = F.col("coefficient") * (F.coalesce("cnt", F.lit(0)) - F.col("mean"))
-    return every.join(features.select("ts_id", "feature_idx", "cnt"), ["ts_id", "feature_idx"], "left").select("ts_id", "feature_idx", f.alias("f"))
+    every one of series (ts_id), those that lack it included. As many rows as that makes; sparse_importance.linear() has only those of counts."""
+    return sparse_importance.linear(features, coefficients, series).dense()
 
 
 def records(points: DataFrame, features: DataFrame, predictions: DataFrame) -> DataFrame:

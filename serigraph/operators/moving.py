@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from pyspark.sql.types import DoubleType
 
+from serigraph.operators import sliding
 from serigraph.sources.panel import KEYS
 
 
@@ -111,11 +114,71 @@ def move_slope(x: Column, y: Column, window: WindowSpec, size: int) -> Column:
     return F.try_divide(move_cov(x, y, window, size), move_var(x, window, size))
 
 
+#: Positions that one row of blocks holds, at least.
+BLOCK = 4_096
+
+
 def moving_statistics(panel: DataFrame, size: int, ddof: int = 0) -> DataFrame:
-    """The panel with diff, mean, sum, var, std and the slope over pos of each trailing frame; one shuffle and one sort."""
-    value, w = F.col("value"), signal_window(panel)
-    at = F.col("pos").cast("double")
-    return panel.select(
-        "*", move_diff(value, w, size).alias("diff"), move_mean(value, w, size).alias("mean"), move_sum(value, w, size).alias("sum"),
-        move_var(value, w, size, ddof).alias("var"), move_std(value, w, size, ddof).alias("std"), move_slope(at, value, w, size).alias("slope"),
-    )
+    """The panel with diff, mean, sum, var, std and the slope over pos of each trailing frame.
+
+    Points are dealt into blocks with the size - 1 points before them, so that a signal of any length is many tasks, and all
+    frames of a block share their sums (sliding.py): a long frame costs no more than a short one. mean and sum are of fewer points at
+    the start of a signal, the others null there; var is 0 where all points are equal or no degree of freedom is left.
+    """
+    keys = [*KEYS, "residue"] if "residue" in panel.columns else KEYS
+    block = max(BLOCK, size)
+    own = F.floor(F.col("pos") / block)
+    homes = F.when(F.col("pos") % block > block - size, F.array(own, own + 1)).otherwise(F.array(own))
+    rest = [c for c in panel.columns if c not in keys]
+    runs = panel.withColumn("_block", F.explode(homes)).groupBy(*keys, "_block").agg(F.collect_list(F.struct(*rest)).alias("_points"))
+    # a block that has only points of the one before has no frames
+    runs = runs.where(F.exists("_points", lambda p: p["pos"] >= F.col("_block") * block)).select(*keys, (F.col("_block") * block).alias("_first"), "_points")
+    scale = size / (size - ddof) if ddof < size else 0.0
+    names, kept = ("diff", "mean", "sum", "var", "std", "slope"), panel.columns
+
+    def statistics(batch: pa.RecordBatch) -> pa.RecordBatch:
+        points = batch.column("_points")
+        lengths = points.value_lengths().to_numpy()
+        flat, row = points.flatten(), np.repeat(np.arange(len(lengths)), lengths)
+        pos = flat.field("pos").to_numpy()
+        order = np.lexsort((pos, row))
+        pos, value = pos[order], flat.field("value").to_numpy()[order]
+        first = np.cumsum(lengths) - lengths
+        center = np.repeat(np.add.reduceat(value, first) / lengths, lengths)
+        # a frame that starts before its signal, or before another block's points, starts among zeros
+        gap = np.repeat((np.arange(len(lengths)) + 1) * (size - 1), lengths)
+        at = np.arange(len(pos)) + gap
+        wide, raw = np.zeros(len(pos) + (size - 1) * len(lengths)), np.zeros(len(pos) + (size - 1) * len(lengths))
+        wide[at], raw[at] = value - center, value
+        start = at - (size - 1)
+        sums = sliding.spans(wide, {size})[size][start]
+        squares = sliding.spans(wide * wide, {size})[size][start]
+        most, least = (sliding.spans(raw, {size}, f)[size][start] for f in (np.maximum, np.minimum))
+        n = np.minimum(np.arange(len(pos)) - np.repeat(first, lengths) + 1, size)
+        full = n == size
+        mean = sums / n
+        var = np.maximum(squares / size - mean * mean, 0.0)
+        # where the difference of squares leaves too little, from the points
+        near = np.flatnonzero(full & (most > least) & (squares / size > 1e4 * var))
+        for k in range(0, len(near), max(1, 1_000_000 // size)):
+            some = near[k : k + max(1, 1_000_000 // size)]
+            x = raw[start[some, None] + np.arange(size)]
+            var[some] = ((x - x.mean(1, keepdims=True)) ** 2).mean(1)
+        var = np.where(most == least, 0.0, var) * scale
+        spread = (size * size - 1) / 12
+        slope = (sliding.placed_sums(wide, size)[start] / size - (size - 1) / 2 * mean) / spread if spread else np.full(len(pos), np.nan)
+        out = (value - raw[start], mean + center, sums + n * center, var, np.sqrt(var), slope)
+        wanted = np.flatnonzero(pos >= batch.column("_first").to_numpy()[row])
+        take, of = pa.array(order[wanted]), pa.array(row[wanted])
+        columns = [batch.column(c).take(of) if c in keys else flat.field(c).take(take) for c in kept]
+        for name, x in zip(names, out, strict=True):
+            columns.append(pa.array(x[wanted], mask=np.zeros(len(wanted), bool) if name in ("mean", "sum") else ~full[wanted] | (np.isnan(x[wanted]) if name == "slope" else False)))
+        return pa.RecordBatch.from_arrays(columns, names=[*kept, *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliding.bounded(batch, "_points"):
+                yield statistics(part)
+
+    kinds = ", ".join(f"`{c}` {panel.schema[c].dataType.simpleString()}" for c in panel.columns)
+    return runs.mapInArrow(run, f"{kinds}, {', '.join(f'{n} double' for n in names)}")

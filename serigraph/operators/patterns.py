@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from serigraph.operators.ranks import numbered_within
 from serigraph.sources.panel import KEYS
+from serigraph.sources.storage import checkpoint
 
 OCCURRENCE = ["feature_idx", *KEYS, "win_idx"]
 #: Occurrences of a feature that one row holds as an array; numbers of a numpy step.
@@ -28,16 +30,35 @@ def normalised(points: DataFrame, epsilon: float = 1e-6) -> DataFrame:
     return points.withColumn("z", (F.col("value") - F.avg("value").over(own)) / (F.stddev_pop("value").over(own) + epsilon))
 
 
+def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, a column for each of shares): exact percentiles of value by keys (whole numbers), between two values in proportion.
+
+    Values are numbered within their keys over sorted ranges of keys and value, and only those of the wanted numbers are kept: no task
+    holds the values of a key, however many these are. Null values don't count.
+    """
+    x = rows.select(*keys, F.col(value).alias("_x")).where("_x is not null").withColumn("_order", F.col("_x"))
+    placed = numbered_within(x, keys, ["_order"], F.lit(True), "_n", "_seen").drop("_seen")
+    sizes = placed.groupBy(*keys).agg(F.max("_n").alias("_last"))
+    at = {name: F.col("_last") * q for name, q in shares.items()}
+    wanted = [p for c in at.values() for p in (F.floor(c), F.ceil(c))]
+    kept = placed.join(sizes, keys).where(F.col("_n").isin(*wanted))
+    pick = lambda p: F.max(F.when(F.col("_n") == p, F.col("_x")))
+    out = kept.groupBy(*keys, "_last").agg(*[f(c).alias(f"{side}_{n}") for n, c in at.items() for side, f in (("low", lambda c: pick(F.floor(c))), ("high", lambda c: pick(F.ceil(c))))])
+    return out.select(*keys, *[(F.col(f"low_{n}") + (F.col(f"high_{n}") - F.col(f"low_{n}")) * (c - F.floor(c))).alias(n) for n, c in at.items()])
+
+
 def place_summary(points: DataFrame) -> DataFrame:
     """For each feature: the median start (floor), the least and the greatest position covered."""
     spans = points.groupBy(*OCCURRENCE).agg(F.min("pos").alias("start"), F.max("pos").alias("stop"))
-    return spans.groupBy("feature_idx").agg(F.floor(F.percentile("start", F.lit(0.5))).alias("median_start"), F.min("start").alias("least_pos"), F.max("stop").alias("greatest_pos"))
+    ends = spans.groupBy("feature_idx").agg(F.min("start").alias("least_pos"), F.max("stop").alias("greatest_pos"))
+    middle = percentiles(spans, ["feature_idx"], "start", {"median": 0.5}).select("feature_idx", F.floor("median").alias("median_start"))
+    return middle.join(ends, "feature_idx").select("feature_idx", "median_start", "least_pos", "greatest_pos")
 
 
 def shape_summary(points: DataFrame, value: str = "value") -> DataFrame:
     """For each feature and k: the mean, median and quartiles of the values."""
-    quantile = lambda q: F.percentile(value, F.lit(q))
-    return points.groupBy("feature_idx", "k").agg(F.avg(value).alias("mean"), quantile(0.25).alias("q25"), quantile(0.5).alias("median"), quantile(0.75).alias("q75"))
+    means = points.groupBy("feature_idx", "k").agg(F.avg(value).alias("mean"))
+    return means.join(percentiles(points, ["feature_idx", "k"], value, {"q25": 0.25, "median": 0.5, "q75": 0.75}), ["feature_idx", "k"]).select("feature_idx", "k", "mean", "q25", "median", "q75")
 
 
 def _sums_of_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,25 +79,79 @@ def _sums_of_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([same("feature_idx"), *ids, same("block"), pa.array(out)], names=[*OCCURRENCE, "block", "part"])
 
 
+#: Occurrences of a feature whose distances to all others bound the sums of the rest; bins of those distances.
+PIVOTS, BINS = 16, 64
+
+
+def _pivot_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """d: the distances of each row's x to each of its feature's pivots."""
+    for batch in batches:
+        x, pivots = batch.column("x"), batch.column("pivots")
+        out = [np.sqrt(((np.array(p) - np.array(v)) ** 2).sum(1)).tolist() for v, p in zip(x.to_pylist(), pivots.to_pylist(), strict=True)]
+        kept = [c for c in batch.schema.names if c != "pivots"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.list_(pa.float64()))], names=[*kept, "d"])
+
+
+def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bound: what the sum of each row's distances is at least, by each pivot: the differences of distances to it, added up over its bins."""
+    for batch in batches:
+        bounds = []
+        for d, bins in zip(batch.column("d").to_pylist(), batch.column("bins").to_pylist(), strict=True):
+            i, n, total = (np.array([b[k] for b in bins]) for k in ("i", "n", "total"))
+            bounds.append(float(np.bincount(i, np.abs(n * np.array(d)[i] - total)).max()))
+        kept = [c for c in batch.schema.names if c not in ("d", "bins")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(bounds, pa.float64())], names=[*kept, "bound"])
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Of rows (feature_idx, ts_id, signal_id, win_idx, x) those whose sum of distances may be the least of their feature.
+
+    A few pivots of each feature meet all its rows. By the triangle inequality a row is at least |d(p, x) - d(p, y)| from y;
+    the sum of that over all y, taken from a histogram of the pivot's distances, bounds the row's sum. Rows whose bound is above the sum
+    of a pivot, or of the row with the least bound, can't be the medoid.
+    """
+    names = OCCURRENCE[1:]
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in OCCURRENCE)
+    place = F.xxhash64(*OCCURRENCE)
+    some = rows.groupBy("feature_idx", F.pmod(place, F.lit(PIVOTS)).alias("salt")).agg(F.min(F.struct(place.alias("h"), *names, "x")).alias("p"))
+    pivots = some.groupBy("feature_idx").agg(F.collect_list("p.x").alias("pivots"))
+    near = checkpoint(rows.join(pivots, "feature_idx").select(*OCCURRENCE, "x", "pivots").mapInArrow(_pivot_distances, f"{kinds}, x array<double>, d array<double>"))
+    each = near.select("feature_idx", F.posexplode("d").alias("i", "v"))
+    sums = each.groupBy("feature_idx", "i").agg(F.sum("v").alias("sum"), F.max("v").alias("most"))
+    bin_ = F.coalesce(F.floor(F.try_divide(F.col("v") * BINS, "most")), F.lit(0)).alias("bin")
+    bins = each.join(sums, ["feature_idx", "i"]).groupBy("feature_idx", "i", bin_).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    bins = bins.groupBy("feature_idx").agg(F.collect_list(F.struct("i", "n", "total")).alias("bins"))  # PIVOTS * BINS at most
+    bounded = checkpoint(near.join(bins, "feature_idx").select(*OCCURRENCE, "x", "d", "bins").mapInArrow(_bounds, f"{kinds}, x array<double>, bound double"))
+    best = bounded.groupBy("feature_idx").agg(F.array(F.min(F.struct("bound", *names, "x"))["x"]).alias("pivots"))
+    met = rows.join(best, "feature_idx").select(*OCCURRENCE, "x", "pivots").mapInArrow(_pivot_distances, f"{kinds}, x array<double>, d array<double>")
+    limits = met.groupBy("feature_idx").agg(F.sum(F.get("d", F.lit(0))).alias("own")).join(sums.groupBy("feature_idx").agg(F.min("sum").alias("least")), "feature_idx")
+    limits = limits.select("feature_idx", F.least("own", "least").alias("limit"))
+    return bounded.join(limits, "feature_idx").where(F.col("bound") <= F.col("limit") * (1 + 1e-9)).select(*OCCURRENCE, "x")
+
+
 def medoids(points: DataFrame, value: str = "value") -> DataFrame:
-    """For each feature the occurrence with the least sum of Euclidean distances to the others.
+    """For each feature the occurrence with the least sum of Euclidean distances to the others, and that sum.
 
-    All pairs of one feature's occurrences, which have the same number of points, are compared, as the definition asks.
-    Blocks of bounded size meet, so that a frequent feature is many keys and no pair is a row. Sums are taken in one order.
-    The first by series, signal and window wins ties.
+    Only occurrences that bounds leave (candidates()) are compared with all of their feature. Blocks of bounded size meet, so that
+    a frequent feature is many keys and no pair is a row. Sums are taken in one order. The first by series, signal and window wins ties.
     """
-    rows = points.groupBy(*OCCURRENCE).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col(value).alias("v")))), lambda p: p["v"]).alias("x"))
-    sizes = rows.groupBy("feature_idx").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "feature_idx").withColumn("block", F.pmod(F.xxhash64(*OCCURRENCE), "blocks").cast("int"))
-    held = dealt.groupBy("feature_idx", "blocks", "block").agg(F.array_sort(F.collect_list(F.struct(*OCCURRENCE[1:], "x"))).alias("held"))
-    values = F.flatten("held.x")
-    asked = held.select("feature_idx", *[F.col(f"held.{c}").alias(c) for c in OCCURRENCE[1:]], values.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    pairs = asked.join(held.select("feature_idx", "block", values.alias("others")), ["feature_idx", "block"])
-    kinds = ", ".join(f"{c} {dealt.schema[c].dataType.simpleString()}" for c in [*OCCURRENCE, "block"])
-    parts = pairs.select(*OCCURRENCE, "block", "x", "others").mapInArrow(_sums_of_distances, f"{kinds}, part double")
+    rows = checkpoint(points.groupBy(*OCCURRENCE).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col(value).alias("v")))), lambda p: p["v"]).alias("x")))
+
+    def blocks(of: DataFrame) -> DataFrame:
+        sizes = of.groupBy("feature_idx").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        dealt = of.join(sizes, "feature_idx").withColumn("block", F.pmod(F.xxhash64(*OCCURRENCE), "blocks").cast("int"))
+        return dealt.groupBy("feature_idx", "blocks", "block").agg(F.array_sort(F.collect_list(F.struct(*OCCURRENCE[1:], "x"))).alias("held"))
+
+    every = blocks(rows).select("feature_idx", "blocks", "block", F.flatten("held.x").alias("others"))
+    counts = every.select("feature_idx", "blocks").distinct()
+    asked = blocks(candidates(rows)).drop("blocks").join(counts, "feature_idx")
+    asked = asked.select("feature_idx", *[F.col(f"held.{c}").alias(c) for c in OCCURRENCE[1:]], F.flatten("held.x").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    pairs = asked.join(every.drop("blocks"), ["feature_idx", "block"])
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in OCCURRENCE)
+    parts = pairs.select(*OCCURRENCE, "block", "x", "others").mapInArrow(_sums_of_distances, f"{kinds}, block int, part double")
     sums = parts.groupBy(*OCCURRENCE).agg(F.aggregate(F.sort_array(F.collect_list(F.struct("block", "part"))), F.lit(0.0), lambda total, p: total + p["part"]).alias("distance"))
-    best = F.row_number().over(Window.partitionBy("feature_idx").orderBy("distance", *OCCURRENCE[1:]))
-    return sums.withColumn("r", best).where("r = 1").select(*OCCURRENCE, "distance")
+    best = sums.groupBy("feature_idx").agg(F.min(F.struct("distance", *OCCURRENCE[1:])).alias("m"))
+    return best.select("feature_idx", *[F.col(f"m.{c}").alias(c) for c in OCCURRENCE[1:]], "m.distance")
 
 
 def word_curve(fields: DataFrame) -> DataFrame:

@@ -31,6 +31,28 @@ def numbered(rows: DataFrame, by: Sequence[str], name: str) -> DataFrame:
     return placed.join(F.broadcast(bases), "_task").select(*rows.columns, (F.col("_base") + F.col("_place")).alias(name))
 
 
+def running_sums(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """rows with c_before for each of columns (whole numbers): its sum over the rows before, in the order of by, which must be total."""
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
+    names = [f"{c}_before" for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, so_far = TaskContext.get().partitionId(), [0] * len(columns)
+        for batch in batches:
+            more = []
+            for i, c in enumerate(columns):
+                x = batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+                more.append(pa.array(so_far[i] + np.cumsum(x) - x))
+                so_far[i] += int(x.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more, pa.array(np.full(batch.num_rows, task, np.int32))], names=[*batch.schema.names, *names, "_task"])
+
+    placed = checkpoint(_sorted(rows, by).mapInArrow(run, f"{kinds}, {', '.join(f'`{n}` long' for n in names)}, _task int"))
+    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    totals = placed.groupBy("_task").agg(*[F.sum(c).alias(c) for c in columns])
+    bases = totals.select("_task", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in columns])
+    return placed.join(F.broadcast(bases), "_task").select(*rows.columns, *[(F.col(n) + F.col(f"_{c}")).alias(n) for n, c in zip(names, columns, strict=True)])
+
+
 class _Runs:
     """Counts along sorted batches: how many rows, and how many that count, of the same key came before each row."""
 

@@ -7,12 +7,24 @@ are taken, which would lose small windows behind large ones.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
-#: Half a unit in the last place of 1.
-ROUND = 2.0**-53
+#: Half a unit in the last place of 1; points whose sums are made at once.
+ROUND, STEP = 2.0**-53, 500_000
+
+
+def bounded(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose lists in column have about STEP elements at most together, a single row at least."""
+    total = np.cumsum(batch.column(column).value_lengths().to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        before = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, before + STEP, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def _met(a: np.ndarray, b: np.ndarray, by: int, combine: Callable) -> np.ndarray:

@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from serigraph.functions import encoding, symbols
-from serigraph.operators.sliding import Windows
+from serigraph.operators.sliding import Windows, bounded, spans
 from serigraph.plans.planner import Config
 from serigraph.sources.panel import KEYS
 
-#: Positions whose windows one row of blocks() holds, at least; numbers of a numpy step.
-BLOCK, STEP = 4_096, 500_000
+#: Positions whose windows one row of blocks() holds, at least; numbers that are gathered at once.
+BLOCK, STEP = 4_096, 1_000_000
 
 
 def segment_bounds(window_size: int, word_length: int) -> list[int]:
@@ -71,12 +71,63 @@ def segment_means(panel: DataFrame, config: Config, normalise: bool = True, leas
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _bounded(batch):
+            for part in bounded(batch, "points"):
                 yield means_of(part)
 
     return blocks(panel, config.span - 1).mapInArrow(run, "ts_id long, signal_id int, win_idx long, constant boolean, means array<double>")
 
 
+def present_means(panel: DataFrame, config: Config, normalise: bool = True, least_ratio: float = 0.0) -> DataFrame:
+    """(ts_id, signal_id, win_idx, means) of a panel in which missing points keep their place, null or NaN (sources.panel.placed_panel).
+
+    Means, and with normalise the window's mean and std, are of the points that are there; the mean of a segment without any is
+    null. Windows that hold no point at all have nulls alone.
+    """
+    bounds = np.array(segment_bounds(config.window_size, config.word_length))
+    sizes = np.diff(bounds)
+    w = config.window_size
+
+    def means_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        points = Points.of(batch)
+        starts = points.starts(config)
+        order, place = points.by_residue(config.dilation)
+        value, row = points.value[order], points.row[order]
+        there = ~np.isnan(value)
+        filled = np.where(there, value, 0.0)
+        n_row, s_row = (np.bincount(row, x, batch.num_rows) for x in (there, filled))
+        center = (s_row / np.maximum(n_row, 1))[row]
+        moved = np.where(there, value - center, 0.0)
+        sums, counts = spans(moved, {w, *sizes.tolist()}), spans(there.astype(float), {w, *sizes.tolist()})
+        at = place[starts]
+        if len(starts):
+            held = np.stack([counts[int(n)][at + a] for a, n in zip(bounds, sizes, strict=False)], 1)
+            means = np.stack([sums[int(n)][at + a] for a, n in zip(bounds, sizes, strict=False)], 1) / np.maximum(held, 1)
+            if normalise:
+                n = np.maximum(counts[w][at], 1)
+                mean = sums[w][at] / n
+                std = np.sqrt(np.maximum(spans(moved * moved, {w})[w][at] / n - mean * mean, 0.0))
+                most, least = (spans(np.where(there, value, odd), {w}, f)[w][at] for f, odd in ((np.maximum, -np.inf), (np.minimum, np.inf)))
+                zero = (most <= least) | (std == 0) | (std < least_ratio * points.std[starts]) | points.constant[starts]
+                means = np.where(zero[:, None], 0.0, (means - mean[:, None]) / np.where(zero, 1.0, std)[:, None])
+            else:
+                means = means + center[at][:, None]
+        else:
+            held = means = np.zeros((0, len(sizes)))
+        of = pa.array(points.row[starts])
+        cells = pa.array(means.ravel(), mask=held.ravel() == 0)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * len(sizes), pa.int32()), cells)
+        columns = [batch.column("ts_id").take(of), batch.column("signal_id").take(of), pa.array(points.pos[starts] // config.stride), lists]
+        return pa.RecordBatch.from_arrays(columns, names=["ts_id", "signal_id", "win_idx", "means"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in bounded(batch, "points"):
+                yield means_of(part)
+
+    known = panel.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    return blocks(known, config.span - 1).mapInArrow(run, "ts_id long, signal_id int, win_idx long, means array<double>")
+
+
 def words(panel: DataFrame, config: Config, least_ratio: float = 0.0, constant_is_middle: bool = False) -> DataFrame:
     """(ts_id, signal_id, win_idx, word) of one configuration.
 
@@ -151,8 +202,9 @@ class Points:
         lengths = points.value_lengths().to_numpy()
         row = np.repeat(np.arange(len(lengths)), lengths)
         flat = points.flatten()
-        pos, value = flat.field("pos").to_numpy(), flat.field("value").to_numpy()
+        pos, value = flat.field("pos").to_numpy(), flat.field("value").to_numpy(zero_copy_only=False)
         order = np.lexsort((pos, row))
+        batch = batch.set_column(batch.schema.get_field_index("constant"), "constant", batch.column("constant").fill_null(True))
         kept = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("stop", "global_std", "constant"))
         return cls(pos[order], value[order], row, np.cumsum(lengths)[row], *kept)
 
@@ -160,14 +212,19 @@ class Points:
         """The points at which a window of this block starts."""
         return np.flatnonzero((self.pos < self.stop) & (self.pos % config.stride == 0) & (np.arange(len(self.pos)) + config.span <= self.ends))
 
+    def by_residue(self, dilation: int) -> tuple[np.ndarray, np.ndarray]:
+        """The points in order of block, residue and position, and where each then stands."""
+        order = np.lexsort((self.pos, self.pos % dilation, self.row)) if dilation > 1 else np.arange(len(self.pos))
+        place = np.empty(len(self.pos), np.int64)
+        place[order] = np.arange(len(self.pos))
+        return order, place
+
     def windows(self, wanted: Iterable[tuple[int, int, Iterable[int]]]) -> dict[int, tuple[np.ndarray, Windows]]:
         """By dilation, for (dilation, window size, sizes of segments): where each point stands in order of residue, so that a dilated window is a run; and the sums."""
         out = {}
         wanted = list(wanted)
         for d in {x[0] for x in wanted}:
-            order = np.lexsort((self.pos, self.pos % d, self.row)) if d > 1 else np.arange(len(self.pos))
-            place = np.empty(len(self.pos), np.int64)
-            place[order] = np.arange(len(self.pos))
+            order, place = self.by_residue(d)
             of = [x for x in wanted if x[0] == d]
             out[d] = place, Windows(self.value[order], self.row[order], {x[1] for x in of}, {p for x in of for p in x[2]})
         return out
@@ -214,17 +271,6 @@ class Kernel:
         return word if constant_is_middle else np.where(constant, 0, word)
 
 
-def _bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about STEP points at most, a single row at least."""
-    total = np.cumsum(batch.column("points").value_lengths().to_numpy())
-    at = 0
-    while at < batch.num_rows:
-        before = total[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(total, before + STEP, side="right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def _tallied(word: np.ndarray, of: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each word of each row once, and how often it is there."""
     if (int(of[-1]) + 1) * n_words < 1 << 62:
@@ -252,7 +298,7 @@ def grid_words(panel: DataFrame, configs: list[Config], least_ratio: float = 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _bounded(batch):
+            for part in bounded(batch, "points"):
                 yield from words_of(part)
 
     def words_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

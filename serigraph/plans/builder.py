@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from serigraph.operators import bags
 from serigraph.plans.planner import Config, plan
 from serigraph.sources.panel import length_profile
+from serigraph.sources.storage import checkpoint
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -72,5 +73,5 @@ class BagBuilder:
 
     def fit(self, panel: DataFrame) -> BagModel:
         configs = self.plan(panel)
-        vocabulary = bags.vocabulary(_bag(panel, configs, self.least_ratio, self.steps, self.constant_is_middle)).persist()
+        vocabulary = checkpoint(bags.vocabulary(_bag(panel, configs, self.least_ratio, self.steps, self.constant_is_middle)))
         return BagModel(configs, vocabulary, vocabulary.count(), self.least_ratio, dict(self.weights), tuple(self.steps), self.constant_is_middle)

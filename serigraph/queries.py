@@ -10,6 +10,7 @@ from serigraph.functions import encoding, symbols
 from serigraph.operators import alignment, bags, explain, moving, patterns, words
 from serigraph.plans.planner import Config, config_table, plan
 from serigraph.sources import panel as panels
+from serigraph.sources.storage import checkpoint
 
 ONE, COARSE = Config(8, 2, 4), Config(8, 1, 4, 2, 4)
 GRID = plan(64, 64)
@@ -199,9 +200,9 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _shown(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """panel, windows, vocabulary and features of the configurations that the explanations use."""
     panel = vectors(spark, sf_dir)
-    windows = words.grid_words(panel, SHOWN)
+    windows = checkpoint(words.grid_words(panel, SHOWN))  # read by the vocabulary and by what follows
     bag = bags.counted(windows)
-    known = bags.vocabulary(bag).persist()  # its size is asked for before its rows are used
+    known = checkpoint(bags.vocabulary(bag))
     return panel, windows, known, bags.features(bag, known)
 
 
@@ -235,9 +236,15 @@ def word_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- alignment -------------------------------------------------------------------------------------------------------
 
 
-@query(f"{_SHOWN} select ts_id, signal_id::int as signal_id, conf_idx, word, list(win_idx order by win_idx) as win_idxs from windows group by all")
+@query(f"""{_SHOWN} select ts_id, signal_id::int as signal_id, conf_idx, word, win_idx // 4 as block, count(*)::int as n, list((win_idx % 4)::int order by win_idx) as offsets
+    from windows group by ts_id, signal_id, conf_idx, word, win_idx // 4""")
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.inverted_index(_shown(spark, sf_dir)[1])
+    return alignment.inverted_index(_shown(spark, sf_dir)[1], span=4)
+
+
+@query(f"{_SHOWN} select ts_id, signal_id::int as signal_id, conf_idx, word, win_idx from windows")
+def windows_of_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.indexed_windows(alignment.inverted_index(_shown(spark, sf_dir)[1], span=4), span=4)
 
 
 @query(f"{_SHOWN}, {_COVERED} select ts_id, pos, count(*) as windows, count(distinct feature_idx) as features from covered group by all")

@@ -18,18 +18,30 @@ def _present(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value)
 
 
+def placed_panel(rows: DataFrame, ts_id: Column, value: Column, order: Sequence[Column | str], signal_id: Column | None = None) -> DataFrame:
+    """The panel of a table with its missing points: pos counts all points of a signal, and a missing one is null.
+
+    Otherwise as long_panel(), which drops them.
+    """
+    numbered = _numbered(rows, ts_id, value, order, signal_id)
+    return numbered.select(*KEYS, "raw_pos", F.col("raw_pos").alias("pos"), F.when(~F.isnan("value"), F.col("value")).alias("value"))
+
+
+def _numbered(rows: DataFrame, ts_id: Column, value: Column, order: Sequence[Column | str], signal_id: Column | None) -> DataFrame:
+    signal = F.lit(0) if signal_id is None else signal_id
+    named = [f"_o{i}" for i in range(len(order))]
+    points = rows.select(ts_id.cast("long").alias("ts_id"), signal.cast("int").alias("signal_id"), value.cast("double").alias("value"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in zip(named, order, strict=True)])
+    return numbered_within(points, KEYS, named, F.coalesce(_present(F.col("value")), F.lit(False)), "raw_pos", "pos")
+
+
 def long_panel(rows: DataFrame, ts_id: Column, value: Column, order: Sequence[Column | str], signal_id: Column | None = None) -> DataFrame:
     """The panel of a table: points of a signal in the given order, missing ones (null or NaN) dropped and the rest renumbered.
 
     The order must be total for stable results. Points are dealt in ranges of signal and order, so that a signal of any
     length is many tasks. Integer values become doubles. Rows with a null key form a signal of their own.
     """
-    signal = F.lit(0) if signal_id is None else signal_id
-    named = [f"_o{i}" for i in range(len(order))]
-    points = rows.select(ts_id.cast("long").alias("ts_id"), signal.cast("int").alias("signal_id"), value.cast("double").alias("value"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in zip(named, order, strict=True)])
-    present = F.coalesce(_present(F.col("value")), F.lit(False))
-    numbered = numbered_within(points, KEYS, named, present, "raw_pos", "pos")
-    return numbered.where(present).select(*KEYS, "raw_pos", "pos", "value")
+    numbered = _numbered(rows, ts_id, value, order, signal_id)
+    return numbered.where(_present(F.col("value"))).select(*KEYS, "raw_pos", "pos", "value")
 
 
 def panel_of_arrays(rows: DataFrame, ts_id: Column, values: Column, signal_id: Column | None = None) -> DataFrame:
