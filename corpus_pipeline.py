@@ -13,29 +13,44 @@ from serigraph.llm.queries import TOKENIZER, id_remainder
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on labels, doesn't reject."""
+    """Documents that the quality classifier, trained on labels, doesn't reject.
+
+    Rows with a null or empty text have the score of one; rows that repeat are judged each; very long texts are read whole; all columns stay.
+    """
     forest = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(id_remainder(3) != 1))
     return quality.accepted(docs, forest)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, the smallest doc_id; of equal rows one.
+
+    Null and empty texts and null ids are like nothing else and stay; very long texts are compared whole; all columns stay.
+    """
     return ngram_join.keep_one(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced; the column n_chars, if there is one, follows the text."""
+    """Documents with personal data replaced; the column n_chars, if there is one, follows the text.
+
+    Null texts stay null; rows that repeat are treated each; very long texts are searched whole; all other columns stay as they are.
+    """
     clean = pii.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, copies being equal rows.
+
+    Null and empty texts have no size and are taken as often as their source; null is a source of its own; all columns stay.
+    """
     return mixing.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
+    """Pieces of the documents in sequences of 2048 tokens; the columns are those of packing.pack().
+
+    Null and empty texts are an end token; rows that repeat are packed each; only documents of more than a sequence are cut.
+    """
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
