@@ -164,6 +164,15 @@ def paa_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.select("ts_id", "win_idx", F.transform("means", lambda m: F.round(m, 6) + 0.0).alias("means"))
 
 
+@query(f"""with p as ({EVENTS}), l as (select ts_id, list(value order by pos) as v, count(*) as n, max(value) = min(value) as constant from p group by all), c as (select *, unnest(range(0, (n - 19) // 3 + 1)) as win_idx from l where n >= 19),
+    x as (select *, v[win_idx * 3 + 1:win_idx * 3 + 19:2] as x from c), b as (select *, [0, 2, 5, 7, 10] as b, {symbols.breakpoints(3)}::double[] as bins, list_avg(x) as mu, list_aggregate(x, 'stddev_pop') as sd, list_max(x) = list_min(x) as flat from x),
+    z as (select *, list_transform(range(0, 4), lambda j: case when flat then 0.0 else (list_avg(x[b[j + 1] + 1:b[j + 2]]) - mu) / sd end) as z from b)
+    select ts_id, win_idx, case when constant then 0 else list_sum(list_transform(range(0, 4), lambda j: len(list_filter(bins, lambda t: t <= z[j + 1])) * (3 ** (3 - j))::bigint)) end::bigint as word from z""")
+def uneven_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of windows that are no multiple of the word length."""
+    return words.classic_words(events(spark, sf_dir), UNEVEN).select("ts_id", "win_idx", "word")
+
+
 @query(f"""with p as ({SHORT_EVENTS}), n as (select *, count(*) over (partition by ts_id, signal_id) as n from p), b as (select *, unnest(range(0, 5)) as j from n where n >= 5)
     select ts_id, signal_id::int as signal_id, j::int as j, round(avg(value), 6) as mean from b where pos >= j * n // 5 and pos < (j + 1) * n // 5 group by all""")
 def paa_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -489,11 +498,11 @@ def attribution_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attributed(spark, sf_dir)[0].totals().select("ts_id", (F.round("total", 6) + 0.0).alias("total"))
 
 
-@query(f"""{_SHOWN}, {_ATTRIBUTED} select ts_id, round(sum(f) / sum(f * w), 6) as scale from attributed join vocabulary using (feature_idx) join config using (conf_idx) where cnt is null group by ts_id""")
+@query(f"""{_SHOWN}, {_ATTRIBUTED} select ts_id, round(sum(f), 6) + 0.0 as absent, round(sum(f * w), 6) + 0.0 as weighted from attributed join vocabulary using (feature_idx) join config using (conf_idx) where cnt is null group by ts_id""")
 def attribution_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the importance of absent features is scaled by in each series."""
+    """The two sums that the importance of absent features is scaled by in each series."""
     importance, known = _attributed(spark, sf_dir)
-    return importance.absent_scales(known, SHOWN).select("ts_id", F.round("scale", 6).alias("scale"))
+    return importance.absent_scales(known, SHOWN).select("ts_id", *[(F.round(c, 6) + 0.0).alias(c) for c in ("absent", "weighted")])
 
 
 @query(f"""{_SHOWN}, {_IMPORTANCE}, ranked as (select *, rank() over (partition by ts_id order by abs(f) desc) + (count(*) over (partition by ts_id, abs(f)) - 1) / 2 as avg_rank from importance)

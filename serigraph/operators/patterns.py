@@ -83,24 +83,47 @@ def _sums_of_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 PIVOTS, BINS = 16, 64
 
 
+def _by_feature(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
+    """The rows of each feature of a batch, and the first of them."""
+    feature = batch.column("feature_idx").to_numpy()
+    order = np.argsort(feature, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(feature[order])) + 1) if len(order) else ():
+        yield some, int(some[0])
+
+
+def _matrix(lists: pa.Array, some: np.ndarray) -> np.ndarray:
+    """Rows of a column of lists of one length."""
+    return lists.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(len(some), -1)
+
+
 def _pivot_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """d: the distances of each row's x to each of its feature's pivots."""
     for batch in batches:
-        x, pivots = batch.column("x"), batch.column("pivots")
-        out = [np.sqrt(((np.array(p) - np.array(v)) ** 2).sum(1)).tolist() for v, p in zip(x.to_pylist(), pivots.to_pylist(), strict=True)]
         kept = [c for c in batch.schema.names if c != "pivots"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.list_(pa.float64()))], names=[*kept, "d"])
+        for some, first in _by_feature(batch):
+            pivots = np.array(batch.column("pivots")[first].as_py())
+            x = _matrix(batch.column("x"), some)
+            d = np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], 1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * d.shape[1], pa.int32()), pa.array(d.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(some)) for c in kept), lists], names=[*kept, "d"])
 
 
 def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """bound: what the sum of each row's distances is at least, by each pivot: the differences of distances to it, added up over its bins."""
     for batch in batches:
-        bounds = []
-        for d, bins in zip(batch.column("d").to_pylist(), batch.column("bins").to_pylist(), strict=True):
-            i, n, total = (np.array([b[k] for b in bins]) for k in ("i", "n", "total"))
-            bounds.append(float(np.bincount(i, np.abs(n * np.array(d)[i] - total)).max()))
         kept = [c for c in batch.schema.names if c not in ("d", "bins")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(bounds, pa.float64())], names=[*kept, "bound"])
+        for some, first in _by_feature(batch):
+            bins = batch.column("bins")[first].values
+            i, n, total = (bins.field(k).to_numpy(zero_copy_only=False) for k in ("i", "n", "total"))
+            d = _matrix(batch.column("d"), some)
+            bound = np.zeros(len(some))
+            for p in range(d.shape[1]):
+                own = i == p
+                step = max(1, STEP // max(1, int(own.sum())))
+                for at in range(0, len(some), step):
+                    part = slice(at, at + step)
+                    bound[part] = np.maximum(bound[part], np.abs(n[own] * d[part, p, None] - total[own]).sum(1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(some)) for c in kept), pa.array(bound)], names=[*kept, "bound"])
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -132,8 +155,9 @@ def candidates(rows: DataFrame) -> DataFrame:
 def medoids(points: DataFrame, value: str = "value") -> DataFrame:
     """For each feature the occurrence with the least sum of Euclidean distances to the others, and that sum.
 
-    Only occurrences that bounds leave (candidates()) are compared with all of their feature. Blocks of bounded size meet, so that
-    a frequent feature is many keys and no pair is a row. Sums are taken in one order. The first by series, signal and window wins ties.
+    Of features with more occurrences than a block holds, only those that bounds leave (candidates()) are compared with all others.
+    Blocks of bounded size meet, so that a frequent feature is many keys and no pair is a row. Sums are taken in one order. The first
+    by series, signal and window wins ties.
     """
     rows = checkpoint(points.groupBy(*OCCURRENCE).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col(value).alias("v")))), lambda p: p["v"]).alias("x")))
 
@@ -142,9 +166,11 @@ def medoids(points: DataFrame, value: str = "value") -> DataFrame:
         dealt = of.join(sizes, "feature_idx").withColumn("block", F.pmod(F.xxhash64(*OCCURRENCE), "blocks").cast("int"))
         return dealt.groupBy("feature_idx", "blocks", "block").agg(F.array_sort(F.collect_list(F.struct(*OCCURRENCE[1:], "x"))).alias("held"))
 
-    every = blocks(rows).select("feature_idx", "blocks", "block", F.flatten("held.x").alias("others"))
+    every = checkpoint(blocks(rows)).select("feature_idx", "blocks", "block", F.flatten("held.x").alias("others"))
     counts = every.select("feature_idx", "blocks").distinct()
-    asked = blocks(candidates(rows)).drop("blocks").join(counts, "feature_idx")
+    frequent = counts.where("blocks > 1").select("feature_idx")
+    chosen = rows if frequent.isEmpty() else rows.join(frequent, "feature_idx", "left_anti").unionByName(candidates(rows.join(frequent, "feature_idx", "left_semi")))
+    asked = blocks(chosen).drop("blocks").join(counts, "feature_idx")
     asked = asked.select("feature_idx", *[F.col(f"held.{c}").alias(c) for c in OCCURRENCE[1:]], F.flatten("held.x").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     pairs = asked.join(every.drop("blocks"), ["feature_idx", "block"])
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in OCCURRENCE)

@@ -38,13 +38,13 @@ class SparseImportance:
         ).select("ts_id", (F.col("whole") + F.coalesce("moved", F.lit(0.0))).alias("total"))
 
     def absent_scales(self, vocabulary: DataFrame, configs: list[Config]) -> DataFrame:
-        """(ts_id, scale): what the base of each feature without a cell is multiplied by, sum(base) / sum(base * window size) over these; null where the latter is 0."""
+        """(ts_id, absent, weighted, scale): of the features without a cell sum(base), sum(base * window size), and what their bases are multiplied by, the one over the other; null where that is 0."""
         sizes = vocabulary.join(F.broadcast(config_table(vocabulary.sparkSession, configs)), "conf_idx").select("feature_idx", "window_size")
         sized = self.base.join(sizes, "feature_idx")
         whole = sized.agg(F.sum("base").alias("b"), F.sum(F.col("base") * F.col("window_size")).alias("bw"))
         own = self.cells.select("ts_id", "feature_idx").join(sized, "feature_idx").groupBy("ts_id").agg(F.sum("base").alias("own_b"), F.sum(F.col("base") * F.col("window_size")).alias("own_bw"))
-        less = lambda all_, part: F.col(all_) - F.coalesce(part, F.lit(0.0))
-        return _with_one_row(self.series, whole).join(own, "ts_id", "left").select("ts_id", F.try_divide(less("b", "own_b"), less("bw", "own_bw")).alias("scale"))
+        less = lambda all_, part: F.col(all_) - F.coalesce(F.col(part), F.lit(0.0))
+        return _with_one_row(self.series, whole).join(own, "ts_id", "left").select("ts_id", less("b", "own_b").alias("absent"), less("bw", "own_bw").alias("weighted")).withColumn("scale", F.try_divide("absent", "weighted"))
 
     def rank_sums(self) -> DataFrame:
         """(feature_idx, n_cells, rank_sum, size_sum): over all series the sums of a feature's average-tie rank by falling size, and of its size abs(f).
