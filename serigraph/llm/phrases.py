@@ -13,7 +13,7 @@ from serigraph.llm._common import checkpoint, mixed, record_batch, text_chunks
 from serigraph.llm._words import powers
 
 #: Slots of the table of frequencies that is broadcast (16 MB, at every size); bytes of text whose fragments are counted together.
-SLOTS, RUN_BYTES = 1 << 21, 4 << 20
+SLOTS, RUN_BYTES = 1 << 21, 3 << 20
 #: Occurrences of a pivot above which its fragments are dealt over several groups.
 PIVOT_ROWS = 20_000
 
@@ -108,17 +108,19 @@ def fragments(docs: DataFrame, table: Broadcast, longest: int, groups: int) -> D
                 f = frequency[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
                 reach = []
                 for step in (-1, 1):
-                    far, going = np.zeros(n, np.int64), f > 0
-                    for k in range(1, longest):
-                        i = np.arange(n) + step * k
-                        ok = (i >= 0) & (i < n)
-                        j = np.where(ok, i, 0)
-                        more = (f[j] > f) | (f[j] == f) & ((h[j] > h) if step < 0 else (h[j] >= h))
-                        going = going & ok & (f[j] > 0) & (t.piece[j] == t.piece) & more
+                    far, going = np.zeros(n, np.int8 if longest < 100 else np.int64), f > 0
+                    for k in range(1, min(longest, n)):
+                        # each word and the one k places before or after it, as views
+                        own, near = (slice(k, None), slice(None, n - k)) if step < 0 else (slice(None, n - k), slice(k, None))
+                        more = (f[near] > f[own]) | (f[near] == f[own]) & ((h[near] > h[own]) if step < 0 else (h[near] >= h[own]))
+                        going[own] &= (f[near] > 0) & (t.piece[near] == t.piece[own]) & more
+                        going[: k if step < 0 else 0] = False
+                        going[n - k if step > 0 else n :] = False
                         far += going
                     reach.append(far)
                 left, right = reach
-                at = np.flatnonzero(left + right)
+                at = np.flatnonzero(left | right)
+                left, right = left.astype(np.int64), right.astype(np.int64)
                 key = h[at] * np.uint64(31) + left[at].astype(np.uint64)
                 for k in range(1 - longest, longest):
                     near = np.clip(at + k, 0, max(n - 1, 0))
