@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -11,94 +10,84 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from serigraph.llm._common import checkpoint, record_batch, text_chunks
+from serigraph.llm._tokens import END, NUMBER, ODD, OTHER, WHITE, WHOLE, KnownParts, between, kinds, odd_places, parts_of, split_tails, units_of
 
-#: Encoded strings of each kind that a worker keeps from one run of texts to the next; some 200 MB, held as long as it lives.
-KEPT = 300_000
-#: Bytes of text whose new strings are encoded together.
-RUN_BYTES = 4 << 20
-#: Characters that need no normal form, with a fixed class: visible ones up to U+024F.
-_UNUSUAL = re.compile("[^\x21-\x7e\xa1-\u024f]")
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Encoded parts after which a worker forgets those met least lately; some 100 MB with the table that finds them.
+KEPT = 1_000_000
+#: Bytes of text whose parts are looked up together.
+RUN_BYTES = 8 << 20
+#: Characters of parts that aren't made here: not visible, beyond U+024F, or of more than one character in lower case.
+_UNUSUAL = re.compile("[^\x21-\x7e\xa1-\u012f\u0131-\u024f]")
 
 
-class ChunkEncoder:
-    """Token ids of whole texts, from those of the strings between white space, which the tokenizer drops and never joins over.
-
-    A string of usual characters is lower-cased and split as the tokenizer's own pattern splits it, so that a word is
-    encoded once however it is spelled and whatever marks follow it; any other string goes to the tokenizer as it is.
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each UTF-16 unit, and the unit in lower case."""
+    kind, lower = kinds(), np.arange(1 << 16).astype("<u2")
+    for c in np.flatnonzero((kind != ODD) & (kind != WHITE)).tolist():
+        if len(chr(c).lower()) == 1:
+            lower[c] = ord(chr(c).lower())
+        else:
+            kind[c] = ODD
+    return kind, lower
+
+
+class PartEncoder:
+    """Token ids of whole texts, from those of the parts that the tokenizer's own pattern makes, in lower case and without white space.
+
+    The tokenizer drops white space and never joins over it. A string between white space that holds other than usual
+    characters is a part as it is.
     """
 
-    def __init__(self, tokenizer_file: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        vocabulary = self.tokenizer.get_vocab()
+    def __init__(self, tokenizer_file: str, end_id: int) -> None:
+        self.parts = KnownParts(tokenizer_file, [end_id])
+        vocabulary = self.parts.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a part
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.chunks: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def encoded(self, strings: list[str]) -> list[bytes]:
-        found = []
-        for i in range(0, len(strings), 20_000):
-            found += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings[i : i + 20_000], add_special_tokens=False)]
-        return found
-
-    def encoded_parts(self, parts: list[str]) -> list[bytes]:
-        """Ids of each part: many are encoded as one text and told apart by the ids that end one."""
-        found = []
-        for i in range(0, len(parts), 2_000):
-            some = parts[i : i + 2_000]
-            (whole,) = self.encoded([" ".join(some)])
-            stops = np.flatnonzero(self.ends[np.frombuffer(whole, "<u4")]) * 4 + 4
-            if len(stops) == len(some):
-                found += [whole[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
-            else:
-                found += self.encoded(some)
-        return found
-
-    def learn(self, missing: list[bytes]) -> None:
-        whole, split = [], {}
-        for chunk in missing:
-            if chunk.isalpha():  # ASCII letters alone are one part
-                split[chunk] = (chunk.lower().decode(),)
-                continue
-            string = chunk.decode()
-            if "<|" in string or _UNUSUAL.search(string):
-                whole.append(chunk)
-            else:
-                split[chunk] = _PARTS.findall(string.lower())
-        self.chunks.update(zip(whole, self.encoded([c.decode() for c in whole]), strict=True))
-        needed = {p for parts in split.values() for p in parts}
-        if len(self.parts) > KEPT:
-            self.parts = {p: self.parts[p] for p in needed & self.parts.keys()}
-        fresh = list(needed - self.parts.keys())
-        self.parts.update(zip(fresh, self.encoded_parts(fresh), strict=True))
-        known = self.parts.__getitem__
-        for chunk, parts in split.items():
-            self.chunks[chunk] = known(parts[0]) if len(parts) == 1 else b"".join(map(known, parts))
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [t.split() for t in texts]
-        needed = set().union(*split)
-        if len(self.chunks) > KEPT:
-            self.chunks = {c: self.chunks[c] for c in needed & self.chunks.keys()}
-        self.learn(list(needed - self.chunks.keys()))
-        known = self.chunks.__getitem__
-        return [b"".join(map(known, chunks)) for chunks in split]
+
+    def split(self, texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """The parts of all texts, a stop after each text, and which parts are the stops."""
+        kind_of, lower_of = _tables()
+        units, stops = units_of(texts)
+        kind = kind_of[units]
+        kind[stops] = END
+        lower = lower_of[units]
+        odd = odd_places(units, kind)
+        if len(odd):
+            gaps = np.flatnonzero((kind == WHITE) | (kind == END))
+            k = np.unique(np.searchsorted(gaps, odd))
+            inside = between(np.where(k > 0, gaps[k - 1] + 1, 0), gaps[k])
+            kind[inside] = WHOLE
+            lower[inside] = units[inside]
+        start = kind >= NUMBER  # each digit is a part
+        start[:1] = True
+        start[1:] |= kind[1:] != kind[:-1]
+        split_tails(start, lower, kind, np.flatnonzero(start & (lower == ord("'")) & (kind == OTHER)))
+        seen = kind != WHITE
+        start &= seen
+        return parts_of(lower[seen], np.flatnonzero(start[seen])), np.searchsorted(np.flatnonzero(start), stops)
+
+    def encode(self, parts: list[str]) -> list[bytes]:
+        whole = ["<|" in p or _UNUSUAL.search(p) is not None for p in parts]
+        found = iter(self.parts.encoded_apart([p for p, w in zip(parts, whole, strict=True) if not w], " ", ends=self.ends))
+        as_is = iter(self.parts.encoded([p for p, w in zip(parts, whole, strict=True) if w]))
+        return [next(as_is if w else found) for w in whole]
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts and their end ids, one after the other, and where each text's end."""
+        parts, stops = self.split(texts)
+        ids, total = self.parts.ids(parts, self.encode, KEPT)
+        return ids, total[stops]
 
 
 @cache
-def encoder(tokenizer_file: str) -> ChunkEncoder:
+def encoder(tokenizer_file: str, end_id: int) -> PartEncoder:
     """One for each worker process, which its tasks share."""
-    return ChunkEncoder(tokenizer_file)
+    return PartEncoder(tokenizer_file, end_id)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long"
@@ -108,22 +97,23 @@ def tokenized_pieces(docs: DataFrame, tokenizer_file: str, size: int, end_id: in
     """A row for each piece of at most size tokens: its digest, and its place among this task's pieces of its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_file)
-        end = np.array([end_id], "<u4").tobytes()
+        encode = encoder(tokenizer_file, end_id)
         task = TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            encoded = (ids for _, texts in text_chunks(batch.column("text"), RUN_BYTES) for ids in encode(texts))
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at : at + 4 * size]
-                    n = len(part) // 4
-                    place = seen.get(n, 0)
-                    seen[n] = place + 1
-                    for column, value in zip(out, (doc, piece, at // 4, n, zlib.crc32(part), place), strict=True):
-                        column.append(value)
+            docs_of = batch.column("doc_id").to_pylist()
+            for first, texts in text_chunks(batch.column("text"), RUN_BYTES):
+                ids, ends = encode(texts)
+                begin = 0
+                for doc, end in zip(docs_of[first : first + len(texts)], ends.tolist(), strict=True):
+                    for piece, at in enumerate(range(begin, end, size)):
+                        n = min(size, end - at)
+                        place = seen.get(n, 0)
+                        seen[n] = place + 1
+                        for column, value in zip(out, (doc, piece, at - begin, n, zlib.crc32(ids[at : at + n]), place), strict=True):
+                            column.append(value)
+                    begin = end
             long, int32 = pa.int64(), pa.int32()
             yield record_batch(
                 {"doc_id": (out[0], long), "piece": (out[1], int32), "start": (out[2], long), "length": (out[3], long), "ids_crc32": (out[4], long), "task": ([task] * len(out[0]), int32), "place": (out[5], long)}
