@@ -3,27 +3,28 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from serigraph.llm._common import checkpoint, record_batch, text_chunks
+from serigraph.llm._tokens import END, OTHER, WHITE, WHOLE, KnownParts, between, kinds, odd_places, parts_of, split_tails, units_of
 
 #: Tokens after which a shard is closed (a longer document is a shard of its own); bits of a block of a plane.
 SHARD_TOKENS, BLOCK_BITS = 4_000_000, 1 << 15
-#: Encoded strings after which a worker starts anew and keeps only those met again; bytes of text that are encoded together.
-KEPT, RUN_BYTES = 300_000, 8 << 20
+#: Encoded parts after which a worker forgets those met least lately; bytes of text whose parts are looked up together.
+KEPT, RUN_BYTES = 1_000_000, 8 << 20
+#: Characters of parts that the tokenizer has to see one by one.
+_UNUSUAL = re.compile("[^\x21-\x7e\xa1-\u024f]")
 MAGIC = b"WAVELET1"
 
 
@@ -31,165 +32,65 @@ MAGIC = b"WAVELET1"
 
 
 class Encoder:
-    """Token ids of whole texts, from those of the strings between lone spaces.
+    """Token ids of whole texts, from those of the parts that the byte-level tokenizer's own pattern makes.
 
-    The byte-level tokenizer starts a part of its own at a space that stands between two visible characters and never
-    joins over it, so that such strings are encoded once, with the space before them. A word with a mark after it is its
-    word and the mark, and lines meet in a token of their own, so that these are put together from strings known already.
+    Its parts are runs of letters, digits or marks with the space before them, tails after an apostrophe, and white space.
+    Between lone spaces, which stand between two visible characters and which it never joins over, a string that holds
+    other than usual characters is a part as it is, with the space before it.
     """
 
-    def __init__(self, tokenizer_file: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.split = re.compile(r"(?<=\S) (?=\S)").split
-        # of strings after a space, and of strings after a line break, which is their first character; the older hold those that were not met since
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        # strings after a space that texts hold, as an Arrow array, with how many ids each has, and the ids in a row
-        self.strings, self.lengths, self.flat = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, "<u4")
-        self.marks = dict(zip(".,;:!?", self.encoded(list(".,;:!?")), strict=True))
-
-    def encoded(self, strings: list[str]) -> list[bytes]:
-        found = []
-        for i in range(0, len(strings), 20_000):
-            found += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings[i : i + 20_000], add_special_tokens=False)]
-        return found
-
-    def after(self, strings: list[str], gap: str) -> list[bytes]:
-        """Ids of each string with a space or a line break before it: many are encoded as one text and told apart by that, which starts a token or is one."""
-        found = []
-        for i in range(0, len(strings), 2_000):
-            some = strings[i : i + 2_000]
-            (whole,) = self.encoded([gap + gap.join(some)])
-            begin = (np.flatnonzero(self.opens(gap)[np.frombuffer(whole, "<u4")]) * 4).tolist()
-            if len(begin) == len(some):
-                found += [whole[a:b] for a, b in zip(begin, [*begin[1:], len(whole)], strict=True)]
-            else:
-                found += self.encoded([gap + s for s in some])
-        return found
-
-    @cache  # noqa: B019  (there is one encoder in a process)
-    def opens(self, gap: str) -> np.ndarray:
-        """Whether an id starts with a space, or with a line break."""
-        letter = {" ": "\u0120", "\n": "\u010a"}[gap]
-        vocabulary = self.tokenizer.get_vocab()
-        out = np.zeros(max(vocabulary.values()) + 1, bool)
-        out[[i for token, i in vocabulary.items() if token.startswith(letter)]] = True
-        return out
-
-    def fresh(self, strings: Iterable[str]) -> list[str]:
-        """Those of strings that are not known; those among the older are taken over."""
-        known, older = self.known, self.older
-        out = []
-        for s in strings:
-            if s not in known:
-                ids = older.get(s)
-                if ids is None:
-                    out.append(s)
-                else:
-                    known[s] = ids
-        return out
-
-    def learn(self, missing: list[str]) -> None:
-        """Strings that come after a space, none of which is empty."""
-        known, marks, words, marked, rest = self.known, self.marks, set(), [], []
-        for s in missing:
-            if s.isalpha():
-                words.add(s)
-            elif s[-1] in marks and s[:-1].isalpha():
-                marked.append(s)
-                words.add(s[:-1])
-            else:
-                rest.append(s)
-        lined, whole = [], []
-        for s in rest:
-            if " " in s or "<|" in s or s[0].isspace() or s[-1].isspace():
-                whole.append(s)
-            elif "\n" not in s:
-                words.add(s)
-            elif all(x and not x[0].isspace() and not x[-1].isspace() for x in s.split("\n")):
-                lined.append(s)
-                words.add(s.split("\n", 1)[0])  # which may be a word with a mark
-            else:
-                whole.append(s)
-        fresh = self.fresh(words)
-        known.update(zip(fresh, self.after(fresh, " "), strict=True))
-        fresh = self.fresh({f"\n{x}" for s in lined for x in s.split("\n")[1:]})
-        known.update(zip(fresh, self.after([s[1:] for s in fresh], "\n"), strict=True))
-        known.update([(s, known[s[:-1]] + marks[s[-1]]) for s in marked])
-        known.update(zip(whole, self.encoded([f" {s}" for s in whole]), strict=True))
-        for s in lined:
-            head, *lines = s.split("\n")
-            known[s] = known[head] + b"".join(known[f"\n{x}"] for x in lines)
-
-    def apart(self, text: str) -> bytes:
-        """Ids of a text in which spaces meet white space."""
-        first, *strings = self.split(text)
-        self.learn(self.fresh(set(strings)))
-        return self.encoded([first])[0] + b"".join(map(self.known.__getitem__, strings))
+    def __init__(self, tokenizer_file: str, end_id: int | None = None) -> None:
+        """end_id: what follows the ids of each text, if anything does."""
+        self.parts = KnownParts(tokenizer_file, [] if end_id is None else [end_id])
+        self.kind_of = kinds()
+        self.is_space = np.array([chr(c).isspace() for c in range(1 << 16)])
+        vocabulary = self.parts.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that start with a space
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+
+    def split(self, texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """The parts of all texts, a stop after each text, and which parts are the stops."""
+        units, stops = units_of(texts)
+        kind = self.kind_of[units]
+        kind[stops] = END
+        space, first = units == ord(" "), np.zeros(0, np.int64)
+        odd = odd_places(units, kind)
+        if len(odd):
+            lone = np.flatnonzero(space)
+            seen = lambda at: (kind[at] != END) & ~self.is_space[units[at]]
+            lone = lone[(lone > 0) & seen(lone - 1) & seen(lone + 1)]
+            gaps = np.union1d(lone, stops)
+            k = np.unique(np.searchsorted(gaps, odd))
+            first = np.where(k > 0, gaps[k - 1] + (kind[gaps[k - 1]] == END), 0)
+            kind[between(first, gaps[k])] = WHOLE
+        white = kind == WHITE
+        start = kind == END
+        start[:1] = True
+        start[1:] |= kind[1:] != kind[:-1]
+        start[1:] &= ~(white[:-1] & space[:-1]) | white[1:] | (kind[1:] == END)  # a space belongs to what it precedes,
+        start[:-1] |= white[:-1] & ~white[1:] & (kind[1:] != END)  # and is apart from white space before it
+        start[first] = True
+        split_tails(start, units, kind, np.flatnonzero(start & (units == ord("'")) & (kind == OTHER)))
+        begin = np.flatnonzero(start)
+        return parts_of(units, begin), np.searchsorted(begin, stops)
+
+    def encode(self, parts: list[str]) -> list[bytes]:
+        usual = [len(p) > 1 and p[0] == " " and "<|" not in p and _UNUSUAL.search(p, 1) is None for p in parts]
+        found = iter(self.parts.encoded_apart([p[1:] for p, u in zip(parts, usual, strict=True) if u], " ", begins=self.opens))
+        as_is = iter(self.parts.encoded([p for p, u in zip(parts, usual, strict=True) if not u]))
+        return [next(found if u else as_is) for u in usual]
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after the other, and how many each has."""
-        split = pc.split_pattern(pa.array(texts, pa.binary()).cast(pa.string()), " ")
-        coded = split.flatten().dictionary_encode()
-        at, bounds = coded.indices.to_numpy(), split.offsets.to_numpy()
-        of = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        if len(self.known) > KEPT:
-            self.known, self.older = {}, self.known
-        place = pc.index_in(coded.dictionary, value_set=self.strings)
-        new = np.flatnonzero(place.is_null().to_numpy(zero_copy_only=False))
-        place = place.fill_null(0).to_numpy().astype(np.int64)
-        missing = coded.dictionary.take(pa.array(new)).to_pylist()
-        met = np.array([not s or s[0].isspace() or s[-1].isspace() for s in missing], bool)
-        odd = np.zeros(len(texts), bool)
-        if met.any():  # spaces there may meet white space
-            is_met = np.zeros(len(place), bool)
-            is_met[new[met]] = True
-            odd[of[is_met[at]]] = True
-            missing = [s for s, m in zip(missing, met.tolist(), strict=True) if not m]
-        self.learn(self.fresh(missing))
-        heads = [self.apart(texts[i].decode()) if odd[i] else None for i in range(len(texts))]
-        plain = np.flatnonzero(~odd)
-        firsts = coded.dictionary.take(pa.array(at[bounds[plain]])).to_pylist()
-        for i, ids in zip(plain.tolist(), self.encoded(firsts), strict=True):
-            heads[i] = ids
-        count = lambda found: np.fromiter(map(len, found), np.int64, len(found)) // 4
-        found = list(map(self.known.__getitem__, missing))
-        stored = len(self.strings)
-        self.strings = pa.concat_arrays([self.strings, coded.dictionary.take(pa.array(new[~met]))])
-        self.lengths = np.concatenate([self.lengths, count(found)])
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), "<u4")])
-        # the table of this run: what is stored, the first string of each text, which has no space before it, and nothing
-        place[new[~met]] = stored + np.arange(len(found))
-        place[new[met]] = len(self.strings) + len(texts)
-        table = np.concatenate([self.flat, np.frombuffer(b"".join(heads), "<u4")])
-        length = np.concatenate([self.lengths, count(heads), [0]])
-        at = place[at]
-        at[odd[of]] = len(length) - 1  # whole in the first
-        at[bounds[:-1]] = len(self.strings) + np.arange(len(texts))
-        size = length[at]
-        total = np.cumsum(size)
-        kind = np.int32 if len(total) and max(int(total[-1]), len(table)) < 1 << 31 else np.int64
-        shift = ((np.cumsum(length) - length)[at] - (total - size)).astype(kind)
-        ids = table[np.arange(int(total[-1]) if len(total) else 0, dtype=kind) + np.repeat(shift, size)]
-        if len(self.strings) > 2 * KEPT:
-            self.keep(np.unique(place[place < len(self.strings)]))
-        return ids, np.add.reduceat(size, bounds[:-1]) if len(texts) else size
-
-    def keep(self, some: np.ndarray) -> None:
-        """Of the stored strings only some."""
-        first = (np.cumsum(self.lengths) - self.lengths)[some]
-        self.strings, self.lengths = self.strings.take(pa.array(some)), self.lengths[some]
-        total = np.cumsum(self.lengths)
-        self.flat = self.flat[np.arange(int(total[-1]) if len(total) else 0) + np.repeat(first - (total - self.lengths), self.lengths)]
+        parts, stops = self.split(texts)
+        ids, total = self.parts.ids(parts, self.encode, KEPT)
+        return ids, np.diff(total[stops], prepend=0)
 
 
 @cache
-def encoder(tokenizer_file: str) -> Encoder:
+def encoder(tokenizer_file: str, end_id: int) -> Encoder:
     """One for each worker process, which its tasks share."""
-    return Encoder(tokenizer_file)
+    return Encoder(tokenizer_file, end_id)
 
 
 # --- one file --------------------------------------------------------------------------------------------------------
@@ -418,7 +319,7 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 0, sh
     by = [F.col("doc_id").asc_nulls_last(), F.col("h").asc()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = encoder(tokenizer_file), TaskContext.get().partitionId()
+        encode, task = encoder(tokenizer_file, end_id), TaskContext.get().partitionId()
         ids, lengths, held, size, before, number = [], [], [], 0, 0, 0
 
         def closed() -> pa.RecordBatch:
@@ -435,7 +336,6 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 0, sh
             names = batch.column("doc_id").to_pylist()
             for first, texts in text_chunks(batch.column("text"), RUN_BYTES):
                 found, n = encode(texts)
-                found, n = np.insert(found, np.cumsum(n), end_id), n + 1
                 at = 0
                 for k, m in enumerate(n.tolist()):
                     if ids and size + m > shard_tokens:
