@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from serigraph.llm._common import checkpoint, record_batch, text_chunks
 from serigraph.llm._tokens import END, NUMBER, ODD, OTHER, WHITE, WHOLE, KnownParts, between, kinds, odd_places, parts_of, split_tails, units_of
 
-#: Encoded parts after which a worker forgets those met least lately; some 100 MB with the table that finds them.
-KEPT = 1_000_000
+#: Encoded parts after which a worker forgets those met least lately; few, since the pipeline's other stages leave a worker little memory.
+KEPT = 250_000
 #: Bytes of text whose parts are looked up together.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 2 << 20
 #: Characters of parts that aren't made here: not visible, beyond U+024F, or of more than one character in lower case.
 _UNUSUAL = re.compile("[^\x21-\x7e\xa1-\u012f\u0131-\u024f]")
 
