@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,48 @@ def test_fragments_are_counted_where_their_pivot_is(spark):
     plan = phrases.collocations(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan
     assert phrases.collocations(spark.createDataFrame([], "text string, lang string")).count() == 0
+
+
+@pytest.mark.parametrize(("longest", "pivot_rows", "mined"), [(2, 7, 1), (3, 7, 40), (3, 10_000, 1), (5, 50, 10)])
+def test_groups_are_whole_whatever_is_mined_together(spark, monkeypatch, longest, pivot_rows, mined):
+    for name, value in (("PIVOT_ROWS", pivot_rows), ("MINED", mined), ("PACKED", 4)):
+        monkeypatch.setattr(phrases, name, value)
+    rows = made(9)
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    wanted = plain(rows, longest=longest)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert found(phrases.collocations(docs, longest=longest)) == wanted and len(wanted) > 20
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_run_of_texts_gives_a_row_for_each_pivot(spark):
+    docs = spark.createDataFrame([(f"w{i % 50} w{i % 7} hot w{i % 11} w{i % 13}", "en") for i in range(3000)], "text string, lang string").coalesce(1)
+    table = spark.sparkContext.broadcast(phrases.frequency_table(phrases.word_counts(docs)))
+    assert 10 < phrases.fragments(docs, table, 3).count() <= 51
+
+
+def test_tuples_that_share_a_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(phrases, "mixed", lambda h: h % np.uint64(2))
+    rng = np.random.default_rng(5)
+    columns = [rng.integers(0, 5, 300).astype(np.uint64) for _ in range(3)]
+    order, first = phrases._sorted_runs(columns)
+    counts = np.diff(first, append=len(order))
+    tuples = list(zip(*(c.tolist() for c in columns), strict=True))
+    assert {tuples[order[i]]: n for i, n in zip(first, counts, strict=True)} == Counter(tuples) and len(first) == len(set(tuples))
+
+
+def test_hashes_of_words_are_those_of_their_letters(spark):
+    t = phrases.Tokens([b"One two", "\tone é, TWO.one".encode(), b"", b"one"], ["en", "en", "fr", "fr"])
+    one = {w: {int(t.hash[i]) for i in range(4) if t.words(np.array([i])) == [w]} for w in ("one", "two")}
+    words = t.words(np.arange(len(t)))
+    assert words == ["one", "two", "one", "é", "two", "one", "one"] and len(set(t.hash.tolist())) == 4
+    assert one["one"] == {int(t.hash[5])} and one["two"] == {int(t.hash[4])} and t.hash[6] not in one["one"]
+
+
+def test_words_that_share_a_hash_are_an_error(spark, monkeypatch):
+    counted = phrases.word_counts
+    monkeypatch.setattr(phrases, "word_counts", lambda docs: counted(docs).withColumn("h", F.lit(1).cast("long")))
+    with pytest.raises(RuntimeError, match="hash"):
+        phrases.collocations(spark.createDataFrame(made(2), "text string, lang string"))
