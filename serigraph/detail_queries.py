@@ -360,7 +360,7 @@ def more_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     select event_id, word, list_transform(range(0, 31), lambda i: ((word >> (2 * (30 - i))::int) % 4)::int) as symbols, word // 1000003 as row, word % 1000003 as col from n""")
 def long_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and indices beyond 2**53, that doubles do not hold, one made of each event's number."""
-    word = (F.col("event_id") * 46116860184273 + F.col("event_id")) % F.lit(1 << 62)
+    word = (F.col("event_id").cast("decimal(19,0)") * F.lit(46116860184274).cast("decimal(14,0)") % F.lit(1 << 62).cast("decimal(19,0)")).cast("long")  # the product passes a long
     row, column = encoding.unflattened(F.col("word"), 1_000_003)
     return _table(spark, sf_dir, "events").select("event_id", word.alias("word")).select("event_id", "word", encoding.symbols_of(F.col("word"), 4, 31).alias("symbols"), row.alias("row"), column.alias("col"))
 

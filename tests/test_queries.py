@@ -40,3 +40,12 @@ def test_query_equals_sql(spark, duck, name):
 def test_a_linear_model_on_the_bag(spark):
     row = QUERIES["classifier_accuracy"](spark, SF).first()
     assert row["held_out"] > 90 and row["accuracy"] >= 0.9
+
+
+@pytest.mark.parametrize("most", [200_000, 5_999_999, 2**62])
+def test_long_words_of_large_numbers(spark, tmp_path, most):
+    spark.createDataFrame([(i,) for i in (0, 1, most - 1, most)], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    for r in QUERIES["long_words"](spark, str(tmp_path)).collect():
+        word = r["event_id"] * 46116860184274 % 2**62
+        assert (r["word"], r["row"], r["col"]) == (word, word // 1000003, word % 1000003)
+        assert r["symbols"] == [word >> 2 * (30 - i) & 3 for i in range(31)]
