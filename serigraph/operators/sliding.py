@@ -98,7 +98,7 @@ class Windows:
         flat = most == least
         var = np.maximum(square - mean * mean, 0.0)
         std = np.sqrt(var)
-        round_ = (size.bit_length() + 4) * ROUND
+        round_ = (size.bit_length() + 4 + size / 8) * ROUND  # of these sums, and of those point by point
         with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
             doubt = 16 * round_ * ((np.maximum(np.abs(most), np.abs(least)) + np.sqrt(square)) / std + square / var)
         return mean, std, flat, np.where(np.isfinite(doubt), doubt, np.inf)

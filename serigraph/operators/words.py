@@ -7,8 +7,9 @@ or negligible window of another signal has the symbol of score 0 throughout.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from serigraph.operators.sliding import Windows, bounded, spans
 from serigraph.plans.planner import Config
 from serigraph.sources.panel import KEYS
 
-#: Positions whose windows one row of blocks() holds, at least; numbers that are gathered at once.
+#: Positions whose windows one row of blocks() holds, at least; numbers that are made at once.
 BLOCK, STEP = 4_096, 1_000_000
 
 
@@ -162,23 +163,42 @@ def blocks(panel: DataFrame, halo: int) -> DataFrame:
     return runs.join(stats, KEYS).select(*KEYS, first.alias("first"), (first + size).alias("stop"), "points", "global_std", "constant")
 
 
+def window_scores(values: np.ndarray, starts: np.ndarray, dilation: int, bounds: Sequence[int], global_std: np.ndarray, least_ratio: float) -> np.ndarray:
+    """The normal scores of the segments of the window at each start, a column for each segment; 0 in flat or negligible windows.
+
+    Sums run from the first point to the last, one at a time, and the variance is Welford's, as SQL's aggregates over a list take
+    them: a score that ties with a breakpoint in exact arithmetic falls on the same side of it.
+    """
+    n, w = len(starts), bounds[-1]
+    total, mean, squares, sums = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros((n, len(bounds) - 1))
+    flat, first = np.ones(n, bool), values[starts]
+    for j, (a, b) in enumerate(pairwise(bounds)):
+        for k in range(a, b):
+            x = values[starts + k * dilation]
+            flat &= x == first
+            total += x
+            sums[:, j] += x
+            moved = x - mean
+            mean = mean + moved / (k + 1)
+            squares += (x - mean) * moved
+    std = np.sqrt(squares / w)
+    zero = flat | (std == 0)
+    if least_ratio:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            zero |= std / global_std < least_ratio
+    return np.where(zero[:, None], 0.0, (sums / np.diff(bounds) - (total / w)[:, None]) / np.where(zero, 1.0, std)[:, None])
+
+
 def window_words(values: np.ndarray, starts: np.ndarray, config: Config, global_std: np.ndarray, constant: np.ndarray, least_ratio: float, constant_is_middle: bool = False) -> np.ndarray:
     """The word of the window at each start, from its points one by one; global_std and constant are those of its signal."""
-    n, segment = config.word_length, config.segment
-    offsets = np.arange(config.window_size) * config.dilation
+    n = config.word_length
+    bounds = np.arange(n + 1) * config.segment
     cuts, powers = np.array(symbols.BREAKPOINTS[config.alphabet_size]), config.alphabet_size ** np.arange(n - 1, -1, -1, dtype=np.int64)
     out = np.zeros(len(starts), np.int64)
-    step = max(1, STEP // config.window_size)
+    step = max(1, STEP // n)
     for at in range(0, len(starts), step):
         some = slice(at, at + step)
-        x = values[starts[some, None] + offsets]
-        mean = x.mean(1)
-        std = np.sqrt(((x - mean[:, None]) ** 2).mean(1))
-        zero = (x.max(1) == x.min(1)) | (std == 0)
-        if least_ratio:
-            zero |= std < least_ratio * global_std[some]
-        means = x[:, : n * segment].reshape(-1, n, segment).mean(2)
-        z = np.where(zero[:, None], 0.0, (means - mean[:, None]) / np.where(zero, 1.0, std)[:, None])
+        z = window_scores(values, starts[some], config.dilation, bounds, global_std[some], least_ratio)
         word = np.searchsorted(cuts, z, side="right") @ powers
         out[some] = word if constant_is_middle else np.where(constant[some], 0, word)
     return out

@@ -174,3 +174,36 @@ def test_normal_quantiles():
     for p, z in known.items():
         assert round(symbols.normal_quantile(p), 6) == z and math.isclose(symbols.normal_quantile(p, 3.0, 3.5), 3 + 3.5 * symbols.normal_quantile(p))
     assert symbols.normal_quantile(0.0) == -math.inf and symbols.normal_quantile(1.0) == math.inf
+
+
+#: A segment's mean ties with the window's in exact arithmetic: the order of sums decides the symbol.
+TIES = [
+    [8.47, 29.28, 34.29, 13.08, 21.96, 27.63, 30.94, 23.83], [5.34, 55.12, 23.58, 24.86, 27.66, 21.27, 16.5, 19.43], [38.39, 20.82, 17.4, 66.36, 14.49, 106.75, 61.09, 9.74],
+    [35.53, 24.15, 91.68, 102.87, 83.0, 12.82, 29.63, 3.6],
+]
+PAIRED = Config(8, 1, 4, 2, 4)
+
+
+def plain_word(x):
+    """The word of a window of PAIRED, with sums from the first point to the last and Welford's variance."""
+    mean = squares = total = 0.0
+    for k, v in enumerate(x):
+        total, moved = total + v, v - mean
+        mean += moved / (k + 1)
+        squares += (v - mean) * moved
+    scores = [((x[j] + x[j + 1]) / 2 - total / 8) / math.sqrt(squares / 8) for j in range(0, 8, 2)]
+    word = 0
+    for z in scores:
+        word = word * 4 + sum(b <= z for b in symbols.BREAKPOINTS[4])
+    return word
+
+
+@pytest.fixture(scope="module")
+def ties(spark):
+    rows = spark.createDataFrame([*enumerate(TIES), (9, [7.0] * 8)], "id long, x array<double>")
+    return panels.panel_of_arrays(rows, F.col("id"), F.col("x")).persist()
+
+
+def test_ties_with_a_breakpoint_are_those_of_sums_in_order(ties):
+    found = bags.described(bags.bag(ties, [PAIRED]), [PAIRED], short=True).collect()
+    assert {r["ts_id"]: r["word"] for r in found} == {i: plain_word(x) for i, x in enumerate(TIES)} | {9: 0}
