@@ -149,7 +149,9 @@ def exact_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     select ts_id, win_idx, list_transform(range(0, 4), lambda j: round(case when flat then 0.0 else (list_avg(x[b[j + 1] + 1:b[j + 2]]) - mu) / sd end, 6)) as means from b""")
 def paa_uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = words.segment_means(events(spark, sf_dir), UNEVEN)
-    return means.select("ts_id", "win_idx", F.transform("means", lambda m: F.round(m, 6) + 0.0).alias("means"))
+    # SQL's round keeps the sign of what it rounds to 0, Spark's doesn't
+    rounded = lambda m: F.when((F.round(m, 6) == 0) & (m < 0), F.lit(-0.0)).otherwise(F.round(m, 6) + 0.0)
+    return means.select("ts_id", "win_idx", F.transform("means", rounded).alias("means"))
 
 
 @query("""with p as (select user_id as ts_id, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, case when event_id % 3 <> 0 then value end as value from events),

@@ -42,11 +42,12 @@ def whole_means(panel: DataFrame, word_length: int) -> DataFrame:
     return panel.join(lengths, KEYS).groupBy(*KEYS, j.cast("int").alias("j")).agg(F.avg("value").alias("mean"))
 
 
-def segment_means(panel: DataFrame, config: Config, normalise: bool = True, least_ratio: float = 0.0) -> DataFrame:
+def segment_means(panel: DataFrame, config: Config, normalise: bool = True, least_ratio: float = 0.0, cuts: Sequence[float] = ()) -> DataFrame:
     """(ts_id, signal_id, win_idx, constant, means): the segment means of every window, as normal scores if normalise.
 
     The window size may be any from the word length on; segments are uneven if it is no multiple. Sums are shared by all
-    windows of a block, so that a long window costs no more than a short one.
+    windows of a block, so that a long window costs no more than a short one. Scores so near 0 or one of cuts that rounding could
+    tell the side are taken from the points of their window.
     """
     bounds = np.array(segment_bounds(config.window_size, config.word_length))
     sizes = np.diff(bounds)
@@ -60,9 +61,20 @@ def segment_means(panel: DataFrame, config: Config, normalise: bool = True, leas
         if not len(starts):
             means = np.zeros((0, len(sizes)))
         elif normalise:
-            mean, std, zero, _ = windows.scored(at, config.window_size)
-            zero = zero | (std == 0) | (std < least_ratio * points.std[starts]) | points.constant[starts]
+            mean, std, flat, doubt = windows.scored(at, config.window_size)
+            least = least_ratio * points.std[starts]
+            zero = flat | (std == 0) | (std < least) | points.constant[starts]
             means = np.where(zero[:, None], 0.0, (np.stack(columns, 1) - mean[:, None]) / np.where(zero, 1.0, std)[:, None])
+            margin = doubt * (1 + (config.window_size / sizes.min()) ** 0.5)
+            unsure = doubt > 1e-3
+            for cut in (0.0, *cuts):
+                unsure |= (np.abs(means - cut) <= margin[:, None]).any(1) & ~zero
+            if least_ratio:
+                with np.errstate(invalid="ignore"):
+                    unsure |= np.abs(std - least) <= doubt * std
+            again = np.flatnonzero(unsure & ~flat & ~points.constant[starts])
+            if len(again):
+                means[again] = window_scores(points.value, starts[again], config.dilation, bounds, points.std[starts[again]], least_ratio)
         else:
             means = np.stack(columns, 1) + windows.center[at][:, None]
         of = pa.array(points.row[starts])
@@ -139,7 +151,7 @@ def words(panel: DataFrame, config: Config, least_ratio: float = 0.0, constant_i
 
 def classic_words(panel: DataFrame, config: Config, least_ratio: float = 0.0, constant_is_middle: bool = False) -> DataFrame:
     """words() for any window size from the word length on, with uneven segments where it is no multiple."""
-    scored = segment_means(panel, config, True, least_ratio)
+    scored = segment_means(panel, config, True, least_ratio, symbols.BREAKPOINTS[config.alphabet_size])
     digits = [symbols.symbol(F.get("means", F.lit(j)), config.alphabet_size) for j in range(config.word_length)]
     word = encoding.word_of_columns(digits, config.alphabet_size)
     return scored.select(*KEYS, "win_idx", (word if constant_is_middle else F.when(F.col("constant"), F.lit(0)).otherwise(word)).cast("long").alias("word"))

@@ -49,3 +49,14 @@ def test_long_words_of_large_numbers(spark, tmp_path, most):
         word = r["event_id"] * 46116860184274 % 2**62
         assert (r["word"], r["row"], r["col"]) == (word, word // 1000003, word % 1000003)
         assert r["symbols"] == [word >> 2 * (30 - i) & 3 for i in range(31)]
+
+
+def test_uneven_means_keep_the_sign_of_what_rounds_to_zero(spark, tmp_path):
+    windows = {1: [57.76, 80.04, 3.55, 18.31, 14.88, 8.93, 51.9, 20.49, 45.56, 2.73], 2: [10.86, 23.59, 26.85, 11.68, 117.56, 54.16, 30.46, 84.14, 124.5, 36.5]}
+    rows = [(100 * u + i, i, u, "view", x[i // 2]) for u, x in windows.items() for i in range(19)]
+    spark.createDataFrame(rows, "event_id long, ts long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    wanted = sorted(con.execute(ORACLES["paa_uneven"]).fetchall())
+    found = sorted((r["ts_id"], r["win_idx"], r["means"]) for r in QUERIES["paa_uneven"](spark, str(tmp_path)).collect())
+    assert str(found) == str(wanted) and "-0.0," in str(wanted)  # 0.0 == -0.0
