@@ -207,3 +207,8 @@ def ties(spark):
 def test_ties_with_a_breakpoint_are_those_of_sums_in_order(ties):
     found = bags.described(bags.bag(ties, [PAIRED]), [PAIRED], short=True).collect()
     assert {r["ts_id"]: r["word"] for r in found} == {i: plain_word(x) for i, x in enumerate(TIES)} | {9: 0}
+
+
+def test_ties_beside_a_middle_constant(ties):
+    found = bags.bag(ties, [PAIRED], constant_is_middle=True).collect()
+    assert {r["ts_id"]: r["word"] for r in found} == {i: plain_word(x) for i, x in enumerate(TIES)} | {9: 0b10101010}
