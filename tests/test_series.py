@@ -212,3 +212,10 @@ def test_ties_with_a_breakpoint_are_those_of_sums_in_order(ties):
 def test_ties_beside_a_middle_constant(ties):
     found = bags.bag(ties, [PAIRED], constant_is_middle=True).collect()
     assert {r["ts_id"]: r["word"] for r in found} == {i: plain_word(x) for i, x in enumerate(TIES)} | {9: 0b10101010}
+
+
+def test_ties_in_a_builder_with_a_least_ratio(ties):
+    model = BagBuilder([PAIRED], least_ratio=0.3, constant_is_middle=True).fit(ties)
+    words_ = {i: plain_word(x) for i, x in enumerate(TIES)} | {9: 0b10101010}
+    number = {w: k for k, w in enumerate(sorted(set(words_.values())))}
+    assert {r["ts_id"]: r["feature_idx"] for r in model.transform(ties).collect()} == {i: number[w] for i, w in words_.items()}
