@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from serigraph.operators.ranks import numbered_within
@@ -13,8 +14,12 @@ from serigraph.sources.panel import KEYS
 from serigraph.sources.storage import checkpoint
 
 OCCURRENCE = ["feature_idx", *KEYS, "win_idx"]
-#: Occurrences of a feature that one row holds as an array; numbers of a numpy step.
-BLOCK, STEP = 512, 1_000_000
+#: Occurrences of a feature that one row holds at most; those that a task gathers before it deals them out; numbers of a numpy step.
+BLOCK, GATHERED, STEP = 4_096, 100_000, 1_000_000
+#: Occurrences of a feature that the first round of medoids() asks about.
+PIVOTS = 16
+#: Columns of a row of occurrences: their series, signals, windows and points.
+HELD = ["ts", "signal", "win", "others"]
 
 
 def standardised(panel: DataFrame) -> DataFrame:
@@ -61,123 +66,262 @@ def shape_summary(points: DataFrame, value: str = "value") -> DataFrame:
     return means.join(percentiles(points, ["feature_idx", "k"], value, {"q25": 0.25, "median": 0.5, "q75": 0.75}), ["feature_idx", "k"]).select("feature_idx", "k", "mean", "q25", "median", "q75")
 
 
-def _sums_of_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows of two blocks: the sum of the distances of each occurrence of the one to all of the other."""
+def _held(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ts, signal, win, others): runs of at most BLOCK occurrences of a feature (keys, ts_id, signal_id, win_idx, x), others their x one after the other.
+
+    Each task makes runs of what it has, so nothing is shuffled.
+    """
+    ids = [*KEYS, "win_idx"]
+
+    def dealt(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(some)
+        table = table.take(pa.array(np.lexsort([table.column(k).to_numpy() for k in reversed(keys)])))
+        column = {c: pa.concat_arrays(table.column(c).chunks) for c in table.column_names}
+        n = table.num_rows
+        of = np.stack([column[k].to_numpy() for k in keys])
+        new = np.concatenate([[True], (of[:, 1:] != of[:, :-1]).any(0)])
+        starts = np.flatnonzero((np.arange(n) - np.flatnonzero(new)[np.cumsum(new) - 1]) % BLOCK == 0)
+        ends = np.append(starts, n)
+        at = np.concatenate([[0], np.cumsum(column["x"].value_lengths().to_numpy())])
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), column[c]) for c in ids]
+        lists.append(pa.ListArray.from_arrays(pa.array(at[ends], pa.int32()), column["x"].flatten()))
+        return pa.RecordBatch.from_arrays([*(column[k].take(pa.array(starts)) for k in keys), *lists], names=[*keys, *HELD])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                some.append(batch)
+                n += batch.num_rows
+            if n >= GATHERED:
+                yield dealt(some)
+                some, n = [], 0
+        if n:
+            yield dealt(some)
+
+    lists = ", ".join(f"{n} array<{rows.schema[c].dataType.simpleString()}>" for n, c in zip(HELD, [*ids, "x"], strict=True) if c != "x")
+    return rows.select(*dict.fromkeys([*keys, *ids, "x"])).mapInArrow(run, f"{_kinds(rows, keys)}, {lists}, others array<double>")
+
+
+def _kinds(df: DataFrame, columns: Sequence[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def _each(batches: Iterator[pa.RecordBatch], columns: Sequence[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[np.ndarray]]]:
+    """Each row of held occurrences, their points (a row for each), and its other columns of doubles."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
-            ids = [row.column(c).flatten() for c in OCCURRENCE[1:]]
-            n = len(ids[0])
-            x, y = (row.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("x", "others"))
-            width = len(x) // n
-            x, y = x.reshape(n, width), y.reshape(-1, width)
-            out = np.empty(n)
-            step = max(1, STEP // y.size)
-            for at in range(0, n, step):
-                out[at : at + step] = np.sqrt(((x[at : at + step, None] - y) ** 2).sum(2)).sum(1)
-            same = lambda c: pa.array(np.repeat(row.column(c).to_numpy(), n))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([same("feature_idx"), *ids, same("block"), pa.array(out)], names=[*OCCURRENCE, "block", "part"])
-
-
-#: Occurrences of a feature whose distances to all others bound the sums of the rest; bins of those distances.
-PIVOTS, BINS = 16, 64
-
-
-def _by_feature(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
-    """The rows of each feature of a batch, and the first of them."""
-    feature = batch.column("feature_idx").to_numpy()
-    order = np.argsort(feature, kind="stable")
-    for some in np.split(order, np.flatnonzero(np.diff(feature[order])) + 1) if len(order) else ():
-        yield some, int(some[0])
-
-
-def _matrix(lists: pa.Array, some: np.ndarray) -> np.ndarray:
-    """Rows of a column of lists of one length."""
-    return lists.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(len(some), -1)
-
-
-def _pivot_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """d: the distances of each row's x to each of its feature's pivots."""
-    for batch in batches:
-        kept = [c for c in batch.schema.names if c != "pivots"]
-        for some, first in _by_feature(batch):
-            pivots = np.array(batch.column("pivots")[first].as_py())
-            x = _matrix(batch.column("x"), some)
-            d = np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], 1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * d.shape[1], pa.int32()), pa.array(d.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(some)) for c in kept), lists], names=[*kept, "d"])
-
-
-def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """bound: what the sum of each row's distances is at least, by each pivot: the differences of distances to it, added up over its bins."""
-    for batch in batches:
-        kept = [c for c in batch.schema.names if c not in ("d", "bins")]
-        for some, first in _by_feature(batch):
-            bins = batch.column("bins")[first].values
-            i, n, total = (bins.field(k).to_numpy(zero_copy_only=False) for k in ("i", "n", "total"))
-            d = _matrix(batch.column("d"), some)
-            bound = np.zeros(len(some))
-            for p in range(d.shape[1]):
-                own = i == p
-                step = max(1, STEP // max(1, int(own.sum())))
-                for at in range(0, len(some), step):
-                    part = slice(at, at + step)
-                    bound[part] = np.maximum(bound[part], np.abs(n[own] * d[part, p, None] - total[own]).sum(1))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(some)) for c in kept), pa.array(bound)], names=[*kept, "bound"])
+            n = row.column("ts").value_lengths()[0].as_py()
+            yield row, row.column("others").flatten().to_numpy(zero_copy_only=False).reshape(n, -1), [row.column(c).flatten().to_numpy(zero_copy_only=False) for c in columns]
+
+
+def _added(held: DataFrame, keys: list[str], given: Sequence[str], made: Sequence[str], of: Callable[..., list[np.ndarray]]) -> DataFrame:
+    """(keys, made): arrays of doubles that of() makes of the points of each run and the columns given, added up by keys in the order of tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[tuple, pa.RecordBatch] = {}
+        sums: dict[tuple, list[np.ndarray]] = {}
+        for row, x, more in _each(batches, given):
+            key = tuple(row.column(k)[0].as_py() for k in keys)
+            rows.setdefault(key, row)
+            parts = of(x, *more)
+            sums[key] = [a + b for a, b in zip(sums[key], parts, strict=True)] if key in sums else parts
+        if sums:
+            task = pa.array([TaskContext.get().partitionId()] * len(sums), pa.int32())
+            lists = [pa.array([v[i].tolist() for v in sums.values()], pa.list_(pa.float64())) for i in range(len(made))]
+            yield pa.RecordBatch.from_arrays([*(pa.concat_arrays([r.column(k) for r in rows.values()]) for k in keys), task, *lists], names=[*keys, "task", *made])
+
+    parts = held.select(*keys, *HELD, *given).mapInArrow(run, f"{_kinds(held, keys)}, task int, " + ", ".join(f"{c} array<double>" for c in made))
+    every = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("task", *made))).alias("every"))
+    add = lambda c: F.aggregate("every", F.array().cast("array<double>"), lambda a, p: F.when(F.size(a) == 0, p[c]).otherwise(F.zip_with(a, p[c], lambda x, y: x + y)))
+    return every.select(*keys, *[add(c).alias(c) for c in made])
+
+
+def _asked(width: int, asked: np.ndarray, mean: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """Points at which the sum of distances and its gradient are taken: occurrences, and the same drawn to the mean as near as the best known one is."""
+    c = asked.reshape(-1, width)
+    if not len(best):
+        return c
+    off = np.sqrt(((c - mean) ** 2).sum(1))
+    near = np.minimum(1.0, np.sqrt(((best - mean) ** 2).sum()) / np.where(off > 0, off, 1.0))
+    return np.concatenate([c, mean + (c - mean) * near[:, None]])
+
+
+def _sums(x: np.ndarray, asked: np.ndarray, mean: np.ndarray, best: np.ndarray) -> list[np.ndarray]:
+    """The sums of distances from x to each point asked, and their gradients there."""
+    c = _asked(x.shape[1], asked, mean, best)
+    total, gradient = np.zeros(len(c)), np.zeros(c.shape)
+    step = max(1, STEP // max(1, c.size))
+    for at in range(0, len(x), step):
+        d = c - x[at : at + step, None]
+        r = np.sqrt((d * d).sum(2))
+        total += r.sum(0)
+        gradient += (d / np.where(r > 0, r, 1.0)[:, :, None]).sum(0)
+    return [total, gradient.ravel()]
+
+
+def _scored(held: DataFrame, keys: list[str], given: Sequence[str], of: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """held with score, of the occurrences that of() keeps; it returns a mask and scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, x, more in _each(batches, given):
+            kept, score = of(x, *more)
+            at = pa.array(np.flatnonzero(kept))
+            if len(at):
+                one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+                lists = [one(row.column(c).flatten().take(at)) for c in HELD[:-1]]
+                yield pa.RecordBatch.from_arrays([*(row.column(k) for k in keys), *lists, one(pa.array(x[kept].ravel())), one(pa.array(score[kept]))], names=[*keys, *HELD, "score"])
+
+    return held.select(*keys, *HELD, *given).mapInArrow(run, f"{_kinds(held, [*keys, *HELD])}, score array<double>")
+
+
+def _chosen(held: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(keys, asked): the x of k different occurrences, one after the other: those of the lowest scores, and others from anywhere, told by digits of their sums."""
+    half = k // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[tuple, pa.RecordBatch] = {}
+        found: dict[tuple, dict[bytes, tuple]] = {}
+        for row, x, (score,) in _each(batches, ["score"]):
+            anywhere = np.modf(np.abs(x @ np.sqrt(np.arange(2, x.shape[1] + 2))) * 1e4)[0]
+            for lowest, value in ((True, score), (False, anywhere)):
+                key = (*(row.column(c)[0].as_py() for c in keys), lowest)
+                rows.setdefault(key, row)
+                own: dict[bytes, tuple] = {}
+                for i in np.argsort(value, kind="stable").tolist():
+                    own.setdefault(x[i].tobytes(), (float(value[i]), x[i]))
+                    if len(own) == half:
+                        break
+                both = found.get(key, {}) | own
+                found[key] = dict(sorted(both.items(), key=lambda v: (v[1][0], v[0]))[:half])
+        if found:
+            lists = [(rows[key], key[-1], s, v.tolist()) for key, own in found.items() for s, v in own.values()]
+            columns = [pa.concat_arrays([r[0].column(c) for r in lists]) for c in keys]
+            columns += [pa.array(c, t) for c, t in zip(list(zip(*lists, strict=True))[1:], (pa.bool_(), pa.float64(), pa.list_(pa.float64())), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "lowest", "value", "x"])
+
+    some = held.select(*keys, *HELD, "score").mapInArrow(run, f"{_kinds(held, keys)}, lowest boolean, value double, x array<double>")
+    some = some.groupBy(*keys, "lowest", "x").agg(F.min("value").alias("value"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct("value", "x"))), 1, half)
+    some = some.groupBy(*keys, "lowest").agg(F.transform(best, lambda p: p["x"]).alias("xs"))
+    return some.groupBy(*keys).agg(F.flatten(F.array_distinct(F.flatten(F.collect_list("xs")))).alias("asked"))
+
+
+def _left(width: int, asked: np.ndarray, mean: np.ndarray, best: np.ndarray, total: np.ndarray, gradient: np.ndarray, limit: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of x may have a sum up to the limit, and what their sums are at least."""
+    c = _asked(width, asked, mean, best)
+    gradient = gradient.reshape(c.shape)
+    with np.errstate(invalid="ignore"):
+        planes = total - (gradient * c).sum(1) + x @ gradient.T
+        rounding = 1e-9 * (total + (np.abs(gradient) * np.abs(c)).sum(1) + np.abs(x) @ np.abs(gradient).T)
+        return ~((planes - rounding).max(1) > limit[0] * (1 + 1e-9)), planes.max(1)
+
+
+def _begun(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Held occurrences, and (keys, mean) of each feature."""
+    held = checkpoint(_held(rows, keys))
+    sums = _added(held, keys, [], ["n", "total"], lambda x: [np.array([float(len(x))]), x.sum(0)])
+    return held, checkpoint(sums.select(*keys, F.transform("total", lambda t: t / F.get("n", F.lit(0))).alias("mean")))
+
+
+def _from_mean(held: DataFrame, means: DataFrame, keys: list[str]) -> DataFrame:
+    near = lambda x, mean: (np.ones(len(x), bool), ((x - mean) ** 2).sum(1))
+    return _scored(held.join(F.broadcast(means.select(*keys, "mean")), keys), keys, ["mean"], near)
+
+
+def _sums_of(held: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """asked with total and gradient over all held occurrences of the feature."""
+    given = ["asked", "mean", "best"]
+    sums = _added(held.join(F.broadcast(asked.select(*keys, *given)), keys), keys, given, ["total", "gradient"], _sums)
+    return asked.join(sums, keys)
+
+
+def _best(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sum, x): the occurrences asked about and the sums of their distances."""
+    width = F.size("mean")
+    numbers = F.sequence(F.lit(0), (F.size("asked") / width).cast("int") - 1)
+    each = sums.select(*keys, F.explode(F.transform(numbers, lambda i: F.struct(F.get("total", i).alias("sum"), F.slice("asked", i * width + 1, width).alias("x")))).alias("p"))
+    return each.select(*keys, "p.sum", "p.x")
+
+
+def _rounds(held: DataFrame, means: DataFrame, keys: list[str], most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(keys, sum, x) of the least sums known, and the held occurrences that may still have a lesser one, after at most so many rounds of medoids_of()."""
+    none = F.array().cast("array<double>")
+    alive, known, turn = _from_mean(held, means, keys), None, 0
+    given = ["asked", "mean", "best", "total", "gradient", "limit"]
+
+    def still(x: np.ndarray, score: np.ndarray, asked: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kept, bound = _left(x.shape[1], asked, *more, x)
+        for c in asked.reshape(-1, x.shape[1]):
+            kept &= ~(x == c).all(1)
+        return kept, np.maximum(score, bound) if turn else bound
+
+    while turn != most:
+        asked = checkpoint(_chosen(alive, keys, PIVOTS << min(turn, 4)))
+        if asked.isEmpty():
+            break
+        asked = asked.join(means, keys)
+        if known is not None:
+            asked = asked.join(known.groupBy(*keys).agg(F.min("x").alias("best")), keys)
+        sums = checkpoint(_sums_of(held, asked if known is not None else asked.withColumn("best", none), keys))
+        found = _best(sums, keys)
+        every = found if known is None else known.unionByName(found)
+        least = every.groupBy(*keys).agg(F.min("sum").alias("least"))
+        known = checkpoint(every.join(least, keys).where("sum <=> least").drop("least"))  # of sums that tie each stays
+        limits = known.groupBy(*keys).agg(F.array(F.min("sum")).alias("limit"))
+        alive = checkpoint(_scored(alive.join(F.broadcast(sums.join(limits, keys)), keys), keys, ["score", *given], still))
+        turn += 1
+    return known, alive
+
+
+def _same(held: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ts, signal, win) of the held occurrences whose x is one of known's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, x, (tied,) in _each(batches, ["tied"]):
+            at = pa.array(np.flatnonzero((x[:, None] == tied.reshape(-1, x.shape[1])).all(2).any(1)))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([*(pa.concat_arrays([row.column(k)] * len(at)) for k in keys), *(row.column(c).flatten().take(at) for c in HELD[:-1])], names=[*keys, *HELD[:-1]])
+
+    tied = known.groupBy(*keys).agg(F.flatten(F.collect_list("x")).alias("tied"))
+    ids = ", ".join(f"{c} {held.schema[c].dataType.elementType.simpleString()}" for c in HELD[:-1])
+    return held.join(F.broadcast(tied), keys).select(*keys, *HELD, "tied").mapInArrow(run, f"{_kinds(held, keys)}, {ids}")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """Of rows (feature_idx, ts_id, signal_id, win_idx, x) those whose sum of distances may be the least of their feature.
-
-    A few pivots of each feature meet all its rows. By the triangle inequality a row is at least |d(p, x) - d(p, y)| from y;
-    the sum of that over all y, taken from a histogram of the pivot's distances, bounds the row's sum. Rows whose bound is above the sum
-    of a pivot, or of the row with the least bound, can't be the medoid.
-    """
-    names = OCCURRENCE[1:]
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in OCCURRENCE)
-    place = F.xxhash64(*OCCURRENCE)
-    some = rows.groupBy("feature_idx", F.pmod(place, F.lit(PIVOTS)).alias("salt")).agg(F.min(F.struct(place.alias("h"), *names, "x")).alias("p"))
-    pivots = some.groupBy("feature_idx").agg(F.collect_list("p.x").alias("pivots"))
-    near = checkpoint(rows.join(pivots, "feature_idx").select(*OCCURRENCE, "x", "pivots").mapInArrow(_pivot_distances, f"{kinds}, x array<double>, d array<double>"))
-    each = near.select("feature_idx", F.posexplode("d").alias("i", "v"))
-    sums = each.groupBy("feature_idx", "i").agg(F.sum("v").alias("sum"), F.max("v").alias("most"))
-    bin_ = F.coalesce(F.floor(F.try_divide(F.col("v") * BINS, "most")), F.lit(0)).alias("bin")
-    bins = each.join(sums, ["feature_idx", "i"]).groupBy("feature_idx", "i", bin_).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
-    bins = bins.groupBy("feature_idx").agg(F.collect_list(F.struct("i", "n", "total")).alias("bins"))  # PIVOTS * BINS at most
-    bounded = checkpoint(near.join(bins, "feature_idx").select(*OCCURRENCE, "x", "d", "bins").mapInArrow(_bounds, f"{kinds}, x array<double>, bound double"))
-    best = bounded.groupBy("feature_idx").agg(F.array(F.min(F.struct("bound", *names, "x"))["x"]).alias("pivots"))
-    met = rows.join(best, "feature_idx").select(*OCCURRENCE, "x", "pivots").mapInArrow(_pivot_distances, f"{kinds}, x array<double>, d array<double>")
-    limits = met.groupBy("feature_idx").agg(F.sum(F.get("d", F.lit(0))).alias("own")).join(sums.groupBy("feature_idx").agg(F.min("sum").alias("least")), "feature_idx")
-    limits = limits.select("feature_idx", F.least("own", "least").alias("limit"))
-    return bounded.join(limits, "feature_idx").where(F.col("bound") <= F.col("limit") * (1 + 1e-9)).select(*OCCURRENCE, "x")
+    """Of rows (feature_idx, ts_id, signal_id, win_idx, x) those whose sum of distances may be the least of their feature, after two rounds of medoids_of()."""
+    keys = ["feature_idx"]
+    held, means = _begun(rows, keys)
+    known, alive = _rounds(held, means, keys, 2)
+    each = alive.select(*keys, F.explode(F.arrays_zip(*HELD[:-1])).alias("p")).select(*keys, "p.*").unionByName(_same(held, known, keys))
+    return rows.join(each.toDF(*OCCURRENCE), OCCURRENCE, "left_semi")
 
 
 def medoids(points: DataFrame, value: str = "value") -> DataFrame:
-    """For each feature the occurrence with the least sum of Euclidean distances to the others, and that sum.
+    """For each feature the occurrence with the least sum of Euclidean distances to the others, and that sum; as medoids_of()."""
+    rows = points.groupBy(*OCCURRENCE).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col(value).alias("v")))), lambda p: p["v"]).alias("x"))
+    return medoids_of(rows, ["feature_idx"]).select(*OCCURRENCE, "distance")
+
+
+def medoids_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ts_id, signal_id, win_idx, distance): of each feature, told by keys (whole numbers), the occurrence with the least sum of distances, and that sum.
 
-    Of features with more occurrences than a block holds, only those that bounds leave (candidates()) are compared with all others.
-    Blocks of bounded size meet, so that a frequent feature is many keys and no pair is a row. Sums are taken in one order. The first
-    by series, signal and window wins ties.
+    rows: (keys, ts_id, signal_id, win_idx, x). The sum is convex in x, so that at every x it is at least what the plane through
+    the sum at another point, along the gradient there, has at x. In rounds the occurrences with the lowest such bounds, and
+    some from anywhere, are asked about: their sums over all occurrences are taken, and those whose bound is above the least sum known are left out,
+    until all have been asked about or left out. Rounds ask about PIVOTS occurrences of a feature, then twice as many each
+    time. Occurrences stay where they are: what is asked, and the planes, go to them (by broadcast, at most 16 * PIVOTS times four
+    points for each feature that is not settled). The first by series, signal and window wins ties.
     """
-    rows = checkpoint(points.groupBy(*OCCURRENCE).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col(value).alias("v")))), lambda p: p["v"]).alias("x")))
-
-    def blocks(of: DataFrame) -> DataFrame:
-        sizes = of.groupBy("feature_idx").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        dealt = of.join(sizes, "feature_idx").withColumn("block", F.pmod(F.xxhash64(*OCCURRENCE), "blocks").cast("int"))
-        return dealt.groupBy("feature_idx", "blocks", "block").agg(F.array_sort(F.collect_list(F.struct(*OCCURRENCE[1:], "x"))).alias("held"))
-
-    every = checkpoint(blocks(rows)).select("feature_idx", "blocks", "block", F.flatten("held.x").alias("others"))
-    counts = every.select("feature_idx", "blocks").distinct()
-    frequent = counts.where("blocks > 1").select("feature_idx")
-    chosen = rows if frequent.isEmpty() else rows.join(frequent, "feature_idx", "left_anti").unionByName(candidates(rows.join(frequent, "feature_idx", "left_semi")))
-    asked = blocks(chosen).drop("blocks").join(counts, "feature_idx")
-    asked = asked.select("feature_idx", *[F.col(f"held.{c}").alias(c) for c in OCCURRENCE[1:]], F.flatten("held.x").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    pairs = asked.join(every.drop("blocks"), ["feature_idx", "block"])
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in OCCURRENCE)
-    parts = pairs.select(*OCCURRENCE, "block", "x", "others").mapInArrow(_sums_of_distances, f"{kinds}, block int, part double")
-    sums = parts.groupBy(*OCCURRENCE).agg(F.aggregate(F.sort_array(F.collect_list(F.struct("block", "part"))), F.lit(0.0), lambda total, p: total + p["part"]).alias("distance"))
-    best = sums.groupBy("feature_idx").agg(F.min(F.struct("distance", *OCCURRENCE[1:])).alias("m"))
-    return best.select("feature_idx", *[F.col(f"m.{c}").alias(c) for c in OCCURRENCE[1:]], "m.distance")
+    held, means = _begun(rows, keys)
+    known, _ = _rounds(held, means, keys)
+    if known is None:
+        known = means.select(*keys, F.lit(0.0).alias("sum"), F.col("mean").alias("x"))
+    first = _same(held, known, keys).groupBy(*keys).agg(F.min(F.struct(*HELD[:-1])).alias("m"))
+    ids = {"ts_id": "ts", "signal_id": "signal", "win_idx": "win"}
+    sums = known.groupBy(*keys).agg(F.min("sum").alias("distance"))
+    return first.join(sums, keys).select(*keys, *[F.col(f"m.{n}").alias(c) for c, n in ids.items() if c not in keys], "distance")
 
 
 def word_curve(fields: DataFrame) -> DataFrame:

@@ -318,8 +318,8 @@ WORDS = "ts_id long, signal_id int, conf_idx int, win_idx long, word long"
 COUNTS = "ts_id long, signal_id int, conf_idx int, word long, cnt long"
 
 
-def grid_words(panel: DataFrame, configs: list[Config], least_ratio: float = 0.0, counted: bool = False, constant_is_middle: bool = False) -> DataFrame:
-    """Words of every window for all configurations: (ts_id, signal_id, conf_idx, win_idx, word), or counts within blocks.
+def grid_words(panel: DataFrame, configs: list[Config], least_ratio: float = 0.0, counted: bool = False, constant_is_middle: bool = False, with_points: bool = False) -> DataFrame:
+    """Words of every window for all configurations: (ts_id, signal_id, conf_idx, win_idx, word), or counts within blocks; with_points: and x, the window's points.
 
     The panel is shuffled once into blocks; each block is read once for all configurations. counted: (ts_id, signal_id,
     conf_idx, word, cnt), summed in each batch of blocks, to be summed again over all.
@@ -350,6 +350,10 @@ def grid_words(panel: DataFrame, configs: list[Config], least_ratio: float = 0.0
             columns = [ts.take(take), signal.take(take), pa.array(np.full(len(of), k, np.int32))]
             columns += [pa.array(word), pa.array(n)] if counted else [pa.array(points.pos[starts] // config.stride), pa.array(word)]
             names = ["ts_id", "signal_id", "conf_idx", *(("word", "cnt") if counted else ("win_idx", "word"))]
+            if with_points:
+                x = points.value[starts[:, None] + np.arange(config.window_size) * config.dilation]
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1) * config.window_size, pa.int32()), pa.array(x.ravel())))
+                names.append("x")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return blocks(panel, halo).mapInArrow(run, COUNTS if counted else WORDS)
+    return blocks(panel, halo).mapInArrow(run, COUNTS if counted else WORDS + (", x array<double>" if with_points else ""))

@@ -331,7 +331,9 @@ def pattern_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     dist as (select a.feature_idx, a.ts_id, a.signal_id, a.win_idx, sum(list_distance(a.v, b.v)) as distance from x a join x b using (feature_idx) group by all)
     select feature_idx, ts_id, signal_id::int as signal_id, win_idx, round(distance, 4) as distance from dist qualify row_number() over (partition by feature_idx order by distance, ts_id, signal_id, win_idx) = 1""")
 def pattern_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.medoids(_points(spark, sf_dir)).withColumn("distance", F.round("distance", 4))
+    found = checkpoint(patterns.medoids_of(words.grid_words(vectors(spark, sf_dir), SHOWN, with_points=True), bags.FEATURE))
+    known = bags.vocabulary(found)  # every word has a medoid
+    return found.join(known, bags.FEATURE).select("feature_idx", "ts_id", "signal_id", "win_idx", F.round("distance", 4).alias("distance"))
 
 
 @query(f"{_SHOWN} select feature_idx, label as y_pred, count(*) as n_series, sum(cnt)::bigint as cnt from features join embeddings on ts_id = vec_id group by all")

@@ -84,3 +84,15 @@ def test_medoids_are_found_among_few_candidates(spark):
         assert int(sums.argmin()) in left[f]
         # distances taken: of the pivots, of the row with the least bound, and of the candidates, against half of all pairs
         assert 600 * (patterns.PIVOTS + 1 + len(left[f])) < 600 * 600 / 2
+
+
+def test_medoids_of_a_round_cluster_and_of_copies(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1200, 8))
+    rows = spark.createDataFrame([(1, 5000 - i, 0, copy, [float(c) for c in v]) for i, v in enumerate(x) for copy in (4, 3)], "feature_idx long, ts_id long, signal_id int, win_idx long, x array<double>").persist()
+    sums = 2 * np.linalg.norm(x[:, None] - x[None], axis=2).sum(1)
+    # the planes of two rounds leave few of a round cluster
+    assert patterns.candidates(rows).count() < 2400 / 4
+    (found,) = patterns.medoids_of(rows, ["feature_idx"]).collect()
+    assert (found["ts_id"], found["signal_id"], found["win_idx"]) == (5000 - int(sums.argmin()), 0, 3) and np.isclose(found["distance"], sums.min())
+    assert patterns.medoids_of(rows.where("false"), ["feature_idx"]).count() == 0
