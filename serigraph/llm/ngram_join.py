@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -257,6 +258,7 @@ class PrefixTree:
         self.nodes: list[tuple] = []  # edge tokens, first and past-last leaf, ending sets, children, least and greatest size, most tokens left
         self.root = self._build(shared)
         self.uniform: list[bool] = [False] * len(self.nodes)
+        self.indexed = -1
 
     def _build(self, shared: list[int]) -> int:
         order, sets, sizes = self.order, self.sets, self.sizes
@@ -285,16 +287,38 @@ class PrefixTree:
                     stop += 1
                 todo.append((start, stop, end, number))
                 start = stop
-        self.kids = kids
+        # in the order of leaves, with the first leaf of each
+        self.kids = [sorted(some, key=lambda k: self.nodes[k][1]) for some in kids]
+        self.kid_leaves = [[self.nodes[k][1] for k in some] for some in self.kids]
         return 0
 
+    def _prefix(self, i: int, percent: int) -> np.ndarray:
+        """The rarest tokens of a set, one of which any set that links with it has among its own; those of no other set are the rarest."""
+        n = self.sizes[i] - least_shared(self.sizes[i], percent) + 1 - (self.sizes[i] - len(self.sets[i]))
+        return self.sets[i][max(0, len(self.sets[i]) - n) :] if n > 0 else self.sets[i][:0]
+
+    def _index(self, percent: int) -> None:
+        """For each token the leaves, in order, whose prefixes hold it."""
+        parts = [self._prefix(i, percent) for i in self.order]
+        tokens = np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int64)
+        leaves = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        by = np.argsort(tokens, kind="stable")
+        self.leaves, self.bounds, self.indexed = leaves[by], np.searchsorted(tokens[by], np.arange(self.width + 1)), percent
+
     def links(self, query: int, percent: int, parent: list[int]) -> Iterator[int]:
         """Sets that link with the set numbered query and are not in its component yet, by one walk of the tree.
 
-        A walk carries the overlap of the path, so that sets with a common start share it. A subtree is left out when its
-        sizes or the tokens that remain on either side cannot reach the bound, or all its sets are in the component.
+        A walk carries the overlap of the path, so that sets with a common start share it. A subtree is left out when no set in
+        it shares a token of the prefixes, its sizes or the tokens that remain on either side cannot reach the bound, or all its
+        sets are in the component.
         """
+        if self.indexed != percent:
+            self._index(percent)
         mine, size = self.sets[query], self.sizes[query]
+        near = [self.leaves[self.bounds[t] : self.bounds[t + 1]] for t in self._prefix(query, percent).tolist()]
+        near = np.unique(np.concatenate(near)).tolist() if near else []
+        if len(near) < 2:  # its own leaf
+            return
         mask = np.zeros(self.width + 1, bool)
         mask[mine] = True
         todo = [(self.root, 0)] if self.nodes else []
@@ -315,7 +339,18 @@ class PrefixTree:
             for other in ending:
                 if other != query and (100 + percent) * overlap >= percent * (size + self.sizes[other]) and find(parent, other) != find(parent, query):
                     yield other
-            todo += [(k, overlap) for k in self.kids[number]]
+            todo += [(k, overlap) for k in self._held(number, near)]
+
+    def _held(self, number: int, near: list[int]) -> list[int]:
+        """The children of a node in whose subtrees some of the leaves are, which are in order."""
+        kids, first = self.kids[number], self.kid_leaves[number]
+        at, out = bisect_left(near, first[0]) if kids else len(near), []
+        end = self.nodes[number][2]
+        while at < len(near) and near[at] < end:
+            k = kids[bisect_right(first, near[at]) - 1]
+            out.append(k)
+            at = bisect_left(near, self.nodes[k][2], at)
+        return out
 
     def _one_component(self, number: int, query: int, parent: list[int]) -> bool:
         lo, hi = self.nodes[number][1:3]

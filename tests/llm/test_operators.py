@@ -874,3 +874,34 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     for name in ("documents", "labels"):
         written(spark.read.parquet(f"{SF}/{name}.parquet").where("false"), tmp_path, name)
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_tree_walks_visit_few_nodes_of_frequent_tokens(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = []
+    for i in range(400):
+        if i % 10 == 9:
+            s = sets[-1].copy()
+            s[int(rng.integers(len(s)))] = 10**6 + i
+        else:
+            s = rng.zipf(1.15, int(rng.integers(8, 40))) % 1600
+        sets.append(np.unique(s.astype(np.uint64)))
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+    df = [counts[np.searchsorted(values, s)].astype(np.uint32) for s in sets]
+    visits = []
+    one = ngram_join.PrefixTree._one_component
+    monkeypatch.setattr(ngram_join.PrefixTree, "_one_component", lambda self, *a: visits.append(1) or one(self, *a))
+    parent = list(range(400))
+    for a, b in ngram_join.tree_links(sets, [len(s) for s in sets], df, 80):
+        a, b = ngram_join.find(parent, a), ngram_join.find(parent, b)
+        parent[max(a, b)] = min(a, b)
+    plain = list(range(400))
+    for i in range(400):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = ngram_join.find(plain, i), ngram_join.find(plain, j)
+                plain[max(a, b)] = min(a, b)
+    found = [ngram_join.find(parent, i) for i in range(400)]
+    assert found == [ngram_join.find(plain, i) for i in range(400)] and len(set(found)) < 400
+    assert len(visits) < 400 * 40  # a third of all nodes each without prefixes
